@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sqlweave.operators.catalog import RoleRules, extract_catalog
+from sqlweave.session import ensure_checkpoint_dir
 
 # -- fixed values of the stand-in configuration -----------------------------------
 CATALOG_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -140,19 +141,25 @@ def lookup_domains(t, lookups=LOOKUPS, max_domain: int = MAX_DOMAIN) -> DataFram
 
 
 def star_catalog(t, schema_id: str = "star"):
-    """(cat_tables, cat_columns, cat_fks) of the driver's tables."""
+    """(cat_tables, cat_columns, cat_fks) of the driver's tables.
+
+    The profiled dictionary (the only part that scans data) is checkpointed
+    once, so the metadata joins after it never rescan the tables.
+    """
     spark = t.spark
+    ensure_checkpoint_dir(spark)
     cols = (raw_columns(t)
             .join(null_profile(t).select("table_name", "column_name",
                                          (F.col("n_nulls") > 0).alias("nullable")),
                   ["table_name", "column_name"], "left")
-            .withColumn("nullable", F.coalesce("nullable", F.lit(True))))
+            .withColumn("nullable", F.coalesce("nullable", F.lit(True)))).checkpoint(eager=True)
+    domains = lookup_domains(t).checkpoint(eager=True)
     pks = spark.createDataFrame([(tb, c) for tb, cs in PRIMARY_KEYS.items() for c in cs],
                                 "table_name string, column_name string")
     flex = spark.createDataFrame([(a, b, c) for (a, b), c in FLEX_LABELS.items()],
                                  "table_name string, column_name string, business_label string")
     rules = RoleRules(org_columns=ORG_COLUMNS)
-    return extract_catalog(cols, pks, flex, lookup_domains(t), None, rules, schema_id)
+    return extract_catalog(cols, pks, flex, domains, None, rules, schema_id)
 
 
 def fk_orphans(t, cat_fks: DataFrame) -> DataFrame:
