@@ -140,3 +140,44 @@ UNION ALL
 SELECT q.qid, 0 AS n_tables, '' AS tables, TRUE AS link_all FROM q
 WHERE q.qid NOT IN (SELECT qid FROM anchor)""",
 }
+
+
+# -- byte-pair vocabulary jobs (iterative / Python helper: no SQL twin) ----------------------
+BPE_VOCAB = 256 + 32
+_MERGES: dict = {}
+
+
+def _merges(t):
+    """Merges learned on documents.text, trained once per session and data folder."""
+    from sqlweave.operators.bpe import bpe_train
+    key = (id(t.spark), t.root)
+    if key not in _MERGES:
+        rows = bpe_train(t.documents, BPE_VOCAB).collect()
+        _MERGES[key] = rows
+    return t.spark.createDataFrame(_MERGES[key], "rank int, left_id int, right_id int, new_id int")
+
+
+def q_bpe_train(t):
+    return _merges(t)
+
+
+def q_bpe_encode(t):
+    from sqlweave.operators.bpe import bpe_decode, bpe_encode
+    m = _merges(t)
+    enc = bpe_decode(bpe_encode(t.documents.select("doc_id", "text"), m), m)
+    return enc.select("doc_id", F.octet_length("text").alias("n_bytes"),
+                      F.size("ids").alias("n_tokens"),
+                      (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
+def q_compression_stats(t):
+    from sqlweave.operators.bpe import bpe_encode, compression_stats
+    m = _merges(t)
+    return compression_stats(bpe_encode(t.documents.select("text"), m))
+
+
+QUERIES.update({
+    "bpe_train": q_bpe_train,
+    "bpe_encode": q_bpe_encode,
+    "compression_stats": q_compression_stats,
+})
