@@ -1,0 +1,39 @@
+"""Lint and repair of predicted SQL arriving as a stream.
+
+Predictions ``(schema_id, sql_id, question, sql)`` arrive from any streaming
+source; each micro-batch is linted and repaired against the catalog (a
+static DataFrame) with the batch jobs, and appended to a sink. The streaming
+checkpoint lives under the session's checkpoint folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sqlweave.operators.lint import lint_sql, repair
+from sqlweave.session import ensure_checkpoint_dir
+
+
+def check_batch(batch: DataFrame, cat_columns: DataFrame, cat_fks: DataFrame) -> DataFrame:
+    """(schema_id, sql_id, question, sql, sql_repaired, issues ARRAY<STRING>)."""
+    fixed = repair(batch.select("schema_id", "sql_id", "question", "sql"), cat_columns)
+    issues = (lint_sql(fixed.select("schema_id", "sql_id", F.col("sql_repaired").alias("sql")),
+                       cat_columns, cat_fks)
+              .groupBy("schema_id", "sql_id")
+              .agg(F.sort_array(F.collect_list(F.concat_ws(":", "kind", "detail"))).alias("issues")))
+    return (fixed.join(issues, ["schema_id", "sql_id"], "left")
+            .withColumn("issues", F.coalesce("issues", F.array().cast("array<string>"))))
+
+
+def start_gate_stream(predictions: DataFrame, cat_columns: DataFrame, cat_fks: DataFrame,
+                      sink_path: str, name: str = "sql_gate", trigger: dict | None = None):
+    """Start the streaming gate; returns the StreamingQuery."""
+    ckpt = ensure_checkpoint_dir(predictions.sparkSession).rstrip("/") + f"/stream-{name}"
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        check_batch(batch, cat_columns, cat_fks).write.mode("append").parquet(sink_path)
+
+    w = predictions.writeStream.foreachBatch(each).option("checkpointLocation", ckpt)
+    w = w.trigger(**(trigger or {"availableNow": True}))
+    return w.start()
