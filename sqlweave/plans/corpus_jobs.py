@@ -173,3 +173,58 @@ QUERIES = {
 }
 
 SQL: dict = {}
+
+
+def q_pick_group(t):
+    """Group-by candidates per fact: NAME / flexfield columns within two FK hops."""
+    from sqlweave.operators.specs import group_candidates, table_info
+    from sqlweave.functions.text import label
+    tabs, cols, fks = star_catalog(t)
+    info = table_info(cols)
+    flex = cols.filter(F.col("role") == "flexfield_segment").select(
+        "schema_id", "table_name", "table_pos", F.struct(
+            F.lit(1).alias("r"), F.col("column_name").alias("col"),
+            label("column_name", "business_label").alias("label")).alias("c"))
+    facts = info.filter(F.size("amounts") > 0).select("schema_id", "table_name")
+    c = group_candidates(info, fks, facts, flex)
+    return c.select(F.col("fact"), F.explode("group_cands").alias("g")).select(
+        "fact", F.col("g.tbl").alias("tbl"), F.col("g.col").alias("col"),
+        F.col("g.hops").alias("hops"))
+
+
+def q_vocab_overlap(t):
+    """Identifiers (tables and columns) used by train SQL vs val SQL, and catalog coverage."""
+    from sqlweave.operators.lint import references
+    _, cols, _, _, ex = corpus(t)
+    train, val = split_by_schema(ex, _schema_text(t), val_fraction=0.25)
+
+    def names(pairs, split):
+        st = pairs.select("schema_id", F.col("spec_id").alias("sql_id"), "sql").distinct()
+        r = references(st)
+        return (r["tables"].select(F.col("table_name").alias("name"))
+                .unionByName(r["refs"].select(F.col("column_name").alias("name")))
+                .distinct().withColumn("split", F.lit(split)))
+    n = names(train, "train").unionByName(names(val, "val"))
+    vocab = cols.select(F.col("table_name").alias("name")).unionByName(
+        cols.select(F.col("column_name").alias("name"))).distinct()
+    per = n.groupBy("name").agg(F.collect_set("split").alias("splits"))
+    return per.join(vocab.withColumn("in_catalog", F.lit(True)), "name", "full").agg(
+        F.count(F.when(F.array_contains("splits", "train"), 1)).alias("n_train_names"),
+        F.count(F.when(F.array_contains("splits", "val"), 1)).alias("n_val_names"),
+        F.count(F.when(F.size("splits") == 2, 1)).alias("n_shared"),
+        (F.count(F.when(F.array_contains("splits", "train") & F.col("in_catalog"), 1))
+         / F.count(F.when(F.col("in_catalog"), 1))).alias("catalog_covered"))
+
+
+QUERIES.update({"pick_group": q_pick_group, "vocab_overlap": q_vocab_overlap})
+
+
+def _pick_group_sql() -> str:
+    from sqlweave.plans.path_jobs import _FACTS, _walk_cte
+    return _walk_cte(_FACTS, 2) + """
+SELECT b.src AS fact, c.table_name AS tbl, c.column_name AS col, b.hops
+FROM best b JOIN cols c ON c.table_name = b.node
+WHERE c.role IN ('name', 'flexfield_segment')"""
+
+
+SQL.update({"pick_group": _pick_group_sql()})

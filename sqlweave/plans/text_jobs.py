@@ -181,3 +181,77 @@ QUERIES.update({
     "bpe_encode": q_bpe_encode,
     "compression_stats": q_compression_stats,
 })
+
+
+# -- text rules over the catalog and whole conversation texts ----------------------------
+def q_entity_label(t):
+    from sqlweave.functions.text import alias_base, entity_label, pluralize
+    tabs, _, _ = star_catalog(t)
+    return tabs.select("table_name", entity_label("table_name").alias("entity"),
+                       pluralize(entity_label("table_name")).alias("plural"),
+                       alias_base("table_name").alias("alias"))
+
+
+def q_label_phrases(t):
+    from sqlweave.functions.text import group_label, label
+    _, cols, _ = star_catalog(t)
+    lbl = label("column_name", "business_label")
+    return cols.select("table_name", "column_name", lbl.alias("label"),
+                       group_label(lbl).alias("group_label"),
+                       lbl.contains(" ").alias("is_phrase"))
+
+
+def q_clean_question(t):
+    from sqlweave.functions.text import clean_question
+    c = t.conversations.filter(F.col("role") == "user")
+    return c.select(QID.alias("qid"), clean_question(F.regexp_replace(
+        "text", r"[\t\n\r\f\x0B]", " ")).alias("question"))
+
+
+QUERIES.update({
+    "entity_label": q_entity_label,
+    "label_phrases": q_label_phrases,
+    "clean_question": q_clean_question,
+})
+
+
+def _tables_sql() -> str:
+    rows = ", ".join(f"('{tb}')" for tb in star.CATALOG_TABLES)
+    return f"(SELECT * FROM (VALUES {rows}) AS v(table_name))"
+
+
+_ENT = ("replace(CASE WHEN regexp_matches(table_name, '(_lines_all|_lines)$') "
+        "THEN regexp_replace(table_name, '(_lines_all|_lines)$', '_line') "
+        "ELSE regexp_replace(table_name, '(_headers_all|_headers|_all|_vl|_tl|_v)$', '') END, "
+        "'_', ' ')")
+
+SQL.update({
+    "entity_label": f"""
+SELECT table_name, ent AS entity,
+       CASE WHEN regexp_matches(ent, '(x|ch|sh|ss|z)$') THEN ent || 'es'
+            WHEN ends_with(ent, 's') THEN ent
+            WHEN regexp_matches(ent, '[^aeiou]y$') THEN regexp_replace(ent, 'y$', 'ies')
+            ELSE ent || 's' END AS plural,
+       array_to_string(list_transform(list_filter(string_split(table_name, '_'),
+                                                  lambda x: length(x) > 0), lambda x: x[1]), '')[1:3]
+         AS alias
+FROM (SELECT table_name, {_ENT} AS ent FROM {_tables_sql()})""",
+    "label_phrases": "SELECT table_name, column_name, label, "
+                     "regexp_replace(label, ' name$', '') AS group_label, "
+                     "contains(label, ' ') AS is_phrase FROM (" + f"""
+SELECT v.table_name, v.column_name, COALESCE(f.business_label, replace(v.column_name, '_', ' '))
+       AS label
+FROM (VALUES {", ".join(f"('{tb}', '{c}')" for tb in star.CATALOG_TABLES
+                        for c, _ in star.STAR_COLUMNS[tb])}) AS v(table_name, column_name)
+LEFT JOIN (VALUES {", ".join(f"('{a}', '{b}', '{c}')" for (a, b), c in star.FLEX_LABELS.items())})
+  AS f(table_name, column_name, business_label)
+  ON f.table_name = v.table_name AND f.column_name = v.column_name)""",
+    "clean_question": r"""
+SELECT qid, CASE WHEN contains(sq, '?')
+                 THEN trim(regexp_replace(replace(sq, '?', ''), '\s+', ' ', 'g')) || '?'
+                 ELSE sq END AS question
+FROM (SELECT conv_id * 1000000 + turn AS qid,
+             trim(regexp_replace(regexp_replace(text, '[\t\n\r\f\x0B]', ' ', 'g'), '\s+', ' ', 'g'))
+               AS sq
+      FROM conversations WHERE role = 'user')""",
+})
