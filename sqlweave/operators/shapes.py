@@ -101,12 +101,14 @@ def top_n(t, n: int = 10) -> DataFrame:
 
 # -- L4: subqueries -------------------------------------------------------
 def above_average(t) -> DataFrame:
-    """Orders priced above the mean total price (scalar subquery)."""
+    """Orders priced above the mean total price.
+
+    A scalar subquery (``DataFrame.scalar``): the mean is one small aggregate
+    job and the comparison reaches the parquet reader as a pushed filter.
+    """
     o = t.orders
-    avg = t.orders.agg(F.avg("o_totalprice").alias("a"))
-    # a one-row aggregate: Catalyst keeps it a broadcast nested-loop of one row
-    return (o.join(F.broadcast(avg), F.col("o_totalprice") > F.col("a"), "inner")
-            .select("o_orderkey", "o_totalprice"))
+    mean = t.orders.agg(F.avg("o_totalprice")).scalar()
+    return o.filter(F.col("o_totalprice") > mean).select("o_orderkey", "o_totalprice")
 
 
 def semi_join(t) -> DataFrame:
@@ -117,11 +119,11 @@ def semi_join(t) -> DataFrame:
 
 
 def filter_subquery(t) -> DataFrame:
-    """Both subquery forms: balance above the mean and nation in region 1."""
+    """Both subquery forms: balance above the mean (scalar) and nation in region 1 (IN)."""
     c = t.customer
-    avg = t.customer.agg(F.avg("c_acctbal").alias("a"))
+    mean = t.customer.agg(F.avg("c_acctbal")).scalar()
     nk = t.nation.filter(F.col("n_regionkey") == 1).select("n_nationkey")
-    return (c.join(F.broadcast(avg), F.col("c_acctbal") > F.col("a"))
+    return (c.filter(F.col("c_acctbal") > mean)
             .join(nk, c.c_nationkey == nk.n_nationkey, "left_semi")
             .select("c_custkey", "c_acctbal", "c_nationkey"))
 

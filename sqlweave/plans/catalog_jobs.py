@@ -207,3 +207,30 @@ FROM cols c GROUP BY c.table_name""",
 SELECT table_name, column_name, role, business_label, lookup_type, n_values, allowed_values
 FROM cols WHERE role IN ('lookup', 'flexfield_segment')""",
 }
+
+
+def q_schema_save(t):
+    """One JSON document per catalog with every annotation kept."""
+    from sqlweave.operators.catalog import schema_save
+    tabs, cols, fks = star_catalog(t)
+    docs = schema_save(tabs, cols, fks)
+    tables = F.from_json(F.get_json_object("json", "$.tables"), "array<string>")
+    fk_list = F.from_json(F.get_json_object("json", "$.foreign_keys"), "array<string>")
+    return docs.select("schema_id", F.length("json").alias("json_chars"),
+                       F.size(tables).alias("n_tables"), F.size(fk_list).alias("n_fks"))
+
+
+def q_schema_load(t):
+    """Round trip: columns lost or changed by save + load (expected none)."""
+    from sqlweave.operators.catalog import schema_load, schema_save
+    tabs, cols, fks = star_catalog(t)
+    _, c2, f2 = schema_load(schema_save(tabs, cols, fks))
+    key = ["table_name", "column_name", "type", "nullable", "is_pk", "role", "business_label",
+           "lookup_type"]
+    a = cols.select(*key, F.array_join("allowed_values", ",").alias("v"))
+    b = c2.select(*key, F.array_join("allowed_values", ",").alias("v"))
+    return a.exceptAll(b).unionByName(b.exceptAll(a)).groupBy().agg(
+        F.count(F.lit(1)).alias("n_changed")).withColumn("n_fks", F.lit(f2.count()))
+
+
+QUERIES.update({"schema_save": q_schema_save, "schema_load": q_schema_load})

@@ -7,8 +7,10 @@ Question wording and paraphrase frames are our own.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sqlweave.functions.text import alias_base, clean_question, entity_label, group_label, pluralize
 
@@ -253,8 +255,6 @@ def paraphrase_hook(df: DataFrame, fn=None, k: int = 3, col: str = "question",
     Off by default (no function: empty arrays). Blank results are dropped, the
     list is cut to k, and any error in ``fn`` yields no phrasings for that row.
     """
-    import pandas as pd
-    from pyspark.sql import types as T
     if fn is None or k <= 0:
         return df.withColumn(out, F.array().cast("array<string>"))
 

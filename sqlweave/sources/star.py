@@ -173,10 +173,13 @@ def fk_orphans(t, cat_fks: DataFrame) -> DataFrame:
     for fk in fks:
         child = t.get(fk.from_table).select(F.col(fk.from_column).alias("k"))
         parent = t.get(fk.to_table).select(F.col(fk.to_column).alias("k"))
+        # pre-aggregate the child keys: a hot FK value is one row before the shuffle
+        per_key = child.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
         hit = parent.filter(F.col("k").isNotNull()).distinct().withColumn("hit", F.lit(True))
-        parts.append(child.join(hit, "k", "left").agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.count(F.when(F.col("k").isNotNull() & F.col("hit").isNull(), 1)).alias("orphans"),
+        parts.append(per_key.join(hit, "k", "left").agg(
+            F.sum("c").alias("n_rows"),
+            F.coalesce(F.sum(F.when(F.col("k").isNotNull() & F.col("hit").isNull(), F.col("c"))),
+                       F.lit(0)).alias("orphans"),
         ).select(
             F.lit(fk.from_table).alias("from_table"), F.lit(fk.from_column).alias("from_column"),
             F.lit(fk.to_table).alias("to_table"), F.lit(fk.to_column).alias("to_column"),

@@ -64,3 +64,18 @@ def test_pad_batches(spark):
         by.setdefault(r.batch_id, set()).add(len(r.src))
         assert len(r.src_keep) == len(r.src) and sum(r.src_keep) <= len(r.src)
     assert all(len(v) == 1 for v in by.values())
+
+
+def test_paraphrase_hook(spark):
+    from sqlweave.plans.render import paraphrase_hook
+    df = spark.createDataFrame([("total sales",), ("boom",)], "question string")
+
+    def fn(q, k):
+        if q == "boom":
+            raise RuntimeError("flaky")
+        return ["  ", "sales overall", "sum of sales", "all sales", "x"]
+
+    rows = {r.question: r.hook_paraphrases for r in paraphrase_hook(df, fn, k=2).collect()}
+    assert rows == {"total sales": ["sales overall", "sum of sales"], "boom": []}
+    off = paraphrase_hook(df).collect()
+    assert all(r.hook_paraphrases == [] for r in off)
