@@ -21,7 +21,6 @@ from sqlweave.session import ensure_checkpoint_dir
 N_COPIES = 4
 N_PER_LEVEL = 10
 K_PARAPHRASES = 3
-_CACHE: dict = {}
 
 
 def corpus_catalog(t):
@@ -37,16 +36,18 @@ def corpus_catalog(t):
 
 def corpus(t):
     """(tabs, cols, fks, specs, examples), built once per session and folder."""
-    key = (id(t.spark), t.root)
-    if key not in _CACHE:
-        ensure_checkpoint_dir(t.spark)
-        tabs, cols, fks = corpus_catalog(t)
-        tabs, cols, fks = (tabs.checkpoint(eager=True), cols.checkpoint(eager=True),
-                           fks.checkpoint(eager=True))
-        specs = enumerate_specs(tabs, cols, fks, n_per_level=N_PER_LEVEL).checkpoint(eager=True)
-        ex = build_examples(specs, tabs, cols, fks, K_PARAPHRASES).checkpoint(eager=True)
-        _CACHE[key] = (tabs, cols, fks, specs, ex)
-    return _CACHE[key]
+    from sqlweave.memo import memo
+    return memo(t.spark, t.root, "corpus", lambda: _corpus(t))
+
+
+def _corpus(t):
+    ensure_checkpoint_dir(t.spark)
+    tabs, cols, fks = corpus_catalog(t)
+    tabs, cols, fks = (tabs.checkpoint(eager=True), cols.checkpoint(eager=True),
+                       fks.checkpoint(eager=True))
+    specs = enumerate_specs(tabs, cols, fks, n_per_level=N_PER_LEVEL).checkpoint(eager=True)
+    ex = build_examples(specs, tabs, cols, fks, K_PARAPHRASES).checkpoint(eager=True)
+    return tabs, cols, fks, specs, ex
 
 
 def q_enumerate_specs(t):

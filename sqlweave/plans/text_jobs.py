@@ -144,17 +144,14 @@ WHERE q.qid NOT IN (SELECT qid FROM anchor)""",
 
 # -- byte-pair vocabulary jobs (iterative / Python helper: no SQL twin) ----------------------
 BPE_VOCAB = 256 + 32
-_MERGES: dict = {}
 
 
 def _merges(t):
     """Merges learned on documents.text, trained once per session and data folder."""
+    from sqlweave.memo import memo
     from sqlweave.operators.bpe import bpe_train
-    key = (id(t.spark), t.root)
-    if key not in _MERGES:
-        rows = bpe_train(t.documents, BPE_VOCAB).collect()
-        _MERGES[key] = rows
-    return t.spark.createDataFrame(_MERGES[key], "rank int, left_id int, right_id int, new_id int")
+    rows = memo(t.spark, t.root, "bpe_merges", lambda: bpe_train(t.documents, BPE_VOCAB).collect())
+    return t.spark.createDataFrame(rows, "rank int, left_id int, right_id int, new_id int")
 
 
 def q_bpe_train(t):

@@ -141,6 +141,13 @@ def lookup_domains(t, lookups=LOOKUPS, max_domain: int = MAX_DOMAIN) -> DataFram
 
 
 def star_catalog(t, schema_id: str = "star"):
+    """(cat_tables, cat_columns, cat_fks) of the driver's tables, built once per
+    session and folder (see :mod:`sqlweave.memo`)."""
+    from sqlweave.memo import memo
+    return memo(t.spark, t.root, f"star_catalog:{schema_id}", lambda: _star_catalog(t, schema_id))
+
+
+def _star_catalog(t, schema_id: str):
     """(cat_tables, cat_columns, cat_fks) of the driver's tables.
 
     The profiled dictionary (the only part that scans data) is checkpointed
@@ -159,32 +166,49 @@ def star_catalog(t, schema_id: str = "star"):
     flex = spark.createDataFrame([(a, b, c) for (a, b), c in FLEX_LABELS.items()],
                                  "table_name string, column_name string, business_label string")
     rules = RoleRules(org_columns=ORG_COLUMNS)
-    return extract_catalog(cols, pks, flex, domains, None, rules, schema_id)
+    tabs, cat_cols, fks = extract_catalog(cols, pks, flex, domains, None, rules, schema_id)
+    # metadata-sized results, pinned so every consumer reads them once
+    return (tabs.checkpoint(eager=True), cat_cols.checkpoint(eager=True),
+            fks.checkpoint(eager=True))
 
 
 def fk_orphans(t, cat_fks: DataFrame) -> DataFrame:
-    """Per FK: child rows and rows whose non-null key has no parent (anti join).
+    """Per FK: child rows and rows whose non-null key has no parent.
 
-    The FK list is catalog metadata (a few rows) and is read to build one
-    anti join per edge; the joins themselves run on the cluster.
+    One plan for all FKs: each child table is scanned once with its FK columns
+    stacked as (fk_id, key); keys are counted per (fk_id, key) with map-side
+    combining (a hot FK value is one row before the shuffle); parent keys are
+    stacked the same way and de-duplicated; one join decides the orphans. The
+    FK list is catalog metadata (a few rows) read to build the stacks.
     """
     fks = cat_fks.select("from_table", "from_column", "to_table", "to_column").collect()
-    parts = []
-    for fk in fks:
-        child = t.get(fk.from_table).select(F.col(fk.from_column).alias("k"))
-        parent = t.get(fk.to_table).select(F.col(fk.to_column).alias("k"))
-        # pre-aggregate the child keys: a hot FK value is one row before the shuffle
-        per_key = child.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
-        hit = parent.filter(F.col("k").isNotNull()).distinct().withColumn("hit", F.lit(True))
-        parts.append(per_key.join(hit, "k", "left").agg(
-            F.sum("c").alias("n_rows"),
-            F.coalesce(F.sum(F.when(F.col("k").isNotNull() & F.col("hit").isNull(), F.col("c"))),
-                       F.lit(0)).alias("orphans"),
-        ).select(
-            F.lit(fk.from_table).alias("from_table"), F.lit(fk.from_column).alias("from_column"),
-            F.lit(fk.to_table).alias("to_table"), F.lit(fk.to_column).alias("to_column"),
-            "n_rows", "orphans"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    integral = all(isinstance(t.get(f.from_table).schema[f.from_column].dataType,
+                              (T.LongType, T.IntegerType, T.ShortType, T.ByteType)) for f in fks)
+    ktype = "bigint" if integral else "string"
+
+    def stacked(side_table, cols_by_table):
+        parts = []
+        for tbl, items in cols_by_table.items():
+            pairs = ", ".join(f"{i}, CAST(`{c}` AS {ktype})" for i, c in items)
+            parts.append(t.get(tbl).select(F.expr(f"stack({len(items)}, {pairs}) AS (fk_id, k)")))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    child_cols: dict = {}
+    parent_cols: dict = {}
+    for i, f in enumerate(fks):
+        child_cols.setdefault(f.from_table, []).append((i, f.from_column))
+        parent_cols.setdefault(f.to_table, []).append((i, f.to_column))
+    per_key = stacked("child", child_cols).groupBy("fk_id", "k").agg(F.count(F.lit(1)).alias("c"))
+    parents = (stacked("parent", parent_cols).filter(F.col("k").isNotNull()).distinct()
+               .withColumn("hit", F.lit(True)))
+    counts = per_key.join(parents, ["fk_id", "k"], "left").groupBy("fk_id").agg(
+        F.sum("c").alias("n_rows"),
+        F.coalesce(F.sum(F.when(F.col("k").isNotNull() & F.col("hit").isNull(), F.col("c"))),
+                   F.lit(0)).alias("orphans"))
+    meta = t.spark.createDataFrame(
+        [(i, f.from_table, f.from_column, f.to_table, f.to_column) for i, f in enumerate(fks)],
+        "fk_id int, from_table string, from_column string, to_table string, to_column string")
+    return meta.join(counts, "fk_id").drop("fk_id")
