@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqlweave.functions.columns import agg_expr, date_part, money_sum, sql_literal, year_eq
+from sqlweave.functions.columns import MONEY, date_part, sql_literal, year_eq
 from sqlweave.operators.ranking import rank_over
 
 
@@ -31,25 +31,57 @@ def l1_list(t) -> DataFrame:
 
 
 # -- L2: grouped and global aggregates ---------------------------------------
+# Grouping by a dimension attribute: the fact is first aggregated on its FK
+# (eager aggregation). A hot FK value becomes one row before any join, and the
+# aggregate's hash partitioning on the key already satisfies a shuffle join on
+# that key. The partial states are exact: decimal sums, counts, max, min.
+def _partial(fact: DataFrame, key: str, value: str, funcs=("SUM",)) -> DataFrame:
+    need = {f.upper() for f in funcs}
+    aggs = {}
+    if need & {"SUM", "AVG"}:
+        aggs["_s"] = F.sum(F.col(value).cast(MONEY))
+    if need & {"COUNT", "AVG"}:
+        aggs["_n"] = F.count(value)
+    if "MAX" in need:
+        aggs["_mx"] = F.max(value)
+    if "MIN" in need:
+        aggs["_mn"] = F.min(value)
+    return fact.groupBy(key).agg(*[c.alias(n) for n, c in aggs.items()])
+
+
+def _final(func: str) -> F.Column:
+    func = func.upper()
+    if func == "SUM":
+        return F.sum("_s").cast("double")
+    if func == "AVG":
+        return F.sum("_s").cast("double") / F.sum("_n")
+    if func == "COUNT":
+        return F.sum("_n")
+    if func == "MAX":
+        return F.max("_mx")
+    return F.min("_mn")
+
+
 def agg_group(t) -> DataFrame:
     """Flagship: total order price by nation name, 1996, status F."""
     o = t.orders.filter(year_eq("o_orderdate", 1996) & (F.col("o_orderstatus") == "F"))
+    per_cust = _partial(o, "o_custkey", "o_totalprice")
     c = t.customer.select("c_custkey", "c_nationkey")
     n = t.nation.select("n_nationkey", "n_name")
-    return (o.join(c, o.o_custkey == c.c_custkey)
+    return (per_cust.join(c, per_cust.o_custkey == c.c_custkey)
             .join(n, c.c_nationkey == n.n_nationkey)
             .groupBy("n_name")
-            .agg(money_sum("o_totalprice").alias("sum_o_totalprice")))
+            .agg(_final("SUM").alias("sum_o_totalprice")))
 
 
 def agg_by_brand(t, func: str) -> DataFrame:
     """``func`` over lineitem extended price (COUNT: l_orderkey) by part brand."""
-    li = t.lineitem
-    p = t.part.select("p_partkey", "p_brand")
     col = "l_orderkey" if func.upper() == "COUNT" else "l_extendedprice"
-    return (li.join(p, li.l_partkey == p.p_partkey)
+    per_part = _partial(t.lineitem, "l_partkey", col, (func,))
+    p = t.part.select("p_partkey", "p_brand")
+    return (per_part.join(p, per_part.l_partkey == p.p_partkey)
             .groupBy("p_brand")
-            .agg(agg_expr(func, col).alias(f"{func.lower()}_{col}")))
+            .agg(_final(func).alias(f"{func.lower()}_{col}")))
 
 
 def agg_global(t) -> DataFrame:
@@ -59,42 +91,41 @@ def agg_global(t) -> DataFrame:
 
 
 def join_fk_1hop(t) -> DataFrame:
-    li = t.lineitem
+    per_part = _partial(t.lineitem, "l_partkey", "l_extendedprice")
     p = t.part.select("p_partkey", "p_type")
-    return (li.join(p, li.l_partkey == p.p_partkey).groupBy("p_type")
-            .agg(money_sum("l_extendedprice").alias("sum_l_extendedprice")))
+    return (per_part.join(p, per_part.l_partkey == p.p_partkey).groupBy("p_type")
+            .agg(_final("SUM").alias("sum_l_extendedprice")))
 
 
 def join_fk_2hop(t) -> DataFrame:
     """lineitem -> orders -> customer: price by market segment."""
-    li = t.lineitem.select("l_orderkey", "l_extendedprice")
+    per_order = _partial(t.lineitem, "l_orderkey", "l_extendedprice")
     o = t.orders.select("o_orderkey", "o_custkey")
     c = t.customer.select("c_custkey", "c_mktsegment")
-    return (li.join(o, li.l_orderkey == o.o_orderkey)
+    return (per_order.join(o, per_order.l_orderkey == o.o_orderkey)
             .join(c, o.o_custkey == c.c_custkey)
             .groupBy("c_mktsegment")
-            .agg(money_sum("l_extendedprice").alias("sum_l_extendedprice")))
+            .agg(_final("SUM").alias("sum_l_extendedprice")))
 
 
 # -- L3: HAVING and top-N ----------------------------------------------------
 def having(t) -> DataFrame:
     """Customers whose order total exceeds 3,000,000."""
-    o = t.orders.select("o_custkey", "o_totalprice")
+    per_cust = _partial(t.orders, "o_custkey", "o_totalprice")
     c = t.customer.select("c_custkey", "c_name")
-    total = money_sum("o_totalprice")
-    return (o.join(c, o.o_custkey == c.c_custkey)
+    return (per_cust.join(c, per_cust.o_custkey == c.c_custkey)
             .groupBy("c_custkey", "c_name")
-            .agg(total.alias("sum_o_totalprice"))
+            .agg(_final("SUM").alias("sum_o_totalprice"))
             .filter(F.col("sum_o_totalprice") > 3_000_000))
 
 
 def top_n(t, n: int = 10) -> DataFrame:
     """Top suppliers by lineitem price; ties broken by name then key."""
-    li = t.lineitem.select("l_suppkey", "l_extendedprice")
+    per_supp = _partial(t.lineitem, "l_suppkey", "l_extendedprice")
     s = t.supplier.select("s_suppkey", "s_name")
-    return (li.join(s, li.l_suppkey == s.s_suppkey)
+    return (per_supp.join(s, per_supp.l_suppkey == s.s_suppkey)
             .groupBy("s_suppkey", "s_name")
-            .agg(money_sum("l_extendedprice").alias("sum_l_extendedprice"))
+            .agg(_final("SUM").alias("sum_l_extendedprice"))
             .orderBy(F.desc("sum_l_extendedprice"), "s_name", "s_suppkey")
             .limit(n))
 
