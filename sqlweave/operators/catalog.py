@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sqlweave.functions.text import norm_owner, norm_type
+from sqlweave.operators.ranking import rank_over
 
 # -- fixed values of the role rules --------------------------------------------
 QTY_HINTS = ("quantity", "qty")
@@ -112,18 +113,12 @@ def catalog_synonyms(tables: DataFrame, synonyms: DataFrame) -> DataFrame:
              .select("owner", "base",
                      F.coalesce("syn", F.lower(F.concat_ws(".", "owner", "base"))).alias("canonical")))
     names = canon.select("canonical").distinct()
-    # one row per table name (metadata sized): a global order is cheap here
-    pos = names.withColumn("table_pos", F.dense_rank().over(_global_order("canonical")))
+    # position in sorted name order, without a single-task window
+    pos = rank_over(names, "canonical", [], func="row_number", out="table_pos", ascending=True)
     return canon.join(pos, "canonical").select("owner", F.col("base").alias("table_name"),
                                                 "canonical", "table_pos")
 
 
-def _global_order(col):
-    from pyspark.sql import Window
-    # metadata-sized (one row per table name)
-    return Window.orderBy(col)
-
-
 def catalog_columns(columns: DataFrame, canon: DataFrame) -> DataFrame:
     """Columns of kept tables in column_id order; nullable = 'Y'."""
     c = columns.select(F.upper("owner").alias("owner"), F.upper("table_name").alias("table_name"),

@@ -89,10 +89,12 @@ def _local_ranks(keys: list[str], order_col: str):
 
 
 def rank_over(df: DataFrame, order_col: str, partition_cols=(), func: str = "rank",
-              tiebreak=(), out: str = "rnk", num_partitions: int | None = None) -> DataFrame:
+              tiebreak=(), out: str = "rnk", num_partitions: int | None = None,
+              ascending: bool = False) -> DataFrame:
     """Add ``out`` = func() OVER (PARTITION BY partition_cols ORDER BY order_col DESC).
 
-    NULL order values sort last, as in Spark and DuckDB for DESC.
+    ``ascending`` flips the order. NULL order values sort last either way, as
+    in Spark and DuckDB by default.
     """
     func = func.lower()
     if func not in _FUNCS:
@@ -104,7 +106,8 @@ def rank_over(df: DataFrame, order_col: str, partition_cols=(), func: str = "ran
     if not keys:
         base = base.withColumn("_k", F.lit(0))
         keys = ["_k"]
-    range_key = [F.col(k).asc_nulls_first() for k in keys] + [F.col(order_col).desc_nulls_last()]
+    by = F.col(order_col).asc_nulls_last() if ascending else F.col(order_col).desc_nulls_last()
+    range_key = [F.col(k).asc_nulls_first() for k in keys] + [by]
     sort_key = range_key + [F.col(c).asc_nulls_first() for c in tiebreak]
     ordered = (base.repartitionByRange(p, *range_key)
                .sortWithinPartitions(*sort_key)
