@@ -17,12 +17,13 @@ from sqlweave.plans.catalog_jobs import EXPECTED_FKS
 from sqlweave.sources import star
 from sqlweave.sources.star import star_catalog
 
-QID = F.col("conv_id") * 1_000_000 + F.col("turn")
+def _qid():
+    return F.col("conv_id") * 1_000_000 + F.col("turn")
 
 
 def user_questions(t):
     c = t.conversations.filter(F.col("role") == "user")
-    return c.select(QID.alias("qid"), "text")
+    return c.select(_qid().alias("qid"), "text")
 
 
 def q_pretokens(t):
@@ -201,7 +202,7 @@ def q_label_phrases(t):
 def q_clean_question(t):
     from sqlweave.functions.text import clean_question
     c = t.conversations.filter(F.col("role") == "user")
-    return c.select(QID.alias("qid"), clean_question(F.regexp_replace(
+    return c.select(_qid().alias("qid"), clean_question(F.regexp_replace(
         "text", r"[\t\n\r\f\x0B]", " ")).alias("question"))
 
 

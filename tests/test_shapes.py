@@ -52,3 +52,14 @@ def test_year_filter_reaches_parquet(spark, small):
     plan = l1_list(small)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThanOrEqual(o_orderdate" in plan
     assert "LessThan(o_orderdate" in plan
+
+
+def test_registry_imports_without_spark():
+    import subprocess
+    import sys
+    code = ("import __spark_entry__ as E; q = E.queries(); s = E.oracle_sql(); "
+            "assert set(s) <= set(q); print(len(q))")
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True,
+                         cwd=__import__("os").path.dirname(__import__("os").path.dirname(
+                             __import__("os").path.abspath(__file__))), timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
