@@ -90,7 +90,7 @@ def link_score(questions: DataFrame, cat_columns: DataFrame) -> DataFrame:
         qid_type = questions.schema["qid"].dataType.simpleString()
         hits = questions.select("qid", "text").mapInPandas(
             _phrase_finder(phrase_list), f"qid {qid_type}, phrase string")
-        by_phrase = (hits.join(F.broadcast(ph), "phrase")
+        by_phrase = (hits.join(_bounded(ph, "phrase table"), "phrase")
                      .groupBy("qid", "table_name").agg(F.sum("weight").alias("score")))
         parts.append(by_phrase)
     scores = parts[0]
