@@ -66,7 +66,7 @@ def q_catalog_flex_lookups(t):
     _, cols, _ = star_catalog(t)
     return (cols.filter(F.col("role").isin("lookup", "flexfield_segment"))
             .select("table_name", "column_name", "role", "business_label", "lookup_type",
-                    F.size("allowed_values").alias("n_values"),
+                    F.size("allowed_values").cast("long").alias("n_values"),
                     _csv("allowed_values").alias("allowed_values")))
 
 

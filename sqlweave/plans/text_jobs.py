@@ -44,7 +44,7 @@ def q_link_score(t):
 def q_link_tables(t):
     tabs, cols, fks = star_catalog(t)
     lt = link_tables(user_questions(t), tabs, cols, fks)
-    return lt.select("qid", F.coalesce(F.size("tables"), F.lit(0)).alias("n_tables"),
+    return lt.select("qid", F.coalesce(F.size("tables"), F.lit(0)).cast("long").alias("n_tables"),
                      F.coalesce(F.array_join("tables", ","), F.lit("")).alias("tables"),
                      "link_all")
 
