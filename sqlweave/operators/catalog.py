@@ -216,6 +216,18 @@ def extract_catalog(columns: DataFrame, pks: DataFrame, flex: DataFrame | None =
         F.lit(schema_id).alias("schema_id"), "table_name", "table_pos", "col_pos", "column_name",
         "type", "nullable", "is_pk", "role", "business_label", "lookup_type", "allowed_values")
 
+    cat_tables, cat_fks = tables_and_fks(cat_columns, rules, schema_id, declared_fks)
+    return cat_tables, cat_columns, cat_fks
+
+
+def tables_and_fks(cat_columns: DataFrame, rules: RoleRules | None = None,
+                   schema_id: str = "catalog", declared_fks: DataFrame | None = None):
+    """(cat_tables, cat_fks) derived from finished cat_columns."""
+    rules = rules or RoleRules()
+    spark = cat_columns.sparkSession
+    if declared_fks is None:
+        declared_fks = spark.createDataFrame(
+            [], "from_table string, from_column string, to_table string, to_column string")
     org = F.max(F.col("role") == "org_id")
     cat_tables = (cat_columns.groupBy("schema_id", "table_name", "table_pos")
                   .agg(org.alias("_has_org"))
@@ -223,7 +235,7 @@ def extract_catalog(columns: DataFrame, pks: DataFrame, flex: DataFrame | None =
                               F.col("table_name").endswith(rules.multi_org_suffix) & F.col("_has_org"))
                   .drop("_has_org"))
     cat_fks = infer_fks(cat_columns, declared_fks, rules)
-    return cat_tables, cat_columns, cat_fks.withColumn("schema_id", F.lit(schema_id))
+    return cat_tables, cat_fks.withColumn("schema_id", F.lit(schema_id))
 
 
 def infer_fks(cat_columns: DataFrame, declared_fks: DataFrame, rules: RoleRules | None = None

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sqlweave.session import ensure_checkpoint_dir
+from sqlweave.session import materialize
 
 
 def undirected_edges(cat_fks: DataFrame) -> DataFrame:
@@ -27,8 +28,7 @@ def undirected_edges(cat_fks: DataFrame) -> DataFrame:
 
 def _cut(df: DataFrame, rnd: int, every: int = 4) -> DataFrame:
     if rnd % every == 0:
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
+        return materialize(df, "frontier")
     return df
 
 

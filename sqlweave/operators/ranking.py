@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sqlweave.session import ensure_checkpoint_dir
+from sqlweave.session import materialize
 
 _FUNCS = ("rank", "dense_rank", "row_number")
 
@@ -119,7 +120,7 @@ def rank_over(df: DataFrame, order_col: str, partition_cols=(), func: str = "ran
     # consumers below must read one partitioning. A reliable checkpoint in the
     # shared checkpoint folder also survives executor loss.
     ensure_checkpoint_dir(spark)
-    local = ordered.mapInPandas(_local_ranks(keys, order_col), schema).checkpoint(eager=True)
+    local = materialize(ordered.mapInPandas(_local_ranks(keys, order_col), schema), "ranked")
 
     summary = local.groupBy("_pid").agg(
         F.min_by(F.struct(*keys), "_seq").alias("f"),

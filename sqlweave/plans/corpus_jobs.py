@@ -17,6 +17,7 @@ from sqlweave.operators.corpus import (build_examples, corpus_texts, feature_cov
 from sqlweave.operators.specs import enumerate_specs, spec_tables, validate_specs
 from sqlweave.sources.star import star_catalog
 from sqlweave.session import ensure_checkpoint_dir
+from sqlweave.session import materialize
 
 N_COPIES = 4
 N_PER_LEVEL = 10
@@ -43,10 +44,10 @@ def corpus(t):
 def _corpus(t):
     ensure_checkpoint_dir(t.spark)
     tabs, cols, fks = corpus_catalog(t)
-    tabs, cols, fks = (tabs.checkpoint(eager=True), cols.checkpoint(eager=True),
-                       fks.checkpoint(eager=True))
-    specs = enumerate_specs(tabs, cols, fks, n_per_level=N_PER_LEVEL).checkpoint(eager=True)
-    ex = build_examples(specs, tabs, cols, fks, K_PARAPHRASES).checkpoint(eager=True)
+    tabs, cols, fks = (materialize(tabs, "corpus_tables"), materialize(cols, "corpus_columns"),
+                       materialize(fks, "corpus_fks"))
+    specs = materialize(enumerate_specs(tabs, cols, fks, n_per_level=N_PER_LEVEL), "specs")
+    ex = materialize(build_examples(specs, tabs, cols, fks, K_PARAPHRASES), "examples")
     return tabs, cols, fks, specs, ex
 
 

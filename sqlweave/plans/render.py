@@ -110,8 +110,7 @@ def with_sql(specs: DataFrame) -> DataFrame:
         F.lit(" DESC) AS rnk"))
     items = (F.when(sh.isin("agg", "having", "top_n"), F.concat(sel, F.array(agg_item)))
              .when(sh == "agg_global", F.array(agg_item))
-             .when(sh == "window", F.concat(F.slice(sel, 1, F.size(sel) - 1),
-                                            F.array(_at(sel, -1)), F.array(win)))
+             .when(sh == "window", F.concat(sel, F.array(win)))
              .otherwise(sel))
     inner_sel = F.when(F.col("inner.func").isNotNull(), F.concat(
         F.col("inner.func"), F.lit("("), _ref(ia, F.col("inner.from_table"), F.col("inner.col")),

@@ -55,3 +55,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="sqlweave-ckpt-")
     sc.setCheckpointDir(path)
     return path
+
+
+def materialize(df, label: str = "t"):
+    """Write ``df`` once as parquet under the checkpoint folder and read it back.
+
+    Cuts lineage like ``checkpoint()`` but computes the plan only once (an
+    eager checkpoint of an uncached plan computes it twice), and the copy lives
+    in the shared folder, so it survives executor loss.
+    """
+    import uuid
+    root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{root}/tables/{label}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

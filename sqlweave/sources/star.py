@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sqlweave.operators.catalog import RoleRules, extract_catalog
+from sqlweave.operators.catalog import RoleRules, extract_catalog, tables_and_fks
 from sqlweave.session import ensure_checkpoint_dir
+from sqlweave.session import materialize
 
 # -- fixed values of the stand-in configuration -----------------------------------
 CATALOG_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -159,17 +160,19 @@ def _star_catalog(t, schema_id: str):
             .join(null_profile(t).select("table_name", "column_name",
                                          (F.col("n_nulls") > 0).alias("nullable")),
                   ["table_name", "column_name"], "left")
-            .withColumn("nullable", F.coalesce("nullable", F.lit(True)))).checkpoint(eager=True)
-    domains = lookup_domains(t).checkpoint(eager=True)
+            .withColumn("nullable", F.coalesce("nullable", F.lit(True))))
+    cols = materialize(cols, "profiled_columns")
+    domains = materialize(lookup_domains(t), "lookup_domains")
     pks = spark.createDataFrame([(tb, c) for tb, cs in PRIMARY_KEYS.items() for c in cs],
                                 "table_name string, column_name string")
     flex = spark.createDataFrame([(a, b, c) for (a, b), c in FLEX_LABELS.items()],
                                  "table_name string, column_name string, business_label string")
     rules = RoleRules(org_columns=ORG_COLUMNS)
-    tabs, cat_cols, fks = extract_catalog(cols, pks, flex, domains, None, rules, schema_id)
-    # metadata-sized results, pinned so every consumer reads them once
-    return (tabs.checkpoint(eager=True), cat_cols.checkpoint(eager=True),
-            fks.checkpoint(eager=True))
+    _, cat_cols, _ = extract_catalog(cols, pks, flex, domains, None, rules, schema_id)
+    # metadata-sized results, written once so every consumer reads them cheaply
+    cat_cols = materialize(cat_cols, "cat_columns")
+    tabs, fks = tables_and_fks(cat_cols, rules, schema_id)
+    return materialize(tabs, "cat_tables"), cat_cols, materialize(fks, "cat_fks")
 
 
 def fk_orphans(t, cat_fks: DataFrame) -> DataFrame:
