@@ -11,8 +11,8 @@ key is spread over many tasks:
 2. one Arrow-batched pass per partition computes local row number, rank and
    dense rank, streaming batch to batch (memory is one batch);
 3. the locally ranked rows (with their partition id and position as columns)
-   are written once to the shared checkpoint folder: range bounds are sampled
-   per evaluation, so both readers must see one copy;
+   are checkpointed once to the shared folder: range bounds are sampled per
+   evaluation, so both readers must see one copy;
 4. a summary of at most P rows (first and last key of every partition, with
    the last key's local counts) gives, for a key continuing from earlier
    partitions, the rows and distinct values that precede it; it is joined
@@ -117,7 +117,7 @@ def rank_over(df: DataFrame, order_col: str, partition_cols=(), func: str = "ran
               .add("_seq", T.LongType()).add("_lrow", T.LongType())
               .add("_ldense", T.LongType()).add("_lrank", T.LongType()))
     # Materialize once: the range bounds are sampled per evaluation, so the two
-    # consumers below must read one copy; the written table also survives
+    # consumers below must read one copy; the checkpoint also survives
     # executor loss.
     local = materialize(ordered.mapInPandas(_local_ranks(keys, order_col), schema), "ranked")
 

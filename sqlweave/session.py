@@ -58,14 +58,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df, label: str = "t"):
-    """Write ``df`` once as parquet under the checkpoint folder and read it back.
+    """Cut lineage with a reliable checkpoint, computing the plan only once.
 
-    Cuts lineage like ``checkpoint()`` but computes the plan only once (an
-    eager checkpoint of an uncached plan computes it twice), and the copy lives
-    in the shared folder, so it survives executor loss.
+    An eager ``checkpoint()`` of an uncached plan computes it twice (one pass
+    to count, one to write). Here the rows are cached first, so the checkpoint
+    files in the shared folder are written from the cache. The copy survives
+    executor loss; ``label`` only names the call site.
     """
-    import uuid
-    root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{root}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    from pyspark import StorageLevel
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    cached.count()
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
