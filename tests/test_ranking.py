@@ -35,3 +35,11 @@ def test_global_rank_spans_partitions(spark):
     got = rank_over(df, "v", [], func="rank", num_partitions=12).toPandas()
     exp = pdf["v"].fillna(-1e18).rank(method="min", ascending=False).astype(int)
     assert (got.sort_values("id")["rnk"].to_numpy() == exp.to_numpy()).all()
+
+
+def test_ascending_row_number_over_strings(spark):
+    names = [f"t{i:03d}" for i in range(500)][::-1]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = rank_over(df, "name", [], func="row_number", ascending=True, num_partitions=7,
+                    out="pos").toPandas()
+    assert (got.sort_values("name")["pos"].to_numpy() == np.arange(1, 501)).all()
