@@ -72,3 +72,56 @@ def materialize(df, label: str = "t"):
     out = cached.checkpoint(eager=True)
     cached.unpersist()
     return out
+
+
+def scratch_path(spark: SparkSession, label: str = "t") -> str:
+    """A fresh folder name under ``spark.checkpoint.dir`` (shared by driver and executors)."""
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/sqlweave/{label}-{uuid.uuid4().hex}"
+
+
+def write_table(df, label: str = "t"):
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    Cuts lineage like a checkpoint, computes the plan once, keeps column
+    pruning for the readers, and survives the loss of executors.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop_table(df) -> None:
+    """Delete the files behind a table made by ``write_table`` once nothing reads it any more."""
+    path = getattr(df, "_scratch_path", None)
+    if path:
+        spark = df.sparkSession
+        hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application (for Arrow functions).
+
+    Without it a worker can import the package only where the driver's path
+    happens to be set on every machine.
+    """
+    import zipfile
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="sqlweave-pkg-"), "sqlweave_pkg.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("sqlweave", os.path.relpath(full, root)))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
