@@ -57,6 +57,7 @@ class Tables:
         for t in self.added:
             vocab.pop(t, None)
         size = max([*vocab.values(), *self.added.values()]) + 1
+        self.wide = size > 1 << 16  # ids need more than 16 bits
         self.length = [0] * size
         self.rank, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
         self.shorter = [-1] * size
