@@ -226,6 +226,19 @@ def score(df: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "text"
     return df.select(key, text).mapInArrow(run, f"`{key}` {ktype}, score double")
 
 
+def keep(docs: DataFrame, scorer: Scorer, text: str = "text", least: float = KEEP) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores at least ``least``; nothing is shuffled."""
+    ship_package(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((scorer.weights, scorer.bias))
+    at = docs.columns.index(text)
+
+    def run(batches):
+        s = Scorer(*shared.value)
+        for b in slices(batches):
+            yield b.filter(pa.array([s.score(x) >= least for x in b.column(at).to_pylist()], pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, and which are kept."""
     docs = load(spark, sf_dir, "documents")

@@ -172,6 +172,19 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return df.select(key, text).mapInArrow(run, f"`{key}` {ktype}, lang_pred string, score double")
 
 
+def keep(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that have a language with at least that score."""
+    ship_package(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for b in slices(batches):
+            found = [shared.value.predict(x) for x in b.column(at).to_pylist()]
+            yield b.filter(pa.array([k != "und" and s >= least for k, s in found], pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: str = "doc_id"):
     """True for the fold that is never learned from."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2

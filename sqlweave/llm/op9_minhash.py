@@ -247,6 +247,22 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     return known.union(rows.filter("k1 is null").select("id", F.col("id").alias("class_id")))
 
 
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """The rows of ``docs``, all columns, without later members of a class.
+
+    Rows that share their id with another row are reduced to one; rows with a null id stay.
+    """
+    classes = near_classes(docs, key, text, similar)
+    per_id = classes.groupBy("id").agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    dropped = write_table(per_id.filter("id != class_id or n > 1").select(
+        F.col("id").alias(key), (F.col("id") == F.col("class_id")).alias("_again")), "dropped")
+    rest = docs.join(dropped.select(key), key, "left_anti")
+    again = dropped.filter("_again").select(key)
+    if not again.isEmpty():
+        rest = rest.unionByName(docs.join(again, key, "left_semi").dropDuplicates([key]))
+    return rest.select(*docs.columns)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     docs = load(spark, sf_dir, "documents")

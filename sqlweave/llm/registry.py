@@ -9,13 +9,12 @@ MODULES = ("op1_bpe", "op2_quality", "op3_shards", "op4_neardup", "op5_warc", "o
 
 
 def _modules():
-    from importlib.util import find_spec
-    return [importlib.import_module(f"sqlweave.llm.{m}") for m in MODULES
-            if find_spec(f"sqlweave.llm.{m}")]
+    return [importlib.import_module(f"sqlweave.llm.{m}") for m in MODULES]
 
 
 def queries() -> dict:
-    out = {}
+    import corpus_pipeline
+    out = {"pipeline": corpus_pipeline.run}
     for m in _modules():
         out.update(m.QUERIES)
     return out
@@ -25,4 +24,7 @@ def oracle_sql() -> dict:
     out = {}
     for m in _modules():
         out.update(m.SQL)
+    import corpus_pipeline
+    if corpus_pipeline.ORACLE_SQL is not None:
+        out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
