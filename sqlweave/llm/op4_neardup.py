@@ -39,31 +39,29 @@ COSINE = 0.93
 SAMPLE = 16_384  # vectors that the rotation is learned from
 
 
-def learn_rotation(x: np.ndarray, rounds: int = 30, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection to BITS columns) learned from unit vectors in the rows of ``x``."""
+def learn_rotation(x: np.ndarray, rounds: int = 30, seed: int = 1) -> np.ndarray:
+    """Projection to BITS columns learned from unit vectors in the rows of ``x``.
+
+    The vectors aren't centred: planes through the origin part two vectors with a
+    probability that depends on their angle alone, also inside a dense group.
+    """
     d = x.shape[1]
-    mean = x.mean(0) if len(x) else np.zeros(d)
-    centred = x - mean
-    order = np.argsort(np.linalg.eigvalsh(centred.T @ centred))[::-1] if len(x) else np.arange(d)
-    axes = np.linalg.eigh(centred.T @ centred)[1][:, order] if len(x) else np.eye(d)
     c = min(d, BITS)
-    axes = axes[:, :c]
-    rng, parts = np.random.default_rng(seed), []
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :c] if len(x) else np.eye(d)[:, :c]
+    rng, parts, v = np.random.default_rng(seed), [], x @ axes
     while sum(p.shape[1] for p in parts) < BITS:
         rotation = np.linalg.qr(rng.standard_normal((c, c)))[0]
-        v = centred @ axes
         for _ in range(rounds if len(x) else 0):
             signs = np.where(v @ rotation >= 0, 1.0, -1.0)
             left, _, right = np.linalg.svd(signs.T @ v)
             rotation = (left @ right).T
         parts.append(axes @ rotation)
-    return mean, np.concatenate(parts, axis=1)[:, :BITS]
+    return np.concatenate(parts, axis=1)[:, :BITS]
 
 
-def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
+def codes(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
     """64-bit codes of unit vectors, as signed integers."""
-    bits = ((x - mean) @ projection >= 0)
-    return np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
+    return np.packbits(x @ projection >= 0, axis=1, bitorder="little").view("<i8").ravel()
 
 
 def _matrix(column, d: int) -> np.ndarray:
@@ -100,7 +98,7 @@ def encode(firsts: DataFrame, sample: int = SAMPLE) -> DataFrame:
             out = np.zeros(b.num_rows, np.int64)
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                out[at] = codes(_unit(_matrix(b.column("vector").take(pa.array(at)), d)), *shared.value[d])
+                out[at] = codes(_unit(_matrix(b.column("vector").take(pa.array(at)), d)), shared.value[d])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "code"])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in firsts.schema.fields)
     return firsts.mapInArrow(run, schema + ", code long")
