@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlweave.llm.common import load, slices
-from sqlweave.llm.op1_bpe import tables_of, vocabulary
+from sqlweave.llm.op1_bpe import PATTERN, tables_of, vocabulary
 from sqlweave.operators.numbering import row_numbers
 from sqlweave.session import write_table
 
@@ -99,6 +99,32 @@ def segments(windows: list, aside: dict[int, int], counts: dict[int, int], capac
     return out, sequence + -(-place // capacity)
 
 
+_QUICK: dict[int, object] = {}
+
+
+def quick_encoder(spec):
+    """A function from text to ids with the vocabulary's own exact results, built once per worker.
+
+    Rank-ordered vocabularies are encoded by the tiktoken library; it takes ids for
+    ranks, so others go to this package's encoder.
+    """
+    if spec.id not in _QUICK:
+        t = tables_of(spec)
+        made = [(r, i) for i, r in enumerate(t.rank) if r >= 0]
+        singles = [i for i, r in enumerate(t.rank) if r < 0 and t.length[i] == 1]
+        ordered = sorted(made) == sorted(made, key=lambda x: x[1]) and max(singles) < min(i for _, i in made)
+        _QUICK.clear()
+        if ordered:
+            import tiktoken
+            ranks = {t.blob[t.offsets[i]:t.offsets[i + 1]].tobytes(): i for i in range(len(t.length)) if t.length[i]}
+            lib = tiktoken.Encoding("vocabulary", pat_str=PATTERN.replace("++", "+"), mergeable_ranks=ranks,
+                                    special_tokens=t.added)
+            _QUICK[spec.id] = lambda x: lib.encode_to_numpy(x, allowed_special="all", disallowed_special=())
+        else:
+            _QUICK[spec.id] = lambda x: np.array(t.encode(x), np.uint32)
+    return _QUICK[spec.id]
+
+
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -112,23 +138,21 @@ def tokenize(df: DataFrame, spec, capacity: int, key: str = "doc_id", text: str
     ktype = df.schema[key].dataType.simpleString()
 
     def run(batches):
-        t = tables_of(spec)
+        ids_of, wide = quick_encoder(spec), tables_of(spec).wide
         for b in slices(batches):
             n, full, crc, rest = [], [], [], []
             for x in b.column(1).to_pylist():
-                ids = t.encode(x) if x else []
-                ids.append(END_ID)
-                ids = np.array(ids, np.uint32)
+                ids = np.append(ids_of(x or ""), np.uint32(END_ID))
                 cut = len(ids) // capacity * capacity
                 n.append(len(ids))
                 full.append([_crc(ids[i:i + capacity]) for i in range(0, cut, capacity)])
                 crc.append(_crc(ids[cut:]))
-                rest.append(ids[cut:].astype("<u4" if t.wide else "<u2").tobytes())
+                rest.append(ids[cut:].astype("<u4" if wide else "<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(full, pa.list_(pa.int64())),
                  pa.array([x % capacity for x in n], pa.int32()), pa.array(crc, pa.int64()),
                  pa.array(rest, pa.binary()),
-                 pa.array([t.wide] * len(n), pa.bool_())],
+                 pa.array([wide] * len(n), pa.bool_())],
                 [key, "n_tokens", "full", "rest_len", "rest_crc", "rest", "wide"])
     return df.select(key, text).mapInArrow(
         run, f"`{key}` {ktype}, n_tokens long, full array<long>, rest_len int, rest_crc long, "

@@ -131,3 +131,17 @@ def test_packing_one_length(spark, library):
     docs = spark.createDataFrame([(i, "one two three") for i in range(100)], "doc_id long, text string")
     rows = place_pieces(tokenize(docs, vocabulary(spark), 7), 7).collect()
     check_packing(rows, {i: ids_of(library, "one two three") + [0] for i in range(100)}, 7)
+
+
+def test_quick_encoder_equals_library(own, library):
+    from sqlweave.llm import op7_packing
+
+    class Spec:
+        id = -1
+        with open(vocab_path(), "rb") as f:
+            value = f.read()
+    quick = op7_packing.quick_encoder(Spec)
+    texts = [t or "" for _, t, _, _ in ODD_ROWS] + ["'s 're <|endoftext|> x\n\n y", "a" * 9_999]
+    texts += ["".join(f"a{chr(c)}1 {chr(c)}." for c in range(i, i + 512)) for i in range(0, 0xD800, 512)]
+    for t in texts:
+        assert quick(t).tolist() == ids_of(library, t) == own.encode(t)
