@@ -34,38 +34,6 @@ def date_part(col, part: str) -> Column:
     return fn(_c(col))
 
 
-def money_sum(col) -> Column:
-    """Exact money total: cents are summed as DECIMAL, then returned as DOUBLE.
-
-    Summing doubles in a different order changes the last digits; the
-    decimal sum is order independent, so every engine gets the same value.
-    """
-    return F.sum(_c(col).cast(MONEY)).cast("double")
-
-
-def money_avg(col) -> Column:
-    """Mean as (exact decimal total as double) / count: the same IEEE division everywhere."""
-    c = _c(col)
-    return F.sum(c.cast(MONEY)).cast("double") / F.count(c)
-
-
-def agg_expr(func: str, col) -> Column:
-    """One of the five aggregate functions the query shapes draw."""
-    func = func.upper()
-    c = _c(col)
-    if func == "SUM":
-        return money_sum(c)
-    if func == "AVG":
-        return money_avg(c)
-    if func == "MAX":
-        return F.max(c)
-    if func == "MIN":
-        return F.min(c)
-    if func == "COUNT":
-        return F.count(c)
-    raise ValueError(f"unknown aggregate {func}")
-
-
 def sql_literal(value) -> str:
     """SQL text of a literal: strings quoted with ``'`` doubled; numbers bare."""
     if isinstance(value, str):

@@ -4,10 +4,11 @@ Lint recipe per statement (all JVM-side):
 1. blank quoted literals, so nothing inside a string is read as SQL;
 2. drop the ``FIELD FROM`` inside ``EXTRACT(FIELD FROM x)``: that FROM starts
    an expression, not a table;
-3. extract (table, alias) after FROM / JOIN, ``alias.column`` refs, and the
-   ``a.x = b.y`` pairs inside each ON clause.
+3. extract (table, alias) after FROM / JOIN and in comma lists, ``alias.column``
+   refs, and the ``a.x = b.y`` pairs of two aliases.
 
-Issues: unknown table; unknown ``alias.column`` on a known table; a join
+Issues: text that is no query (no SELECT or WITH, an empty select list, or
+unbalanced parentheses); unknown table; unknown ``alias.column`` on a known table; a join
 between two tables with no FK edge; a join on columns that are not the key of
 an FK between the two tables (any FK of the pair counts). An unknown alias is
 let pass and unqualified columns are not checked. The alias map spans all
@@ -34,8 +35,11 @@ EXTRACT_FIELDS = ("YEAR", "MONTH", "DAY", "HOUR", "MINUTE", "SECOND")
 _TABLE_RE = (r"(?i)\b(?:FROM|JOIN)\s+(" + IDENT + r")(?![.\w])(?:\s+(?:AS\s+)?(?!(?:"
              + "|".join(NOT_ALIAS) + r")\b)(" + IDENT + r"))?")
 _REF_RE = r"\b(" + IDENT + r")\.(" + IDENT + r")\b"
-_ON_RE = (r"(?is)\bON\s+(.*?)(?=\bJOIN\b|\bWHERE\b|\bGROUP\b|\bORDER\b|\bHAVING\b|\bLIMIT\b"
-          r"|\bUNION\b|\)|$)")
+# a FROM list up to the next clause; its items after a comma are tables as well
+_FROM_RE = (r"(?is)\bFROM\s+([^()]*?)(?=\(|\)|\bWHERE\b|\bGROUP\b|\bORDER\b|\bHAVING\b|\bLIMIT\b"
+            r"|\bUNION\b|\bFETCH\b|\bWINDOW\b|$)")
+_ITEM_RE = r"(?i)^\s*(" + IDENT + r")(?:\s+(?:AS\s+)?(?!(?:" + "|".join(NOT_ALIAS) + r")\b)(" + IDENT + r"))?"
+_QUERY_RE = r"(?is)^[\s(]*(SELECT\s+(?!FROM\b)\S|WITH\s+\S)"
 _PAIR_RE = r"\b(" + IDENT + r")\.(" + IDENT + r")\s*=\s*(" + IDENT + r")\.(" + IDENT + r")\b"
 
 
@@ -48,9 +52,15 @@ def prepare(sql) -> F.Column:
 def references(stmts: DataFrame) -> dict:
     """Exploded references of (schema_id, sql_id, sql) statements."""
     s = stmts.select("schema_id", "sql_id", prepare(F.col("sql")).alias("_s"))
-    tabs = s.select("schema_id", "sql_id", F.posexplode(F.arrays_zip(
-        F.regexp_extract_all("_s", F.lit(_TABLE_RE), 1).alias("t"),
-        F.regexp_extract_all("_s", F.lit(_TABLE_RE), 2).alias("a"))).alias("pos", "x")).select(
+    listed = F.filter(F.flatten(F.transform(
+        F.regexp_extract_all("_s", F.lit(_FROM_RE), 1),
+        lambda c: F.slice(F.split(c, ","), 2, F.size(F.split(c, ","))))), lambda x: x.rlike(_ITEM_RE))
+    named_tables = F.arrays_zip(F.regexp_extract_all("_s", F.lit(_TABLE_RE), 1).alias("t"),
+                                F.regexp_extract_all("_s", F.lit(_TABLE_RE), 2).alias("a"))
+    listed_tables = F.transform(listed, lambda x: F.struct(
+        F.regexp_extract(x, _ITEM_RE, 1).alias("t"), F.regexp_extract(x, _ITEM_RE, 2).alias("a")))
+    tabs = s.select("schema_id", "sql_id", F.posexplode(F.concat(named_tables, listed_tables))
+                    .alias("pos", "x")).select(
         "schema_id", "sql_id", "pos", F.lower(F.col("x.t")).alias("table_name"),
         F.lower(F.col("x.a")).alias("alias"))
     # alias -> table over all scopes: the table's own name, then aliases; last one wins
@@ -66,15 +76,14 @@ def references(stmts: DataFrame) -> dict:
         F.regexp_extract_all("_s", F.lit(_REF_RE), 2).alias("c"))).alias("x")).select(
         "schema_id", "sql_id", F.lower(F.col("x.q")).alias("alias"),
         F.lower(F.col("x.c")).alias("column_name"))
-    ons = s.select("schema_id", "sql_id",
-                   F.explode(F.regexp_extract_all("_s", F.lit(_ON_RE), 1)).alias("on"))
-    pairs = ons.select("schema_id", "sql_id", F.explode(F.arrays_zip(
-        F.regexp_extract_all("on", F.lit(_PAIR_RE), 1).alias("a1"),
-        F.regexp_extract_all("on", F.lit(_PAIR_RE), 2).alias("c1"),
-        F.regexp_extract_all("on", F.lit(_PAIR_RE), 3).alias("a2"),
-        F.regexp_extract_all("on", F.lit(_PAIR_RE), 4).alias("c2"))).alias("x")).select(
+    # a.x = b.y joins two tables wherever it stands: in ON, or in WHERE under a comma list
+    pairs = s.select("schema_id", "sql_id", F.explode(F.arrays_zip(
+        F.regexp_extract_all("_s", F.lit(_PAIR_RE), 1).alias("a1"),
+        F.regexp_extract_all("_s", F.lit(_PAIR_RE), 2).alias("c1"),
+        F.regexp_extract_all("_s", F.lit(_PAIR_RE), 3).alias("a2"),
+        F.regexp_extract_all("_s", F.lit(_PAIR_RE), 4).alias("c2"))).alias("x")).select(
         "schema_id", "sql_id", F.lower("x.a1").alias("a1"), F.lower("x.c1").alias("c1"),
-        F.lower("x.a2").alias("a2"), F.lower("x.c2").alias("c2"))
+        F.lower("x.a2").alias("a2"), F.lower("x.c2").alias("c2")).filter("a1 != a2")
     return {"tables": tabs, "aliases": amap, "refs": refs, "pairs": pairs}
 
 
@@ -108,13 +117,19 @@ def lint_sql(stmts: DataFrame, cat_columns: DataFrame, cat_fks: DataFrame) -> Da
     edge = both.select("schema_id", "t1", "t2").distinct()
     not_edge = (p.join(edge, ["schema_id", "t1", "t2"], "left_anti")
                 .select("schema_id", "sql_id", F.lit("join_not_fk").alias("kind"),
-                        F.concat(F.col("t1"), F.lit("<->"), F.col("t2")).alias("detail")))
+                        F.concat(F.col("t1"), F.lit(" with "), F.col("t2")).alias("detail")))
     wrong_key = (p.join(edge, ["schema_id", "t1", "t2"], "left_semi")
                  .join(both, ["schema_id", "t1", "c1", "t2", "c2"], "left_anti")
                  .select("schema_id", "sql_id", F.lit("join_wrong_key").alias("kind"),
                          F.concat(F.col("t1"), F.lit("."), F.col("c1"), F.lit("="), F.col("t2"),
                                   F.lit("."), F.col("c2")).alias("detail")))
-    return unknown_table.unionByName(unknown_col).unionByName(not_edge).unionByName(wrong_key)
+    bare = F.col("_s")
+    count = lambda c: F.length(bare) - F.length(F.replace(bare, F.lit(c), F.lit("")))
+    no_query = (stmts.select("schema_id", "sql_id", prepare(F.col("sql")).alias("_s"))
+                .filter(~F.coalesce(bare.rlike(_QUERY_RE) & (count("(") == count(")")), F.lit(False)))
+                .select("schema_id", "sql_id", F.lit("not_a_query").alias("kind"),
+                        F.substring(F.coalesce("_s", F.lit("")), 1, 60).alias("detail")))
+    return no_query.unionByName(unknown_table).unionByName(unknown_col).unionByName(not_edge).unionByName(wrong_key)
 
 
 # -- repair ---------------------------------------------------------------------------------
@@ -148,9 +163,11 @@ _EQ_RE = r"(?i)\b(" + IDENT + r")\.(" + IDENT + r")(\s*=\s*')([^']*)(')"
 
 
 def repair_lookup(preds: DataFrame, cat_columns: DataFrame, sql_col: str = "sql") -> DataFrame:
-    """A literal outside a lookup column's domain becomes the first allowed value
-    named in the question, if any. The alias is resolved to its table first, so
-    only that table's domain applies. Adds ``sql_repaired``.
+    """A literal outside a lookup column's domain becomes the allowed value that the
+    question names as a whole word, if it names exactly one; codes of one or two
+    characters must match in case. The alias is resolved to its table first, so
+    only that table's domain applies, and only predicates on that very alias and
+    column change. Adds ``sql_repaired``.
     """
     stmts = preds.select("schema_id", "sql_id", F.col(sql_col).alias("sql"))
     amap = references(stmts)["aliases"]
@@ -164,10 +181,12 @@ def repair_lookup(preds: DataFrame, cat_columns: DataFrame, sql_col: str = "sql"
     dom = cat_columns.filter((F.col("role") == "lookup") & (F.size("allowed_values") > 0)).select(
         "schema_id", F.lower("table_name").alias("table_name"),
         F.lower("column_name").alias("column_name"), "allowed_values")
-    cand = F.filter("allowed_values", lambda v: F.lower(F.col("question")).contains(F.lower(v)))
+    whole = lambda v: F.concat(F.when(F.length(v) > 2, F.lit("(?i)")).otherwise(F.lit("")),
+                               F.lit(r"(?<!\w)\Q"), v, F.lit(r"\E(?!\w)"))
+    cand = F.filter("allowed_values", lambda v: F.regexp_like(F.col("question"), whole(v)))
     fixes = (eqs.join(amap, ["schema_id", "sql_id", "alias"])
              .join(dom, ["schema_id", "table_name", "column_name"])
-             .filter(~F.array_contains("allowed_values", F.col("val")) & (F.size(cand) > 0))
+             .filter(~F.array_contains("allowed_values", F.col("val")) & (F.size(cand) == 1))
              .select("schema_id", "sql_id", "text",
                      F.concat(F.regexp_extract("text", r"^(.*')[^']*'$", 1),
                               F.try_element_at(cand, F.lit(1)), F.lit("'")).alias("new_text"))
@@ -176,7 +195,9 @@ def repair_lookup(preds: DataFrame, cat_columns: DataFrame, sql_col: str = "sql"
     out = preds.join(fixes, ["schema_id", "sql_id"], "left")
     applied = F.aggregate(F.coalesce("fixes", F.array().cast(
         "array<struct<text:string,new_text:string>>")), F.col(sql_col),
-        lambda acc, f: F.replace(acc, f["text"], f["new_text"]))
+        lambda acc, f: F.regexp_replace(
+            acc, F.concat(F.lit(r"(?<![\w.])\Q"), f["text"], F.lit(r"\E")),
+            F.regexp_replace(f["new_text"], r"([\\$])", r"\\$1")))
     return out.withColumn("sql_repaired", applied).drop("fixes")
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqlweave.session import ensure_checkpoint_dir
+from sqlweave.operators.graph import connected_components
 from sqlweave.session import materialize
 
 
@@ -112,27 +112,14 @@ def fk_between(cat_fks: DataFrame) -> DataFrame:
             .select("t1", "t2", "fk.*"))
 
 
-def components(cat_tables: DataFrame, cat_fks: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(cat_tables: DataFrame, cat_fks: DataFrame) -> DataFrame:
     """(table_name, component): the smallest table name in its FK-connected set.
 
-    Min-label propagation: each round a table takes the smallest label among
-    itself and its neighbours; stops when no label changes. Lineage is cut
-    with a reliable checkpoint every round.
+    Tables without an FK are their own component.
     """
-    edges = _cut(undirected_edges(cat_fks).select("a", "b"), 0)
-    labels = _cut(cat_tables.select(F.col("table_name").alias("node"),
-                                    F.col("table_name").alias("label")), 0)
-    for rnd in range(1, max_rounds + 1):
-        prop = (edges.join(labels.withColumnRenamed("node", "b"), "b")
-                .select(F.col("a").alias("node"), "label"))
-        new = (labels.unionByName(prop).groupBy("node").agg(F.min("label").alias("label")))
-        new = _cut(new, rnd, every=1)
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").filter(
-            F.col("label") != F.col("old"))
-        labels = new
-        if changed.isEmpty():
-            break
-    return labels.select(F.col("node").alias("table_name"), F.col("label").alias("component"))
+    found = connected_components(cat_fks, "from_table", "to_table")
+    return cat_tables.join(found, cat_tables.table_name == found.node, "left").select(
+        "table_name", F.coalesce("component", "table_name").alias("component"))
 
 
 def join_tree(cat_fks: DataFrame, requests: DataFrame) -> DataFrame:

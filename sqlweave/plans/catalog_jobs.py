@@ -160,10 +160,8 @@ cols AS (
   SELECT r.table_name, r.table_pos, r.col_pos, r.column_name, r.data_type, r.type,
          n.n_nulls > 0 AS nullable, r.is_pk, r.role, r.business_label,
          CASE WHEN r.business_label IS NULL THEN r.lookup_type END AS lookup_type,
-         CASE WHEN r.role = 'lookup' AND dm.n_values <= {star.MAX_DOMAIN}
-              THEN dm.vals ELSE '' END AS allowed_values,
-         CASE WHEN r.role = 'lookup' AND dm.n_values <= {star.MAX_DOMAIN}
-              THEN dm.n_values ELSE 0 END AS n_values,
+         CASE WHEN r.role = 'lookup' THEN coalesce(dm.vals, '') ELSE '' END AS allowed_values,
+         CASE WHEN r.role = 'lookup' THEN coalesce(dm.n_values, 0) ELSE 0 END AS n_values,
          n.n_rows
   FROM roled r
   JOIN nulls n ON n.table_name = r.table_name AND n.column_name = r.column_name

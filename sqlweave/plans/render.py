@@ -8,10 +8,11 @@ Question wording and paraphrase frames are our own.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sqlweave.functions.phrases import FRAMES, MEASURE_VARIANTS, MEASURE_WORDS, YEAR_VARIANTS
 from sqlweave.functions.text import alias_base, clean_question, entity_label, group_label, pluralize
 
 
@@ -20,51 +21,26 @@ def _at(arr, idx):
     arr = F.col(arr) if isinstance(arr, str) else arr
     return F.try_element_at(arr, idx if isinstance(idx, Column) else F.lit(idx))
 
-# -- fixed values ------------------------------------------------------------------------
-# short words that must not be used as a bare table alias
-RESERVED_ALIASES = ("as", "at", "by", "if", "in", "is", "no", "of", "on", "or", "to", "add",
-                    "all", "and", "any", "asc", "avg", "end", "for", "key", "max", "min",
-                    "not", "out", "row", "set", "sum", "top", "use")
-MEASURE_WORDS = {"SUM": "total", "AVG": "average", "MAX": "largest", "MIN": "smallest"}
-# paraphrase frames per shape; slots: {m} measure, {g} group, {gp} group plural,
-# {d} entity plural, {c} columns, {l} measure label, {n} top n, {v} threshold,
-# {x} dimension plural, {y} fact entity, {p} ' within each <part>', {f} filters
-FRAMES = {
-    "list": ("show {c} for {d}{f}", "list the {c} of {d}{f}", "what are the {c} of {d}{f}?",
-             "give me {c} for all {d}{f}"),
-    "agg": ("{m} per {g}{f}", "what is the {m} for each {g}{f}?", "{m} grouped by {g}{f}",
-            "break down {m} by {g}{f}", "show {m} across {g}{f}"),
-    "agg_global": ("{m}{f}", "what is the {m}{f}?", "tell me the {m}{f}", "compute the {m}{f}"),
-    "having": ("{m} per {g} where the {m} is above {v}{f}",
-               "which {gp} have {m} greater than {v}{f}?", "{gp} whose {m} exceeds {v}{f}"),
-    "top_n": ("which {n} {gp} have the highest {m}{f}", "the {n} {gp} with the most {m}{f}",
-              "top {n} {gp} ranked by {m}{f}", "best {n} {gp} by {m}{f}"),
-    "above_avg": ("{d} with {l} above the average", "which {d} have a {l} higher than average?",
-                  "{d} whose {l} is above the mean"),
-    "semijoin": ("{x} that have at least one {y}{f}", "which {x} appear in {y} records{f}?",
-                 "{x} with any {y}{f}"),
-    "window": ("rank {d} by {l}{p}", "ranking of {d} by {l}{p}",
-               "order {d} by {l} and give each a rank{p}"),
-}
-MEASURE_VARIANTS = {
-    "SUM": ("total {l}", "sum of {l}", "overall {l}"),
-    "AVG": ("average {l}", "mean {l}"),
-    "MAX": ("largest {l}", "maximum {l}", "peak {l}"),
-    "MIN": ("smallest {l}", "minimum {l}", "lowest {l}"),
-    "COUNT": ("number of {d}", "count of {d}"),
-}
-YEAR_VARIANTS = (" in {v}", " during {v}", " for {v}")
-# -----------------------------------------------------------------------------------------
+_SHORT_KEYWORDS: list[str] = []
+
+
+def short_keywords() -> list[str]:
+    """Spark's SQL keywords of up to four letters: never a bare table alias."""
+    if not _SHORT_KEYWORDS:
+        spark = SparkSession.active()
+        _SHORT_KEYWORDS.extend(sorted(r[0] for r in spark.sql(
+            "SELECT DISTINCT lower(keyword) FROM sql_keywords() WHERE length(keyword) <= 4").collect()))
+    return _SHORT_KEYWORDS
 
 
 def alias_map(tables: Column) -> Column:
     """table -> alias for tables in order: initials (max 3), numbered on clash or reserved."""
-    reserved = F.array(*[F.lit(w) for w in RESERVED_ALIASES])
+    reserved = F.array(*[F.lit(w) for w in short_keywords()])
     empty = F.array().cast("array<struct<t:string,a:string>>")
 
     def step(acc, t):
         base = alias_base(t)
-        cands = F.transform(F.sequence(F.lit(1), F.lit(9)),
+        cands = F.transform(F.sequence(F.lit(1), F.size(acc) + 2),
                             lambda i: F.when(i == 1, base).otherwise(F.concat(base, i.cast("string"))))
         used = F.transform(acc, lambda y: y["a"])
         free = F.filter(cands, lambda x: ~F.array_contains(used, x) & ~F.array_contains(reserved, x))
@@ -249,21 +225,24 @@ def with_paraphrases(specs: DataFrame, k: int = 3) -> DataFrame:
 
 def paraphrase_hook(df: DataFrame, fn=None, k: int = 3, col: str = "question",
                     out: str = "hook_paraphrases") -> DataFrame:
-    """Extra phrasings from a user function ``fn(question, k) -> list[str]``.
+    """Up to ``k`` phrasings that a caller's function ``fn(question, k)`` offers for each question.
 
-    Off by default (no function: empty arrays). Blank results are dropped, the
-    list is cut to k, and any error in ``fn`` yields no phrasings for that row.
+    Without a function the column holds empty arrays. Empty phrasings don't count;
+    a question on which the function raises gets none.
     """
     if fn is None or k <= 0:
         return df.withColumn(out, F.array().cast("array<string>"))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(qs: pd.Series) -> pd.Series:
-        def one(q):
+        out = []
+        for question in qs:
             try:
-                return [p for p in fn(q, k) if p and p.strip()][:k]
-            except Exception:
-                return []
-        return qs.map(one)
+                offered = list(fn(question, k))
+            except Exception:  # the caller's function may fail in any way
+                offered = []
+            filled = [text for text in offered if (text or "").strip()]
+            out.append(filled[:k])
+        return pd.Series(out)
 
     return df.withColumn(out, run(F.col(col)))

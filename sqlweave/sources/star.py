@@ -33,7 +33,6 @@ LOOKUPS = {
     ("events", "event_type"): "EVENT_TYPE",
 }
 ORG_COLUMNS = ("l_linenumber",)
-MAX_DOMAIN = 64          # a lookup domain larger than this is left without values
 # Expected columns (name, raw dictionary type) of the catalog tables; the job
 # reads the real schemas, this list feeds the independent DuckDB twins.
 STAR_COLUMNS = {
@@ -107,12 +106,12 @@ def null_profile(t, names=CATALOG_TABLES) -> DataFrame:
     return out
 
 
-def lookup_domains(t, lookups=LOOKUPS, max_domain: int = MAX_DOMAIN) -> DataFrame:
+def lookup_domains(t, lookups=LOOKUPS) -> DataFrame:
     """(table_name, column_name, lookup_type, allowed_values) from the data.
 
     Distinct values come from a grouped count (map-side combined, so a low
-    cardinality column shuffles a handful of rows per task). A column with more
-    than ``max_domain`` values gets no domain; values are never collected for it.
+    cardinality column shuffles a handful of rows per task). Every lookup column
+    named by the caller gets its whole domain.
     """
     by_table: dict[str, list] = {}
     for (tbl, col), ltype in lookups.items():
@@ -128,11 +127,7 @@ def lookup_domains(t, lookups=LOOKUPS, max_domain: int = MAX_DOMAIN) -> DataFram
     values = parts[0]
     for p in parts[1:]:
         values = values.unionByName(p)
-    sizes = (values.groupBy("table_name", "column_name")
-             .agg(F.count("v").alias("n_values")))
-    small = sizes.filter(F.col("n_values") <= max_domain)
-    domains = (values.join(small, ["table_name", "column_name"], "left_semi")
-               .groupBy("table_name", "column_name", "lookup_type")
+    domains = (values.groupBy("table_name", "column_name", "lookup_type")
                .agg(F.sort_array(F.collect_list("v")).alias("allowed_values")))
     keys = t.spark.createDataFrame([(a, b, c) for (a, b), c in lookups.items()],
                                    "table_name string, column_name string, lookup_type string")

@@ -34,7 +34,7 @@ def test_unknown_table_and_non_fk_join(spark, demo_catalog):
            "JOIN gl_account_combos g ON g.account_combo_id = v.vendor_id")
     kinds = _lint(spark, demo_catalog, bad)
     assert ("unknown_table", "ghost_table") in kinds
-    assert ("join_not_fk", "gl_account_combos<->po_vendors") in kinds
+    assert ("join_not_fk", "gl_account_combos with po_vendors") in kinds
 
 
 def test_subquery_alias_and_extract_are_handled(spark, demo_catalog):
@@ -67,3 +67,25 @@ def test_lookup_repair(spark, demo_catalog):
     assert out == sql.replace("'PAID'", "'BLANKET'")
     ok = sql.replace("'PAID'", "'STANDARD'")
     assert _repair(spark, demo_catalog, repair_lookup, "how many blanket orders", ok) == ok
+
+
+def test_comma_join_function_in_on_and_garbage(spark, demo_catalog):
+    assert ("unknown_table", "ghost") in _lint(spark, demo_catalog, "SELECT o.order_id FROM po_orders_all o, ghost g")
+    bad = "SELECT o.order_id FROM po_orders_all o, po_vendors v WHERE v.vendor_zz = o.vendor_id"
+    assert ("unknown_column", "po_vendors.vendor_zz") in _lint(spark, demo_catalog, bad)
+    assert ("join_wrong_key", "po_orders_all.order_id=po_vendors.vendor_id") in _lint(
+        spark, demo_catalog, "SELECT o.order_id FROM po_orders_all o JOIN po_vendors v "
+                             "ON UPPER(v.vendor_name) = 'X' AND o.order_id = v.vendor_id")
+    for text in ("hello there", "SELECT FROM po_vendors", "SELECT (v.vendor_id FROM po_vendors v", "DROP TABLE x"):
+        assert "not_a_query" in {k for k, _ in _lint(spark, demo_catalog, text)}
+
+
+def test_lookup_repair_touches_only_its_alias(spark, demo_catalog):
+    from sqlweave.operators.lint import repair_lookup
+    sql = ("SELECT po.vendor_id FROM po_orders_all o JOIN po_vendors po ON o.vendor_id = po.vendor_id "
+           "WHERE o.order_type_code = 'ZZ' AND po.order_type_code = 'ZZ'")
+    out = _repair(spark, demo_catalog, repair_lookup, "blanket orders", sql)
+    assert out == sql.replace("o.order_type_code = 'ZZ' AND", "o.order_type_code = 'BLANKET' AND")
+    one = "SELECT o.order_id FROM po_orders_all o WHERE o.approval_flag = 'ZZ'"
+    assert _repair(spark, demo_catalog, repair_lookup, "any pending orders", one) == one
+    assert _repair(spark, demo_catalog, repair_lookup, "orders with flag P", one) == one.replace("ZZ", "P")

@@ -39,3 +39,13 @@ def test_join_tree_flags_unreachable(spark):
     rows = join_tree(fks, req).collect()
     assert {(r.from_table, r.to_table) for r in rows} == {("a", "b"), ("b", "c")}
     assert {r.unreachable for r in rows} == {"q"}
+
+
+def test_long_chain_is_one_component(spark):
+    from sqlweave.operators.paths import components
+    names = [f"t{i:03d}" for i in range(70)]
+    tabs = spark.createDataFrame([(n,) for n in names + ["alone"]], "table_name string")
+    fks = spark.createDataFrame([(i, a, "x", b, "x") for i, (a, b) in enumerate(zip(names, names[1:]))],
+                                "fk_pos long, from_table string, from_column string, to_table string, to_column string")
+    got = {r.table_name: r.component for r in components(tabs, fks).collect()}
+    assert {got[n] for n in names} == {"t000"} and got["alone"] == "alone"

@@ -29,12 +29,12 @@ def test_fk_orphans_counts(spark, planted):
     assert (r.n_rows, r.orphans) == (908, 5)
 
 
-def test_lookup_domain_bound(planted):
+def test_lookup_domains_are_whole(planted):
     from sqlweave.sources.star import lookup_domains
-    small = lookup_domains(planted, {("child", "flag"): "FLAG"}, max_domain=3).collect()[0]
+    small = lookup_domains(planted, {("child", "flag"): "FLAG"}).collect()[0]
     assert list(small.allowed_values) == ["A", "B", "C"]
-    none = lookup_domains(planted, {("child", "flag"): "FLAG"}, max_domain=2).collect()[0]
-    assert list(none.allowed_values) == []
+    large = lookup_domains(planted, {("parent", "name"): "NAME"}).collect()[0]
+    assert len(large.allowed_values) == 100
 
 
 def test_null_profile(planted):
