@@ -316,12 +316,6 @@ def columns_by_role(cat_columns: DataFrame, roles=None) -> DataFrame:
     return df
 
 
-def has_role(cat_columns: DataFrame, role: str) -> DataFrame:
-    """(table_name, has_role) for every table."""
-    return (cat_columns.groupBy("table_name")
-            .agg(F.max((F.col("role") == role).cast("int")).cast("boolean").alias("has_role")))
-
-
 def catalog_summary(cat_columns: DataFrame, cat_fks: DataFrame) -> DataFrame:
     """Per table: columns, labelled columns, outgoing and incoming FKs."""
     per = (cat_columns.groupBy("table_name")
@@ -339,37 +333,51 @@ def merge_catalogs(named) -> tuple[DataFrame, DataFrame, DataFrame]:
     ``named``: iterable of (prefix, cat_tables, cat_columns, cat_fks).
     """
     ts, cs, fs = [], [], []
+    tables_before = fks_before = 0
     for prefix, t, c, f in named:
         p = F.lit(prefix)
-        ts.append(t.withColumn("table_name", F.concat(p, "table_name")))
-        cs.append(c.withColumn("table_name", F.concat(p, "table_name")))
+        pos = (F.col("table_pos") + tables_before).cast("long")
+        ts.append(t.withColumn("table_name", F.concat(p, "table_name")).withColumn("table_pos", pos))
+        cs.append(c.withColumn("table_name", F.concat(p, "table_name")).withColumn("table_pos", pos))
         fs.append(f.withColumn("from_table", F.concat(p, "from_table"))
-                  .withColumn("to_table", F.concat(p, "to_table")))
+                  .withColumn("to_table", F.concat(p, "to_table"))
+                  .withColumn("fk_pos", (F.col("fk_pos") + fks_before).cast("long")))
+        # positions continue where the catalog before ended, so they stay unique
+        tables_before += _span(t, "table_pos")
+        fks_before += _span(f, "fk_pos")
     return _union(ts), _union(cs), _union(fs)
 
 
+def _span(df: DataFrame, pos: str) -> int:
+    """One more than the largest position."""
+    top = df.agg(F.max(pos)).first()[0]
+    return 0 if top is None else int(top) + 1
+
+
 def prefix_catalog(cat_tables, cat_columns, cat_fks, prefixes, schema_id="catalog"):
     """Merge copies of one catalog, one per prefix (a list of strings).
 
     Each row is exploded over the prefix array, so the copies are produced in
-    the tasks that hold the catalog rows; positions stay unique per copy.
+    the tasks that hold the catalog rows. Each copy's positions are moved past those
+    of the copy before, so they stay unique.
     """
+    tables, fks = _span(cat_tables, "table_pos"), _span(cat_fks, "fk_pos")
     arr = F.array(*[F.struct(F.lit(p).alias("prefix"), F.lit(i).alias("copy_pos"))
                     for i, p in enumerate(prefixes)])
 
     def rep(df):
         return df.withColumn("_p", F.explode(arr)).withColumn("prefix", F.col("_p.prefix")) \
-                 .withColumn("copy_pos", F.col("_p.copy_pos").cast("long") * 1_000_000).drop("_p")
+                 .withColumn("copy_pos", F.col("_p.copy_pos").cast("long")).drop("_p")
 
     t = rep(cat_tables).select(
         F.lit(schema_id).alias("schema_id"), F.concat("prefix", "table_name").alias("table_name"),
-        (F.col("copy_pos") + F.col("table_pos")).alias("table_pos"), "is_multi_org")
+        (F.col("copy_pos") * tables + F.col("table_pos")).alias("table_pos"), "is_multi_org")
     keep = [x for x in cat_columns.columns if x not in ("schema_id", "table_name", "table_pos")]
     c = rep(cat_columns).select(
         F.lit(schema_id).alias("schema_id"), F.concat("prefix", "table_name").alias("table_name"),
-        (F.col("copy_pos") + F.col("table_pos")).alias("table_pos"), *keep)
+        (F.col("copy_pos") * tables + F.col("table_pos")).alias("table_pos"), *keep)
     f = rep(cat_fks).select(
-        F.lit(schema_id).alias("schema_id"), (F.col("copy_pos") + F.col("fk_pos")).alias("fk_pos"),
+        F.lit(schema_id).alias("schema_id"), (F.col("copy_pos") * fks + F.col("fk_pos")).alias("fk_pos"),
         F.concat("prefix", "from_table").alias("from_table"), "from_column",
         F.concat("prefix", "to_table").alias("to_table"), "to_column", "declared")
     return t, c, f

@@ -2,91 +2,27 @@
 
 ``Window.partitionBy(k).orderBy(desc(v))`` puts every row of a key into one
 task, and a window with no partition key puts the whole table there. Here the
-rows are range-partitioned on (partition keys, order value) instead, so a hot
-key is spread over many tasks:
+rows are range-partitioned on (partition keys, order value) and written once, with
+the partition's number as a column: range bounds are sampled per evaluation, so
+every reader must see one copy. Equal (keys, v) always share a partition.
 
-1. ``repartitionByRange(P, keys, v desc)`` + ``sortWithinPartitions`` (one
-   shuffle); equal (keys, v) always land in one partition, so a tie group is
-   never split across partitions;
-2. one Arrow-batched pass per partition computes local row number, rank and
-   dense rank, streaming batch to batch (memory is one batch);
-3. the locally ranked rows (with their partition id and position as columns)
-   are checkpointed once to the shared folder: range bounds are sampled per
-   evaluation, so both readers must see one copy;
-4. a summary of at most P rows (first and last key of every partition, with
-   the last key's local counts) gives, for a key continuing from earlier
-   partitions, the rows and distinct values that precede it; it is joined
-   back by broadcast, its size bounded by the partition count.
+A native window over (partition number, keys) ranks locally; a hot key is many
+such groups. The last local row number and dense rank of a (partition, key) are
+summed over the earlier partitions of the key, which gives what a key that
+continues from an earlier partition has to add. Only a partition's first key can
+continue, so the added table has at most one row per partition and is broadcast.
 
 Global value = local value + offset. ROW_NUMBER breaks ties by ``tiebreak``.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sqlweave.session import materialize
+from sqlweave.session import write_table
 
-_FUNCS = ("rank", "dense_rank", "row_number")
-
-
-def _same(x, y) -> bool:
-    xn = x is None or (isinstance(x, float) and np.isnan(x))
-    yn = y is None or (isinstance(y, float) and np.isnan(y))
-    if xn or yn:
-        return xn and yn
-    return x == y
-
-
-def _diff(s: pd.Series) -> np.ndarray:
-    prev = s.shift(1)
-    return (s.ne(prev) & ~(s.isna() & prev.isna())).to_numpy()
-
-
-def _local_ranks(keys: list[str], order_col: str):
-    def run(batches):
-        carry = None  # (key values, order value, row pos, dense, rank) of the last row
-        seq = 0
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            kdiff = np.zeros(n, dtype=bool)
-            for k in keys:
-                kdiff |= _diff(pdf[k])
-            adiff = _diff(pdf[order_col])
-            if carry is None:
-                kdiff[0] = True
-            else:
-                ck, ca, cpos, cdense, crank = carry
-                kdiff[0] = not all(_same(pdf[k].iat[0], v) for k, v in zip(keys, ck))
-                adiff[0] = not _same(pdf[order_col].iat[0], ca)
-            change = kdiff | adiff
-            seg = np.cumsum(kdiff)
-            pos = pd.Series(np.ones(n, dtype=np.int64)).groupby(seg).cumsum().to_numpy()
-            dense = pd.Series(change.astype(np.int64)).groupby(seg).cumsum().to_numpy()
-            if carry is not None and not kdiff[0]:
-                first = seg == 0
-                pos[first] += cpos
-                dense[first] += cdense
-            rank = pd.Series(np.where(change, pos, np.nan)).ffill()
-            if carry is not None and not change[0]:
-                rank = rank.fillna(crank)
-            rank = rank.to_numpy().astype(np.int64)
-            out = pdf.copy()
-            out["_seq"] = np.arange(seq, seq + n, dtype=np.int64)
-            out["_lrow"] = pos
-            out["_ldense"] = dense
-            out["_lrank"] = rank
-            seq += n
-            carry = (tuple(pdf[k].iat[-1] for k in keys), pdf[order_col].iat[-1],
-                     int(pos[-1]), int(dense[-1]), int(rank[-1]))
-            yield out
-    return run
+_FUNCS = {"rank": F.rank, "dense_rank": F.dense_rank, "row_number": F.row_number}
 
 
 def rank_over(df: DataFrame, order_col: str, partition_cols=(), func: str = "rank",
@@ -99,47 +35,26 @@ def rank_over(df: DataFrame, order_col: str, partition_cols=(), func: str = "ran
     """
     func = func.lower()
     if func not in _FUNCS:
-        raise ValueError(f"func must be one of {_FUNCS}")
-    spark = df.sparkSession
-    p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        raise ValueError(f"func must be one of {sorted(_FUNCS)}")
+    p = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = list(partition_cols)
-    base = df
-    if not keys:
-        base = base.withColumn("_k", F.lit(0))
-        keys = ["_k"]
     by = F.col(order_col).asc_nulls_last() if ascending else F.col(order_col).desc_nulls_last()
-    range_key = [F.col(k).asc_nulls_first() for k in keys] + [by]
-    sort_key = range_key + [F.col(c).asc_nulls_first() for c in tiebreak]
-    ordered = (base.repartitionByRange(p, *range_key)
-               .sortWithinPartitions(*sort_key)
-               .withColumn("_pid", F.spark_partition_id()))
-    schema = (T.StructType([T.StructField(f.name, f.dataType, f.nullable) for f in ordered.schema.fields])
-              .add("_seq", T.LongType()).add("_lrow", T.LongType())
-              .add("_ldense", T.LongType()).add("_lrank", T.LongType()))
-    # Materialize once: the range bounds are sampled per evaluation, so the two
-    # consumers below must read one copy; the checkpoint also survives
-    # executor loss.
-    local = materialize(ordered.mapInPandas(_local_ranks(keys, order_col), schema), "ranked")
-
-    summary = local.groupBy("_pid").agg(
-        F.min_by(F.struct(*keys), "_seq").alias("f"),
-        F.max_by(F.struct(*keys, "_lrow", "_ldense"), "_seq").alias("l"),
-    )
-    firsts = summary.select("_pid", *[F.col(f"f.{k}").alias(k) for k in keys])
-    lasts = summary.select(F.col("_pid").alias("_q"),
-                           *[F.col(f"l.{k}").alias(f"_l_{k}") for k in keys],
-                           F.col("l._lrow").alias("_cnt"), F.col("l._ldense").alias("_dcnt"))
-    cond = [F.col("_q") < F.col("_pid")] + [F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in keys]
-    offsets = (firsts.join(lasts, cond, "inner")
-               .groupBy("_pid", *keys)
-               .agg(F.sum("_cnt").alias("_orow"), F.sum("_dcnt").alias("_odense"))
-               .select(F.col("_pid").alias("_op"), *[F.col(k).alias(f"_o_{k}") for k in keys],
-                       "_orow", "_odense"))
-    # offsets has at most one row per partition: a bounded broadcast.
-    jcond = [F.col("_pid") == F.col("_op")] + [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys]
-    joined = local.join(F.broadcast(offsets), jcond, "left")
-    orow = F.coalesce(F.col("_orow"), F.lit(0))
-    local_col = {"rank": "_lrank", "dense_rank": "_ldense", "row_number": "_lrow"}[func]
-    off_col = F.coalesce(F.col("_odense"), F.lit(0)) if func == "dense_rank" else orow
-    result = joined.withColumn(out, (F.col(local_col) + off_col).cast("long"))
-    return result.select(*df.columns, out)
+    base = df if keys else df.withColumn("_k", F.lit(0))
+    keys = keys or ["_k"]
+    placed = write_table(base.repartitionByRange(p, *[F.col(k).asc_nulls_first() for k in keys], by)
+                         .withColumn("_pid", F.spark_partition_id()), "ranked")
+    near = Window.partitionBy("_pid", *keys).orderBy(by, *[F.col(c).asc_nulls_first() for c in tiebreak])
+    ties = Window.partitionBy("_pid", *keys).orderBy(by)
+    order = near if func == "row_number" else ties
+    local = placed.withColumn(out, _FUNCS[func]().over(order).cast("long"))
+    # what each (partition, key) holds: rows, or distinct order values for the dense rank
+    held = F.count(F.lit(1))
+    if func == "dense_rank":
+        held = F.count_distinct(F.col(order_col)) + F.max(F.col(order_col).isNull().cast("long"))
+    earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy("_pid", *keys).agg(held.alias("_held"))
+               .withColumn("_add", F.sum("_held").over(earlier)).filter("_add > 0")
+               .select(F.col("_pid").alias("_op"), *[F.col(k).alias(f"_o_{k}") for k in keys], "_add"))
+    same = [F.col("_pid") == F.col("_op")] + [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys]
+    joined = local.join(F.broadcast(offsets), same, "left")
+    return joined.withColumn(out, F.col(out) + F.coalesce("_add", F.lit(0))).select(*df.columns, out)

@@ -113,10 +113,10 @@ def having(t) -> DataFrame:
     """Customers whose order total exceeds 3,000,000."""
     per_cust = _partial(t.orders, "o_custkey", "o_totalprice")
     c = t.customer.select("c_custkey", "c_name")
-    return (per_cust.join(c, per_cust.o_custkey == c.c_custkey)
-            .groupBy("c_custkey", "c_name")
-            .agg(_final("SUM").alias("sum_o_totalprice"))
-            .filter(F.col("sum_o_totalprice") > 3_000_000))
+    # one row per customer already: filter the exact sum, then fetch the names of what is left
+    return (per_cust.filter(F.col("_s") > 3_000_000)
+            .join(c, per_cust.o_custkey == c.c_custkey)
+            .select("c_custkey", "c_name", F.col("_s").cast("double").alias("sum_o_totalprice")))
 
 
 def top_n(t, n: int = 10) -> DataFrame:
@@ -124,8 +124,7 @@ def top_n(t, n: int = 10) -> DataFrame:
     per_supp = _partial(t.lineitem, "l_suppkey", "l_extendedprice")
     s = t.supplier.select("s_suppkey", "s_name")
     return (per_supp.join(s, per_supp.l_suppkey == s.s_suppkey)
-            .groupBy("s_suppkey", "s_name")
-            .agg(_final("SUM").alias("sum_l_extendedprice"))
+            .select("s_suppkey", "s_name", F.col("_s").cast("double").alias("sum_l_extendedprice"))
             .orderBy(F.desc("sum_l_extendedprice"), "s_name", "s_suppkey")
             .limit(n))
 
@@ -145,7 +144,8 @@ def above_average(t) -> DataFrame:
 def semi_join(t) -> DataFrame:
     """Customers with an order in 1996 (IN subquery as a left-semi join)."""
     c = t.customer.select("c_custkey", "c_name")
-    o = t.orders.filter(year_eq("o_orderdate", 1996)).select("o_custkey")
+    # distinct first: a hot customer becomes one row per task before the join
+    o = t.orders.filter(year_eq("o_orderdate", 1996)).select("o_custkey").distinct()
     return c.join(o, c.c_custkey == o.o_custkey, "left_semi")
 
 

@@ -6,7 +6,7 @@ import tempfile
 
 def test_train_encode_round_trip(spark, small):
     from pyspark.sql import functions as F
-    from sqlweave.operators.bpe import Codec, bpe_decode, bpe_encode, bpe_train
+    from sqlweave.operators.bpe import Vocabulary, bpe_decode, bpe_encode, bpe_train
     docs = small.documents
     train = docs.filter(F.col("doc_id") % 2 == 0)
     unseen = docs.filter(F.col("doc_id") % 2 == 1).select("doc_id", "text")
@@ -15,9 +15,9 @@ def test_train_encode_round_trip(spark, small):
     assert 0 < len(rows) <= 24 and [r.new_id for r in rows] == list(range(256, 256 + len(rows)))
     dec = bpe_decode(bpe_encode(unseen, merges), merges)
     assert dec.filter(F.col("decoded") != F.col("text")).count() == 0
-    codec = Codec([(r.left_id, r.right_id, r.new_id) for r in rows])
+    codec = Vocabulary([(r.left_id, r.right_id, r.new_id) for r in rows])
     ids = codec.encode("<question> héllo wörld <sql>")
-    assert ids[0] == codec.specials["<question>"] and ids[-1] == codec.specials["<sql>"]
+    assert ids[0] == codec.special_ids["<question>"] and ids[-1] == codec.special_ids["<sql>"]
     assert codec.decode(ids) == "<question> héllo wörld <sql>"
 
 
@@ -39,3 +39,31 @@ def test_save_load(spark):
     bpe_save(m, path)
     m2, sp = bpe_load(spark, path)
     assert m2.collect() == m.collect() and sp == DEFAULT_SPECIALS
+
+
+def test_heap_order_equals_repeated_merging():
+    """Merging pairs in learned order over the whole piece, one merge at a time."""
+    import random
+    from sqlweave.operators.bpe import Vocabulary
+    r = random.Random(3)
+    merges, ids = [], [97, 98, 99]
+    for new in range(256, 280):
+        merges.append((r.choice(ids), r.choice(ids), new))
+        ids.append(new)
+    merges = [m for i, m in enumerate(merges) if (m[0], m[1]) not in {(x[0], x[1]) for x in merges[:i]}]
+    v = Vocabulary(merges, ())
+    def merge_all(ids, a, b, new):
+        out = []
+        for x in ids:
+            if out and out[-1] == a and x == b:
+                out[-1] = new
+            else:
+                out.append(x)
+        return out
+    for _ in range(300):
+        text = "".join(r.choice("abc") for _ in range(r.randint(1, 40)))
+        want = list(text.encode())
+        while made := [(new, a, b) for a, b, new in merges if (a, b) in set(zip(want, want[1:]))]:
+            new, a, b = min(made)
+            want = merge_all(want, a, b, new)
+        assert v.encode(text, False) == want and v.decode(want) == text

@@ -1,7 +1,4 @@
-"""Synthetic catalogs, the JDBC-shaped dictionary path, and the streaming gate."""
-
-import os
-import tempfile
+"""Synthetic catalogs, merged catalogs and the JDBC-shaped dictionary path."""
 
 from pyspark.sql import functions as F
 
@@ -57,20 +54,19 @@ def test_dictionary_catalog_from_frames(spark):
     assert got == [("po_headers_all", "vendor_id", "po.po_vendors")]
 
 
-def test_stream_gate(spark, demo_catalog):
-    from sqlweave.streaming.gate_stream import start_gate_stream
-    _, cols, fks = demo_catalog
-    src = tempfile.mkdtemp(prefix="sqlweave-stream-src-")
-    out = os.path.join(tempfile.mkdtemp(prefix="sqlweave-stream-out-"), "out")
-    spark.createDataFrame(
-        [("demo", 1, "spend by department",
-          "SELECT g.segment5 FROM gl_account_combos g"),
-         ("demo", 2, "orders", "SELECT o.nope FROM po_orders_all o")],
-        "schema_id string, sql_id int, question string, sql string").write.parquet(src + "/b1")
-    stream = spark.readStream.schema("schema_id string, sql_id int, question string, sql string") \
-        .parquet(src + "/b1")
-    q = start_gate_stream(stream, cols, fks, out, name="t1")
-    q.awaitTermination(120)
-    rows = {r.sql_id: r for r in spark.read.parquet(out).collect()}
-    assert rows[1].sql_repaired.endswith("g.segment2 FROM gl_account_combos g") and rows[1].issues == []
-    assert rows[2].issues == ["unknown_column:po_orders_all.nope"]
+def test_merged_catalogs_keep_unique_positions(spark, demo_catalog):
+    from sqlweave.operators.catalog import merge_catalogs, prefix_catalog
+    from sqlweave.operators.paths import join_paths
+    tabs, cols, fks = demo_catalog
+    for merged in (prefix_catalog(tabs, cols, fks, ["a_", "b_", "c_"]),
+                   merge_catalogs([(p, tabs, cols, fks) for p in ("a_", "b_", "c_")])):
+        t, _, f = merged
+        n = f.count()
+        assert n == 3 * fks.count() and f.select("fk_pos").distinct().count() == n
+        assert t.select("table_pos").distinct().count() == t.count()
+        req = spark.createDataFrame([(p + "po_order_lines_all", p + "po_vendors") for p in ("a_", "b_", "c_")],
+                                    "src string, dst string")
+        for r in join_paths(f, req).collect():
+            prefix = r.src[:2]
+            assert r.hops == 2 and len(r.path) == 2
+            assert all(x.from_table.startswith(prefix) and x.to_table.startswith(prefix) for x in r.path)
