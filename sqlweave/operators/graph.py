@@ -10,12 +10,22 @@ changes; it has no limit of rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sqlweave.session import drop_table, write_table
 
 
+def _written(df: DataFrame) -> tuple[DataFrame, object]:
+    """The written table and its state: labels only ever get smaller, so while their sum
+    (for names, a sum of hashes) stays the same no label has changed."""
+    label = F.col("label").cast("decimal(38,0)") if df.schema["label"].dataType.typeName() in (
+        "long", "integer", "short", "byte") else F.xxhash64("node", "label").cast("decimal(38,0)")
+    seen = Observation()
+    table = write_table(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(label).alias("s")), "labels")
+    return table, (seen.get["n"], seen.get["s"])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is its smallest reachable node.
 
@@ -23,29 +33,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     ignored. No edges give no rows.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
-    e = write_table(e.union(e.select("v", "u")).distinct(), "edges")
-    labels = write_table(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v"))
-                         .select("node", F.least("node", "v").alias("label")), "labels")
-    kind = labels.schema["label"].dataType.simpleString()
-    # labels only ever get smaller, so an unchanged sum of their order means no change
-    code = F.col("label").cast("decimal(38,0)") if kind in ("bigint", "int", "smallint", "tinyint") else None
-
-    def state(t):
-        if code is not None:
-            return t.agg(F.sum(code)).first()[0]
-        return t.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first()[0]
-    before = state(labels)
+    e = write_table(e.union(e.select("v", "u")), "edges")
+    labels, state = _written(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v"))
+                             .select("node", F.least("node", "v").alias("label")))
     while True:
-        near = (e.join(labels, e.u == labels.node).select(F.col("v").alias("node"), "label")
-                .union(labels).groupBy("node").agg(F.min("label").alias("label")))
-        near = write_table(near, "labels")
-        far = near.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        jumped = write_table(near.join(far, "label").select("node", F.col("far").alias("label")), "labels")
-        after = state(jumped)
-        drop_table(near)
+        near, now = _written(e.join(labels, e.u == labels.node).select(F.col("v").alias("node"), "label")
+                             .union(labels).groupBy("node").agg(F.min("label").alias("label")))
         drop_table(labels)
-        labels = jumped
-        if after == before:
+        if now == state:
             drop_table(e)
-            return labels.select("node", F.col("label").alias("component"))
-        before = after
+            return near.select("node", F.col("label").alias("component"))
+        far = near.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        labels, state = _written(near.join(far, "label").select("node", F.col("far").alias("label")))
+        drop_table(near)

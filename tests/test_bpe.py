@@ -67,3 +67,14 @@ def test_heap_order_equals_repeated_merging():
             new, a, b = min(made)
             want = merge_all(want, a, b, new)
         assert v.encode(text, False) == want and v.decode(want) == text
+
+
+def test_merges_of_one_round_equal_single_merges(spark):
+    import random
+    from sqlweave.operators.bpe import bpe_train, safe_prefix
+    assert safe_prefix([(1, 2), (3, 4), (2, 5), (6, 7)]) == 2 and safe_prefix([]) == 0
+    r = random.Random(5)
+    texts = [(" ".join("".join(r.choice("abcdef") for _ in range(r.randint(1, 6))) for _ in range(30)),) for _ in range(60)]
+    df = spark.createDataFrame(texts, "text string")
+    one = bpe_train(df, 256 + 30, together=1).collect()
+    assert len(one) == 30 and bpe_train(df, 256 + 30).collect() == one
