@@ -13,10 +13,12 @@ Signatures are cut into BANDS bands of ROWS coordinates; a pair of similarity
 0.8 shares no band with probability (1 - 0.8^5)^28 < 2e-5.
 
 Texts of equal words are collapsed first, so copies cost one row each. In every
-bucket the members are compared with one leader, drawn by hash, not with
-each other; verified links give components. Only buckets that still hold several
-components are looked at again: small ones compare members of different
-components, crowded ones are split by a second band first, until none is left.
+bucket the members are compared with one leader, not with each other: the member
+that meets most others over all its buckets, which in a group of edited copies is
+the text they were made from; verified links give components. Only buckets that still hold several
+components are looked at again: members outside a bucket's largest component are
+compared with all members of other components. Buckets with more than CROWD such
+members are split by every further band first, with new leaders, up to SPLITS times.
 All links are verified on the exact shingle multisets.
 
 Words are runs of non-space characters of the lower-cased text; a text of one
@@ -43,7 +45,8 @@ from sqlweave.session import ship_package, write_table
 SHINGLE = 5
 SIMILAR = 0.8
 ROWS, BANDS = 5, 28
-CROWD = 24  # members of a bucket that are compared pair by pair; larger ones are split
+CROWD = 24  # members outside its largest component that a bucket may have before it is split
+SPLITS = 2  # times a bucket is split; after that all its outside members are compared
 BLOOM_BITS = 1 << 27  # most bits of the filter that picks candidates' texts
 
 _U = np.uint64
@@ -124,28 +127,44 @@ def _words(text: str) -> list[str]:
 
 
 def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, k1, k2, bands): two halves of a hash of the words, and the band hashes."""
+    """(id, k1, k2, w, bands): two halves of a hash of the words, the weight, the band hashes."""
     ktype = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         memo = Recent(word_hash)
         for b in slices(batches):
-            k1, k2, bands = [], [], []
+            k1, k2, weights, bands = [], [], [], []
             for x in b.column(1).to_pylist():
                 if x is None:
-                    for to in (k1, k2, bands):
+                    for to in (k1, k2, weights, bands):
                         to.append(None)
                     continue
                 words = _words(x)
                 d = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 k1.append(int.from_bytes(d[:8], "little", signed=True))
                 k2.append(int.from_bytes(d[8:], "little", signed=True))
-                bands.append(band_hashes(signature(cells_of(words, memo.turn()))) if words else [])
+                cells = cells_of(words, memo.turn())
+                weights.append(len(cells))
+                bands.append(band_hashes(signature(cells)) if words else [])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                 pa.array(bands, pa.list_(pa.int64()))], ["id", "k1", "k2", "bands"])
+                 pa.array(weights, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                ["id", "k1", "k2", "w", "bands"])
     return docs.select(key, text).filter(F.col(key).isNotNull()).mapInArrow(
-        run, f"id {ktype}, k1 long, k2 long, bands array<long>")
+        run, f"id {ktype}, k1 long, k2 long, w long, bands array<long>")
+
+
+def _led(members: DataFrame) -> DataFrame:
+    """Members (id, bucket, w) of buckets of several, with the bucket's leader and its weight ``lw``.
+
+    The leader meets most others over all its buckets; ties go to the smallest id.
+    """
+    sizes = write_table(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    members = write_table(members.join(sizes, "bucket"), "members")
+    met = write_table(members.groupBy("id").agg(F.sum("n").alias("met")), "met")
+    lead = members.join(met, "id").groupBy("bucket").agg(F.min(F.struct(-F.col("met"), "id", "w")).alias("x"))
+    lead = write_table(lead.select("bucket", F.col("x.id").alias("leader"), F.col("x.w").alias("lw")), "leaders")
+    return write_table(members.drop("n").join(lead, "bucket"), "members")
 
 
 def _bloom(ids: DataFrame):
@@ -197,49 +216,50 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     rows = write_table(sign(docs, key, text), "signed")
     copies = write_table(rows.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("first")), "copies")
     firsts = write_table(rows.join(copies.select("k1", "k2", F.col("first").alias("id")), ["id", "k1", "k2"])
-                         .filter(F.size("bands") > 0).select("id", "bands"), "firsts")
-    members = firsts.select("id", F.explode("bands").alias("bucket"))
-    shared = write_table(members.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), F.col("id"))).alias("x"))
-        .filter("n > 1").select("bucket", "n", F.col("x.id").alias("leader")), "shared")
-    members = write_table(members.join(shared, "bucket"), "members")
+                         .filter(F.size("bands") > 0).select("id", "w", "bands"), "firsts")
+    members = _led(firsts.select("id", "w", F.explode("bands").alias("bucket")))
     cells = write_table(candidate_cells(docs, members.select("id").distinct(), key, text), "cells")
 
+    def alike(x, y):
+        """Weights that allow the similarity."""
+        return F.least(x, y) >= F.greatest(x, y) * similar
+
     def star(m):
-        return m.filter("id != leader").select(F.least("id", "leader").alias("a"),
-                                               F.greatest("id", "leader").alias("b")).distinct()
+        return m.filter((F.col("id") != F.col("leader")) & alike(F.col("w"), F.col("lw"))).select(
+            F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     tested = write_table(star(members), "pairs")
     links = write_table(verify(tested, cells, similar), "links")
-    while True:
-        part = connected_components(links)
+    part = connected_components(links)
+    for level in range(SPLITS + 1):
         m = members.join(part, members.id == part.node, "left").select(
-            "id", "bucket", F.coalesce("component", "id").alias("component"))
+            "id", "bucket", "w", F.coalesce("component", "id").alias("component"))
         m = write_table(m, "labelled")
-        mixed = write_table(m.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-            .filter("lo != hi").select("bucket", "n"), "mixed")
-        few = m.join(mixed.filter(F.col("n") <= CROWD), "bucket").select("bucket", "id", "component")
-        few = write_table(few, "few")
-        other = few.select("bucket", F.col("id").alias("id2"), F.col("component").alias("component2"))
-        pairs = (few.join(other, "bucket").filter("id < id2 and component != component2")
-                 .select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-                 .join(tested, ["a", "b"], "left_anti"))
-        crowded = mixed.filter(F.col("n") > CROWD).select("bucket")
-        # a crowded bucket is split by every further band of its members
-        again = (m.join(crowded, "bucket").select("id", "bucket").join(firsts, "id")
-                 .select("id", "bucket", F.explode("bands").alias("band")).filter("band != bucket")
-                 .select("id", F.xxhash64("bucket", "band").alias("bucket")))
-        split = again.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), F.col("id"))).alias("x")).filter("n > 1")
-        again = write_table(again.join(write_table(split.select("bucket", "n", F.col("x.id").alias("leader")), "shared"),
-                                       "bucket"), "members")
-        fresh = write_table(pairs.union(star(again).join(tested, ["a", "b"], "left_anti")).distinct(), "pairs")
-        if fresh.isEmpty():
+        sizes = m.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+        mixed = write_table(sizes.groupBy("bucket").agg(
+            F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("top"))
+            .filter("parts > 1").select("bucket", (F.col("n") - F.col("top.n")).alias("outside"),
+                                        F.col("top.component").alias("main")), "mixed")
+        crowded = F.col("outside") > (CROWD if level < SPLITS else 2**62)
+        few = write_table(m.join(mixed.filter(~crowded).select("bucket", "main"), "bucket"), "few")
+        outside = few.filter("component != main").select(F.col("bucket").alias("bucket2"), F.col("id").alias("id2"),
+                                                         F.col("w").alias("w2"), F.col("component").alias("component2"))
+        fresh = (few.join(outside, (F.col("bucket") == F.col("bucket2")) & (F.col("component") != F.col("component2"))
+                          & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("id2")))
+                          & alike(F.col("w"), F.col("w2")))
+                 .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
+        split = not mixed.filter(crowded).isEmpty()
+        if split:  # a crowded bucket is split by every further band of its members
+            members = _led(m.join(mixed.filter(crowded).select("bucket"), "bucket").select("id", "bucket")
+                           .join(firsts, "id").select("id", "w", "bucket", F.explode("bands").alias("band"))
+                           .filter("band != bucket").select("id", "w", F.xxhash64("bucket", "band").alias("bucket")))
+            fresh = fresh.union(star(members)).distinct()
+        fresh = write_table(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not fresh.isEmpty():
+            links = write_table(links.union(verify(fresh, cells, similar)), "links")
+            part = connected_components(links)
+        if not split:
             break
-        links = write_table(links.union(verify(fresh, cells, similar)), "links")
-        tested, members = write_table(tested.union(fresh), "pairs"), again
+        tested = write_table(tested.union(fresh), "pairs")
     classes = part.select(F.col("node").alias("first"), F.col("component").alias("class_id"))
     copies = write_table(copies.join(classes, "first", "left").select(
         "k1", "k2", F.coalesce("class_id", "first").alias("class_id")), "classes")
