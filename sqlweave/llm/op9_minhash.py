@@ -15,10 +15,10 @@ Signatures are cut into BANDS bands of ROWS coordinates; a pair of similarity
 Texts of equal words are collapsed first, so copies cost one row each. In every
 bucket the members are compared with one leader, not with each other: the member
 that meets most others over all its buckets, which in a group of edited copies is
-the text they were made from; verified links give components. Only buckets that still hold several
-components are looked at again: members outside a bucket's largest component are
-compared with all members of other components. Buckets with more than CROWD such
-members are split by every further band first, with new leaders, up to SPLITS times.
+the text they were made from; verified links give components. Texts of buckets that
+still hold several components are joined once more, exactly: texts of similarity 0.8
+share one of their rarest fifth of shingles (prefix filter), so only members outside the
+largest component of such a shingle are compared with members of other components.
 All links are verified on the exact shingle multisets.
 
 Words are runs of non-space characters of the lower-cased text; a text of one
@@ -45,8 +45,7 @@ from sqlweave.session import ship_package, write_table
 SHINGLE = 5
 SIMILAR = 0.8
 ROWS, BANDS = 5, 28
-CROWD = 24  # members outside its largest component that a bucket may have before it is split
-SPLITS = 2  # times a bucket is split; after that all its outside members are compared
+ORDER_SAMPLE, ORDER_SIZE = 3_000, 1 << 18  # texts and counters that set the order of cells
 BLOOM_BITS = 1 << 27  # most bits of the filter that picks candidates' texts
 
 _U = np.uint64
@@ -210,6 +209,39 @@ def verify(pairs: DataFrame, cells: DataFrame, similar: float) -> DataFrame:
     return d.filter(both >= (F.size("x") + F.size("y") - both) * similar).select("a", "b").distinct()
 
 
+def rare_cells(rows: DataFrame, similar: float, key: str = "id") -> DataFrame:
+    """(id, component, w, cell): the rarest cells of every text, enough that similar texts share one.
+
+    Of two sets of similarity s or more, each has a cell of the other among its first
+    n - ceil(s n) + 1 cells in any order that all texts use. Here cells stand by how often
+    they are seen in a bounded sample of the texts, so cells of common passages come last.
+    """
+    spark = rows.sparkSession
+    every = max(1, -(-rows.count() // ORDER_SAMPLE))
+    seen = (rows.filter(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select(F.explode("cells").alias("c"))
+            .groupBy(F.pmod("c", F.lit(ORDER_SIZE)).alias("c")).count().filter("count > 1").toPandas())
+    often = np.zeros(ORDER_SIZE, np.int32)
+    often[seen["c"].to_numpy(np.int64)] = seen["count"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(often)
+
+    def run(batches):
+        for b in slices(batches):
+            at, out = [], []
+            for i, cells in enumerate(b.column(1)):
+                c = np.asarray(cells.values, np.int64)
+                n = len(c) - int(np.ceil(similar * len(c) - 1e-9)) + 1
+                out.append(c[np.lexsort((c, shared.value[c % ORDER_SIZE]))][:n])
+                at.append(np.full(len(out[-1]), i))
+            take = pa.array(np.concatenate(at) if at else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(take), b.column(2).take(take), b.column(3).take(take),
+                 pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64())],
+                [key, "component", "w", "cell"])
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "cells", "component", F.size("cells").cast("long").alias("w")).mapInArrow(
+        run, f"{key} {kind}, component {kind}, w long, cell long")
+
+
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """(id, class_id) for every row of ``docs``: the smallest id linked to it by copies and links."""
     ship_package(docs.sparkSession)
@@ -230,36 +262,27 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     tested = write_table(star(members), "pairs")
     links = write_table(verify(tested, cells, similar), "links")
     part = connected_components(links)
-    for level in range(SPLITS + 1):
-        m = members.join(part, members.id == part.node, "left").select(
-            "id", "bucket", "w", F.coalesce("component", "id").alias("component"))
-        m = write_table(m, "labelled")
-        sizes = m.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        mixed = write_table(sizes.groupBy("bucket").agg(
-            F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("top"))
-            .filter("parts > 1").select("bucket", (F.col("n") - F.col("top.n")).alias("outside"),
-                                        F.col("top.component").alias("main")), "mixed")
-        crowded = F.col("outside") > (CROWD if level < SPLITS else 2**62)
-        few = write_table(m.join(mixed.filter(~crowded).select("bucket", "main"), "bucket"), "few")
-        outside = few.filter("component != main").select(F.col("bucket").alias("bucket2"), F.col("id").alias("id2"),
-                                                         F.col("w").alias("w2"), F.col("component").alias("component2"))
-        fresh = (few.join(outside, (F.col("bucket") == F.col("bucket2")) & (F.col("component") != F.col("component2"))
-                          & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("id2")))
-                          & alike(F.col("w"), F.col("w2")))
-                 .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
-        split = not mixed.filter(crowded).isEmpty()
-        if split:  # a crowded bucket is split by every further band of its members
-            members = _led(m.join(mixed.filter(crowded).select("bucket"), "bucket").select("id", "bucket")
-                           .join(firsts, "id").select("id", "w", "bucket", F.explode("bands").alias("band"))
-                           .filter("band != bucket").select("id", "w", F.xxhash64("bucket", "band").alias("bucket")))
-            fresh = fresh.union(star(members)).distinct()
-        fresh = write_table(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            links = write_table(links.union(verify(fresh, cells, similar)), "links")
-            part = connected_components(links)
-        if not split:
-            break
-        tested = write_table(tested.union(fresh), "pairs")
+    m = members.join(part, members.id == part.node, "left").select(
+        "id", "bucket", F.coalesce("component", "id").alias("component"))
+    m = write_table(m, "labelled")
+    mixed = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
+    open_ids = m.join(write_table(mixed.select("bucket"), "mixed"), "bucket").select("id", "component").distinct()
+    rows_left = write_table(cells.join(open_ids, "id"), "open")
+    rare = write_table(rare_cells(rows_left, similar), "rare")
+    sizes = rare.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("n"))
+    shared = write_table(sizes.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("top"))
+        .filter("parts > 1").select("cell", F.col("top.component").alias("main")), "shared")
+    few = write_table(rare.join(shared, "cell"), "few")
+    outside = few.filter("component != main").select(F.col("cell").alias("cell2"), F.col("id").alias("id2"),
+                                                     F.col("w").alias("w2"), F.col("component").alias("component2"))
+    fresh = (few.join(outside, (F.col("cell") == F.col("cell2")) & (F.col("component") != F.col("component2"))
+                      & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("id2")))
+                      & alike(F.col("w"), F.col("w2")))
+             .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
+    fresh = write_table(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
+    if not fresh.isEmpty():
+        part = connected_components(links.union(verify(fresh, cells, similar)))
     classes = part.select(F.col("node").alias("first"), F.col("component").alias("class_id"))
     copies = write_table(copies.join(classes, "first", "left").select(
         "k1", "k2", F.coalesce("class_id", "first").alias("class_id")), "classes")

@@ -203,8 +203,7 @@ def changed(text, seed, n):
     return " ".join(w)
 
 
-def test_classes_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(op9_minhash, "CROWD", 3)  # so that small buckets count as crowded
+def test_classes_against_brute_force(spark):
     base = [prose(i, 150) for i in range(8)]
     texts = dict(enumerate([changed(base[i % 8], i, i % 9) for i in range(160)] + [prose(99, 50)] * 40
                            + [prose(200 + i, 60) for i in range(40)] + [None, None, "", " ", "one", "one", "one two"]))
