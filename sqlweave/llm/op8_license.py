@@ -4,7 +4,9 @@ A notice may occur with a bounded number of edits. By the pigeonhole principle
 a notice cut into (edits + 1) pieces keeps at least one piece unchanged, so an
 Aho-Corasick pass over all pieces finds every place where a match can lie.
 The regex library then verifies each candidate window with its bounded-error
-matching and gives the span and the edits. Exact notices are the zero-error case:
+matching and gives the span and the edits. Of a notice's matches the one with the
+fewest edits is taken first, then the leftmost, then the same among those that don't
+overlap the ones taken, until none is left. Exact notices are the zero-error case:
 their word places are counted on the normalised words.
 
 Text: A-Z lower-cased; words are runs of digits, a-z and characters outside
@@ -55,8 +57,8 @@ class Notices:
         self.fuzzy = []
         seeds: dict[str, set] = {}
         for k, (notice, (label, edits)) in enumerate(fuzzy.items()):
-            self.fuzzy.append((label, edits, len(notice),
-                               regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={edits}}}")))
+            self.fuzzy.append((label, edits, len(notice), [
+                regex.compile(f"(?:{regex.escape(notice)}){{e<={e}}}") for e in range(edits + 1)]))
             step, extra, at = *divmod(len(notice), edits + 1), 0
             for i in range(edits + 1):
                 size = step + (i < extra)
@@ -99,10 +101,20 @@ class Notices:
                     spans.append([a, b, {at}])
         found = []
         for k, spans in windows.items():
-            label, edits, length, pattern = self.fuzzy[k]
+            label, edits, length, patterns = self.fuzzy[k]
             for a, b, _ in spans:
-                for m in pattern.finditer(joined, a, b):
-                    found.append((label, m.start(), m.end(), sum(m.fuzzy_counts), length))
+                if not patterns[-1].search(joined, a, b):
+                    continue
+                free = [(a, b)]  # parts of the window without a match of fewer edits than the pass's
+                for e, pattern in enumerate(patterns):
+                    rest = []
+                    for at, end in free:
+                        for m in pattern.finditer(joined, at, end) if end - at >= length - e else ():
+                            found.append((label, m.start(), m.end(), sum(m.fuzzy_counts), length))
+                            rest.append((at, m.start()))
+                            at = m.end()
+                        rest.append((at, end))
+                    free = rest
         return sorted(found)
 
 

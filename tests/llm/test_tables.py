@@ -170,6 +170,51 @@ def test_seeds_find_what_the_whole_text_search_finds():
         assert {x[0] for x in notices._near(joined)} == want
 
 
+def edit_ends(notice, part, most):
+    """For each begin in ``part``: end -> edits, of the substrings within ``most`` edits of ``notice``."""
+    out = []
+    for i in range(len(part) + 1):
+        row = list(range(len(notice) + 1))
+        ends = {}
+        for j in range(i, min(len(part), i + len(notice) + most) + 1):
+            if j > i:
+                new = [j - i]
+                for n, c in enumerate(notice, start=1):
+                    new.append(min(new[-1] + 1, row[n] + 1, row[n - 1] + (c != part[j - 1])))
+                row = new
+            if row[-1] <= most:
+                ends[j] = row[-1]
+        out.append(ends)
+    return out
+
+
+def test_adjacent_notices_are_all_found():
+    r = random.Random(8)
+    notices = op8_license.Notices(op8_license.BASE, op8_license.FUZZY)
+    assert len(notices._near(" under the mit licence under the mit license ")) == 2
+    for notice in ("under the mit license", "gnu lesser general public license"):
+        label, most = op8_license.FUZZY[notice]
+        for _ in range(8):
+            parts = []
+            for _ in range(r.randint(2, 5)):
+                s = list(notice)
+                for _ in range(r.randint(0, most)):
+                    i = r.randrange(len(s))
+                    s[i:i + 1] = r.choice([[], ["q"], [s[i], "q"], [" "]])
+                parts.append("".join(s) + r.choice(["", " ", " or ", " license "]))
+            joined = f" {''.join(parts)} "
+            spans = [x[1:4] for x in notices._near(joined) if x[0] == label and x[4] == len(notice)]
+            assert len(spans) >= 2 and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+            # by the edits, then from the left: each span is the first match that overlaps no span before it
+            matches = [(e, i, j) for i, ends in enumerate(edit_ends(notice, joined, most)) for j, e in ends.items()]
+            taken = []
+            for begin, end, edits in sorted(spans, key=lambda x: (x[2], x[0])):
+                left = [m for m in matches if all(m[2] <= a or m[1] >= b for a, b in taken)]
+                assert (edits, begin, end) in left and min(left)[:2] == (edits, begin)
+                taken.append((begin, end))
+            assert not [m for m in matches if all(m[2] <= a or m[1] >= b for a, b in taken)]
+
+
 # --- MinHash
 
 def multiset(text):
