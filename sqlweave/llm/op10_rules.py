@@ -1,9 +1,10 @@
 """Operator 10, quality rules with adaptive thresholds (DataFrame functions only).
 
 Each rule's measure is an integer (per mille, or tenths of a character). A
-quantile sketch per (lang, source, measure) counts unit buckets 0..4,095, the
-last one taking everything above: sketches merge by adding counts, have a fixed
-size and don't depend on the order of the rows. The quartiles of a group give
+quantile sketch per (lang, source, measure) counts unit buckets 0..4,095 and, above,
+2,048 buckets for each doubling of the value, without a top: sketches merge by adding
+counts, are of bounded size and don't depend on the order of the rows. The quartiles of
+a group (the lower bucket's least value and the upper bucket's greatest) give
 its fences (quartile +- 4 interquartile ranges, with a least width per measure)
 in place of fixed cutoffs; the fences are joined back on (lang, source) and
 documents outside are not kept. Groups of fewer than 20 documents use the
@@ -18,7 +19,7 @@ is a group of its own. Repeated rows count each. Empty tables give no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sqlweave.llm.common import load
@@ -26,7 +27,7 @@ from sqlweave.session import write_table
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-TOP = 4095  # last bucket of a sketch
+TOP = 4095  # last unit bucket of a sketch; the twin's sketches end here
 FENCE = 4  # interquartile ranges beyond the quartile
 LEAST_ROWS = 20
 #: measure -> least width of its fence
@@ -72,10 +73,16 @@ def measures() -> dict:
             "repeats": ratio("n_repeat_words", "n_words", 1000)}
 
 
+def spacing(v) -> Column:
+    """Width of the bucket that holds ``v``: 1 up to TOP, then a 2,048th to a 4,096th of the value."""
+    bits = F.greatest(F.length(F.bin(v)) - TOP.bit_length(), F.lit(0))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bits)
+
+
 def sketches(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """(keys, measure, bucket, n): one mergeable histogram sketch per group and measure."""
     each = rows.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(m).alias("measure"), F.least(F.col(m), F.lit(TOP)).alias("bucket"))
+        F.struct(F.lit(m).alias("measure"), (F.col(m) - F.col(m) % spacing(F.col(m))).alias("bucket"))
         for m in names])).alias("x"))
     return each.groupBy(*keys, "x.measure", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
 
@@ -94,7 +101,7 @@ def fences(sketch: DataFrame, keys: list[str], widths: dict) -> DataFrame:
         F.min(F.when(F.col("upto") * 4 >= F.col("rows") * 3, F.col("bucket"))).alias("q3"))
     width = F.greatest((F.col("q3") - F.col("q1")) * FENCE,
                        F.create_map(*[F.lit(x) for kv in widths.items() for x in kv])[F.col("measure")])
-    q = q.withColumns({"lo": F.col("q1") - width, "hi": F.col("q3") + width})
+    q = q.withColumns({"lo": F.col("q1") - width, "hi": F.col("q3") + spacing(F.col("q3")) - 1 + width})
     pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}")
     return q.groupBy(*keys).agg(F.max("rows").alias("rows"), *[pick(m, c) for m in widths for c in ("lo", "hi")])
 

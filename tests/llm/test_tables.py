@@ -318,6 +318,24 @@ def test_sketches_merge(spark):
     assert (f["symbols_lo"], f["symbols_hi"]) == (q1 - 4 * (q3 - q1), q3 + 4 * (q3 - q1))
 
 
+def test_long_words_have_adaptive_fences(spark):
+    # a source without spaces inside its lines, words of 420 to 1,000 characters; one with far longer words
+    docs = [(i, "zh", "a", "\n".join(chr(0x4E00 + (i * 30 + k) % 20_000) * (420 + 20 * (i % 30)) for k in range(25)))
+            for i in range(60)]
+    docs += [(60, "zh", "a", "\n".join(chr(0x4E00 + k) * 9_000 for k in range(25)))]
+    df = spark.createDataFrame([(i, t, a, b) for i, a, b, t in docs], "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in op10_rules.adaptive_rules(df).collect()}
+    assert all(kept[i] for i in range(60)) and not kept[60]
+
+
+def test_sketch_buckets_have_no_top(spark):
+    values = [0, 1, 4095, 4096, 4097, 8191, 8192, 8195, 1_000_003, 2**40 + 12345]
+    rows = spark.createDataFrame([("en", v) for v in values], "lang string, word_length long")
+    got = sorted(r["bucket"] for r in op10_rules.sketches(rows, ["lang"], ["word_length"]).collect())
+    want = [v - v % (1 << max(0, v.bit_length() - 12)) for v in values]
+    assert got == sorted(set(want)) and all(v - w <= v / 2048 for v, w in zip(values, want))
+
+
 # --- pipeline
 
 def test_pipeline_is_its_stages(spark):
