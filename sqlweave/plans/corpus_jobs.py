@@ -146,8 +146,9 @@ def q_merge_catalogs(t):
 def q_frame_pair(t):
     from sqlweave.operators.bpe import bpe_train
     from sqlweave.operators.corpus import frame_pairs, pad_batches
+    from sqlweave.plans.text_jobs import BPE_VOCAB
     train, _ = split_by_schema(corpus(t)[4], _schema_text(t))
-    merges = bpe_train(corpus_texts(train), 256 + 16)
+    merges = bpe_train(corpus_texts(train), BPE_VOCAB)
     merges = t.spark.createDataFrame(merges.collect(), merges.schema)
     padded = pad_batches(frame_pairs(train, merges), batch_size=32)
     return padded.groupBy("batch_id").agg(

@@ -144,7 +144,7 @@ WHERE q.qid NOT IN (SELECT qid FROM anchor)""",
 
 
 # -- byte-pair vocabulary jobs (iterative / Python helper: no SQL twin) ----------------------
-BPE_VOCAB = 256 + 128
+BPE_VOCAB = 2048  # as the reference trains by default
 
 
 def _merges(t):

@@ -78,3 +78,26 @@ def test_merges_of_one_round_equal_single_merges(spark):
     df = spark.createDataFrame(texts, "text string")
     one = bpe_train(df, 256 + 30, together=1).collect()
     assert len(one) == 30 and bpe_train(df, 256 + 30).collect() == one
+
+
+def test_pairs_that_cannot_overlap_go_together(spark):
+    from sqlweave.operators.bpe import safe_prefix
+    assert safe_prefix([(1, 2), (1, 3), (4, 2), (5, 1)]) == 3  # same left or same right: no place in common
+
+
+def test_registered_jobs_train_2048_entries(small, monkeypatch):
+    from sqlweave.operators import bpe
+    from sqlweave.plans import corpus_jobs, text_jobs
+    sizes = []
+    monkeypatch.setattr(bpe, "bpe_train", lambda texts, size, *a, **k: sizes.append(size) or 1 / 0)
+    monkeypatch.setattr("sqlweave.memo.memo", lambda spark, root, name, make: make())
+    monkeypatch.setattr(corpus_jobs, "corpus", lambda t: (None,) * 5)
+    monkeypatch.setattr(corpus_jobs, "_schema_text", lambda t: None)
+    monkeypatch.setattr(corpus_jobs, "split_by_schema", lambda *a: (None, None))
+    monkeypatch.setattr(corpus_jobs, "corpus_texts", lambda x: None)
+    for job in (text_jobs.q_bpe_train, text_jobs.q_bpe_encode, text_jobs.q_compression_stats, corpus_jobs.q_frame_pair):
+        try:
+            job(small)
+        except ZeroDivisionError:
+            pass
+    assert len(sizes) == 4 and min(sizes) >= 2048
