@@ -167,18 +167,20 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
         {"k1": F.xxhash64("label", "vector"), "k2": F.xxhash64("vector", "label", F.lit(1))}), "vectors")
     good = rows.filter("ok")
     copies = write_table(good.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "copies")
+    # a distinct vector's key starts with its first id, so a component's smallest key has its smallest id
+    node = F.struct(F.col("first").alias("id"), "k1", "k2")
     firsts = good.join(copies.select("k1", "k2", F.col("first").alias("id"), "n"), ["k1", "k2", "id"]).select(
-        "id", F.size("vector").alias("d"), F.xxhash64("label", F.size("vector")).alias("group"), "vector", "n"
-    ).dropDuplicates(["id"])
+        F.struct("id", "k1", "k2").alias("id"), F.size("vector").alias("d"),
+        F.xxhash64("label", F.size("vector")).alias("group"), "vector", "n").dropDuplicates(["id"])
     coded = write_table(encode(write_table(firsts, "firsts")), "coded")
     pairs = hamming_pairs(coded.select("id", "group", "code"))
     links = write_table(rerank(pairs, coded, cosine), "links")
-    counts = (links.select(F.col("a").alias("first"), F.col("nb").alias("m"))
-              .union(links.select("b", "na")).groupBy("first").agg(F.sum("m").alias("m")))
-    parts = connected_components(links).select(F.col("node").alias("first"), "component")
-    known = write_table(copies.join(counts, "first", "left").join(parts, "first", "left").select(
+    counts = (links.select(F.col("a").alias("node"), F.col("nb").alias("m"))
+              .union(links.select("b", "na")).groupBy("node").agg(F.sum("m").alias("m")))
+    parts = connected_components(links)
+    known = write_table(copies.withColumn("node", node).join(counts, "node", "left").join(parts, "node", "left").select(
         "k1", "k2", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "first").alias("component_id")), "known")
+        F.coalesce("component.id", "first").alias("component_id")), "known")
     done = good.select("id", "k1", "k2").join(known, ["k1", "k2"]).select(F.col("id").alias(key), "n_links", "component_id")
     return done.union(rows.filter("not ok").select("id", F.lit(0).cast("long"), "id"))
 

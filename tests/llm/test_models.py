@@ -68,6 +68,19 @@ def test_vectors_against_brute_force(spark, tmp_path):
         assert row.kept == (row.component_id == i) and row.component_id <= i
 
 
+def test_vectors_that_share_an_id(spark):
+    r = np.random.default_rng(4)
+    rows, want = [], {}
+    for k in range(20):  # id 100 holds 20 unlike vectors; each has one near neighbour of its own
+        x = r.normal(size=32)
+        rows += [(100, x.tolist(), 1), (200 + k, (x + 0.01 * r.normal(size=32)).tolist(), 1)]
+        want[200 + k] = (1, 100)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = op4_neardup.near_vectors(df).collect()
+    assert {x[0]: (x[1], x[2]) for x in got if x[0] >= 200} == want
+    assert [(x[1], x[2]) for x in got if x[0] == 100] == [(1, 100)] * 20
+
+
 def test_language_held_out(spark):
     got = op6_langid.op6_langid(spark, SF).toPandas()
     docs = pq.read_table(f"{SF}/documents.parquet").to_pandas()
