@@ -28,20 +28,25 @@ def q_synth_rows(t):
 
 
 def q_synth_fk_orphans(t):
-    """Zero orphans by construction: synthetic lineitem and orders against their parents."""
+    """Synthetic lineitem and orders against the key columns of their synthetic parents."""
     children = ["lineitem", "orders"]
     layout, n = _setup(t, children)
+    fks = {(r.from_table, r.from_column): r.to_column for r in star_catalog(t)[2].collect()}
     parts = []
     for child in children:
         df = synth_table(t.spark, layout, child, n)
         for c in layout[child]["columns"]:
             if not c["fk_to"]:
                 continue
-            parent = t.spark.range(1, n[c["fk_to"]] + 1).withColumnRenamed("id", "k")
-            kids = df.select(F.col(c["column_name"]).alias("k"))
+            key = fks[child, c["column_name"]]
+            to = layout[c["fk_to"]]
+            to = {**to, "columns": [x for x in to["columns"] if x["column_name"] == key]}
+            parent = synth_table(t.spark, {c["fk_to"]: to}, c["fk_to"], n).select(F.col(key).alias("k")).distinct()
+            kids = df.groupBy(F.col(c["column_name"]).alias("k")).agg(F.count(F.lit(1)).alias("c"))
             parts.append(kids.join(parent.withColumn("hit", F.lit(True)), "k", "left").agg(
-                F.count(F.lit(1)).alias("n_rows"),
-                F.count(F.when(F.col("hit").isNull(), 1)).alias("orphans")).select(
+                F.coalesce(F.sum("c"), F.lit(0)).alias("n_rows"),
+                F.coalesce(F.sum(F.when(F.col("k").isNotNull() & F.col("hit").isNull(), F.col("c"))),
+                           F.lit(0)).alias("orphans")).select(
                 F.lit(child).alias("from_table"), F.lit(c["column_name"]).alias("from_column"),
                 F.lit(c["fk_to"]).alias("to_table"), "n_rows", "orphans"))
     out = parts[0]
