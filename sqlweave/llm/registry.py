@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ("op1_bpe", "op2_quality", "op3_shards", "op4_neardup", "op5_warc", "op6_langid",
-           "op7_packing", "op8_license", "op9_minhash", "op10_rules")
+           "op7_packing", "op8_license", "op9_minhash", "op10_rules", "op11_conversations", "op12_bytebpe", "op13_runs")
 
 
 def _modules():

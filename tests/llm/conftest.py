@@ -51,6 +51,15 @@ def tables(spark, tmp_path_factory):
                 (8, "u1", "<p>" + "z" * 300_000, "d")]
         spark.createDataFrame(page if rows else [], "page_id long, url string, html string, digest string"
                               ).write.parquet(f"{root}/pages.parquet")
+        turn = [(1, 0, "system", "Be kind.", "c"), (1, 1, "user", "What now?", "c"), (1, 2, "assistant", "This.", "c"),
+                (2, None, "user", "Hello", "c"), (2, None, None, "Odd.", "c"), (2, 1, "assistant", None, "c"),
+                (2, 1, "assistant", "Yes.", "c"), (2, 1, "assistant", "Yes.", "c"), (2, 9, "tool", "Ran.", "c"),
+                (None, None, None, None, "c"), (None, 3, "user", "", "c"), (None, 3, "user", " \t\n", "c"),
+                (3, 5, "", "x!", "c"), (4, 1, "user", "\u3000", "c"), (5, 2, "assistant", LONG, "c")]
+        turn += [(6, i, "user" if i % 2 else "assistant", f"Line {i % 700}.", "c") for i in range(3000)]
+        spark.createDataFrame(turn if rows else [], "conv_id long, turn long, role string, text string, syms string"
+                              ).withColumns({c: F.lit("clash") for c in ("part", "seq", "fault", "digest", "_row", "kind", "audit", "cost")}
+                                            ).write.parquet(f"{root}/conversations.parquet")
         out[kind] = root
     return out
 
@@ -62,4 +71,4 @@ def query():
     return lambda n: qs[next(k for k in qs if k.startswith(f"op{n}_"))]
 
 
-assert len(MODULES) == 10
+assert len(MODULES) == 13

@@ -3,10 +3,10 @@ import pytest
 
 from .conftest import ODD_ROWS
 
-DOCS = [1, 2, 3, 6, 8, 9, 10]
+DOCS = [1, 2, 3, 6, 8, 9, 10, 12, 13]
 
 
-@pytest.mark.parametrize("n", [*DOCS, 4, 5, 7])
+@pytest.mark.parametrize("n", [*DOCS, 4, 5, 7, 11])
 def test_empty_tables(spark, tables, query, n):
     assert query(n)(spark, tables["empty"]).count() == 0
 
