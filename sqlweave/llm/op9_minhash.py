@@ -12,21 +12,24 @@ texts agree on a coordinate with exactly their weighted similarity.
 Signatures are cut into BANDS bands of ROWS coordinates; a pair of similarity
 0.8 shares no band with probability (1 - 0.8^5)^28 < 2e-5.
 
-Texts of equal words are collapsed first, so copies cost one row each. In every
-bucket the members are compared with one leader, not with each other: the member
-that meets most others over all its buckets, which in a group of edited copies is
-the text they were made from; verified links give components. Texts of buckets that
-still hold several components are joined once more, exactly: texts of similarity 0.8
-share one of their rarest fifth of shingles (prefix filter), so only members outside the
-largest component of such a shingle are compared with members of other components.
-All links are verified on the exact shingle multisets.
+Texts of equal words are one node, named by a 128-bit hash of its words, so copies cost one row each and rows
+that share an id but not their text stay apart. In every bucket the members are first compared
+with one leader, not with each other: the member that meets most others over all its buckets, which
+in a group of edited copies is the text they were made from; verified links give components.
+Buckets that still hold several components are then searched whole, in blocks of bounded size, by
+parity bitmaps: every unit cell flips one bit, so bitmaps differ in no more bits than the
+sets in cells, and texts of similarity 0.8 differ in at most a ninth of both weights. Only pairs of
+different components that pass this bound, which loses none, leave the block. All links
+are verified on the exact shingle multisets.
 
 Words are runs of non-space characters of the lower-cased text; a text of one
-to four words is one shingle.
+to four words is one shingle. Very long texts are signed whole.
 
 Nulls: a null text or doc_id is in a class of its own (a null doc_id has a null
 class). Texts without words are copies of each other. Repeated rows share a
-class. Empty tables give no rows. Extra columns are ignored by the query.
+class. Ties for a class's first member go to the smallest id, then the smallest text hash. Where rows share an
+id but not their text, classes of one id are told apart by ``class_key``. Empty tables give no
+rows. Extra columns are ignored by the query.
 """
 
 from __future__ import annotations
@@ -40,13 +43,13 @@ from pyspark.sql import functions as F
 
 from sqlweave.llm.common import Recent, load, slices
 from sqlweave.operators.graph import connected_components
-from sqlweave.session import ship_package, write_table
+from sqlweave.session import drop_table, ship_package, write_table
 
 SHINGLE = 5
 SIMILAR = 0.8
 ROWS, BANDS = 5, 28
-ORDER_SAMPLE, ORDER_SIZE = 3_000, 1 << 18  # texts and counters that set the order of cells
-BLOOM_BITS = 1 << 27  # most bits of the filter that picks candidates' texts
+BLOCK = 512  # members of a bucket that are compared with as many others in one step
+BLOOM_IDS = 1 << 23  # ids up to which a broadcast filter (16 bits each) picks candidates' texts
 
 _U = np.uint64
 
@@ -126,50 +129,54 @@ def _words(text: str) -> list[str]:
 
 
 def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, k1, k2, w, bands): two halves of a hash of the words, the weight, the band hashes."""
+    """(id, t, k, w, bands): hashes of the text and of its words, the weight, the band hashes."""
     ktype = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         memo = Recent(word_hash)
         for b in slices(batches):
-            k1, k2, weights, bands = [], [], [], []
+            names, weights, bands = [], [], []
             for x in b.column(1).to_pylist():
                 if x is None:
-                    for to in (k1, k2, weights, bands):
+                    for to in (names, weights, bands):
                         to.append(None)
                     continue
                 words = _words(x)
-                d = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                k1.append(int.from_bytes(d[:8], "little", signed=True))
-                k2.append(int.from_bytes(d[8:], "little", signed=True))
+                names.append(_name(words))
                 cells = cells_of(words, memo.turn())
                 weights.append(len(cells))
                 bands.append(band_hashes(signature(cells)) if words else [])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                 pa.array(weights, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                ["id", "k1", "k2", "w", "bands"])
-    return docs.select(key, text).filter(F.col(key).isNotNull()).mapInArrow(
-        run, f"id {ktype}, k1 long, k2 long, w long, bands array<long>")
+                [b.column(0), b.column(2), pa.array(names, pa.binary()), pa.array(weights, pa.int64()),
+                 pa.array(bands, pa.list_(pa.int64()))], ["id", "t", "k", "w", "bands"])
+    digest = F.md5(F.col(text).cast("binary"))
+    return docs.filter(F.col(key).isNotNull()).select(F.col(key), F.col(text), F.unhex(digest).alias("_t")).mapInArrow(
+        run, f"id {ktype}, t binary, k binary, w long, bands array<long>")
+
+
+def _name(words: list[str]) -> bytes:
+    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def _led(members: DataFrame) -> DataFrame:
-    """Members (id, bucket, w) of buckets of several, with the bucket's leader and its weight ``lw``.
+    """Members (k, id, bucket, w) of buckets of several, with the bucket's size, leader and its weight ``lw``.
 
-    The leader meets most others over all its buckets; ties go to the smallest id.
+    The leader meets most others over all its buckets; ties go to the smallest name.
     """
     sizes = write_table(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
-    members = write_table(members.join(sizes, "bucket"), "members")
-    met = write_table(members.groupBy("id").agg(F.sum("n").alias("met")), "met")
-    lead = members.join(met, "id").groupBy("bucket").agg(F.min(F.struct(-F.col("met"), "id", "w")).alias("x"))
-    lead = write_table(lead.select("bucket", F.col("x.id").alias("leader"), F.col("x.w").alias("lw")), "leaders")
-    return write_table(members.drop("n").join(lead, "bucket"), "members")
-
-
-def _bloom(ids: DataFrame):
-    """(bits, words) of a filter of the ids; false positives only cost time, so its size is bounded."""
-    n = ids.count()
-    bits = min(BLOOM_BITS, max(1 << 10, 1 << (16 * n).bit_length()))
+    shared = write_table(members.join(sizes, "bucket"), "members")
+    drop_table(sizes)
+    met = shared.groupBy("k").agg(F.sum("n").alias("met"))
+    lead = shared.join(met, "k").groupBy("bucket").agg(F.min(F.struct(-F.col("met"), "k", "w")).alias("x"))
+    led = write_table(shared.join(lead.select("bucket", F.col("x.k").alias("leader"), F.col("x.w").alias("lw")),
+                                  "bucket"), "led")
+    drop_table(shared)
+    return led
+
+
+def _bloom(ids: DataFrame, n: int):
+    """(bits, words) of a filter of the ids; false positives only cost time."""
+    bits = max(1 << 10, 1 << (16 * n).bit_length())
     at = F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(s)), F.lit(bits)) for s in range(3)]))
     words = ids.select(at.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("m")).toPandas()
@@ -179,29 +186,38 @@ def _bloom(ids: DataFrame):
 
 
 def candidate_cells(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, cells) of the texts whose id is in ``ids``, from one more pass over the texts."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_bloom(ids))
-    ktype = docs.schema[key].dataType.simpleString()
+    """(k, cells) of the texts whose id is in ``ids``, from one more pass over the texts.
+
+    Up to BLOOM_IDS ids a broadcast filter picks the rows where they lie; more ids are
+    joined by a shuffle. Rows that share an id give their cells too; joins by ``k`` pass over them.
+    """
+    n = ids.count()
+    rows = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull())
+    if n > BLOOM_IDS:
+        rows = rows.join(ids.select(F.col("id").alias(key)), key, "left_semi")
+        shared = None
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(_bloom(ids, n))
     probe = F.array(*[F.xxhash64(F.col(key), F.lit(s)) for s in range(3)])
 
     def run(batches):
-        bits, table = shared.value
+        bits, table = shared.value if shared else (0, None)
         memo = Recent(word_hash)
         for b in slices(batches):
-            p = np.asarray(b.column(2).flatten(), np.int64).reshape(-1, 3) % bits
-            ok = ((table[p >> 6] >> (p & 63).astype(np.uint64)) & _U(1)).all(1)
-            b = b.filter(pa.array(ok))
-            cells = [cells_of(_words(x), memo.turn()).view(np.int64) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.list_(pa.int64()))], ["id", "cells"])
-    rows = docs.select(key, text, probe.alias("probe")).filter(F.col(key).isNotNull() & F.col(text).isNotNull())
-    return rows.mapInArrow(run, f"id {ktype}, cells array<long>")
+            if shared:
+                p = np.asarray(b.column(1).flatten(), np.int64).reshape(-1, 3) % bits
+                b = b.filter(pa.array(((table[p >> 6] >> (p & 63).astype(np.uint64)) & _U(1)).all(1)))
+            words = [_words(x) for x in b.column(0).to_pylist()]
+            cells = [cells_of(x, memo.turn()).view(np.int64) for x in words]
+            yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in words], pa.binary()),
+                                              pa.array(cells, pa.list_(pa.int64()))], ["k", "cells"])
+    return rows.select(F.col(text).alias("text"), probe.alias("probe")).mapInArrow(run, "k binary, cells array<long>")
 
 
 def verify(pairs: DataFrame, cells: DataFrame, similar: float) -> DataFrame:
     """The pairs (a, b) whose exact weighted similarity is at least ``similar``."""
-    left = cells.select(F.col("id").alias("a"), F.col("cells").alias("x"))
-    right = cells.select(F.col("id").alias("b"), F.col("cells").alias("y"))
+    left = cells.select(F.col("k").alias("a"), F.col("cells").alias("x"))
+    right = cells.select(F.col("k").alias("b"), F.col("cells").alias("y"))
     d = pairs.join(left, "a")
     # sizes alone rule many pairs out
     d = d.join(right, "b").filter(F.least(F.size("x"), F.size("y")) >= F.greatest(F.size("x"), F.size("y")) * similar)
@@ -209,109 +225,156 @@ def verify(pairs: DataFrame, cells: DataFrame, similar: float) -> DataFrame:
     return d.filter(both >= (F.size("x") + F.size("y") - both) * similar).select("a", "b").distinct()
 
 
-def rare_cells(rows: DataFrame, similar: float, key: str = "id") -> DataFrame:
-    """(id, component, w, cell): the rarest cells of every text, enough that similar texts share one.
+def parity(cells: np.ndarray) -> np.ndarray:
+    """Bitmap with a bit flipped by every cell; its width, a power of two, grows with the weight."""
+    width = max(64, 1 << (2 * len(cells) - 1).bit_length())
+    return np.packbits(np.bincount((cells.view(np.uint64) % _U(width)).astype(np.int64), minlength=width).astype(np.uint8) & 1,
+                       bitorder="little").view(np.uint64)
+
+
+def near_by_parity(bits: list[np.ndarray], weights: np.ndarray, group: np.ndarray, side: np.ndarray | None,
+                   similar: float) -> list[tuple[int, int]]:
+    """Pairs of different groups (and sides) whose weights and bitmaps allow the similarity."""
+    by_width: dict[int, list[int]] = {}
+    for i, x in enumerate(bits):
+        by_width.setdefault(len(x), []).append(i)
+    part, out = (1 - similar) / (1 + similar), []
+    for width, rows in by_width.items():
+        at = np.array(rows)
+        table = np.stack([bits[i] for i in rows])
+        for other in (width, 2 * width):  # weights that allow the similarity are at most one width apart
+            for i in by_width.get(other, ()):
+                x = bits[i] if other == width else bits[i][:width] ^ bits[i][width:]
+                ok = (group[at] != group[i]) & (np.minimum(weights[at], weights[i]) >= np.maximum(weights[at], weights[i]) * similar)
+                if side is not None:
+                    ok &= side[at] != side[i]
+                if other == width:
+                    ok &= at < i
+                near = np.flatnonzero(ok)
+                if len(near):
+                    apart = np.bitwise_count(table[near] ^ x).sum(1)
+                    for j in at[near[apart <= (weights[at[near]] + weights[i]) * part + 1e-6]].tolist():
+                        out.append((i, j))
+    return out
 
-    Of two sets of similarity s or more, each has a cell of the other among its first
-    n - ceil(s n) + 1 cells in any order that all texts use. Here cells stand by how often
-    they are seen in a bounded sample of the texts, so cells of common passages come last.
-    """
-    spark = rows.sparkSession
-    every = max(1, -(-rows.count() // ORDER_SAMPLE))
-    seen = (rows.filter(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select(F.explode("cells").alias("c"))
-            .groupBy(F.pmod("c", F.lit(ORDER_SIZE)).alias("c")).count().filter("count > 1").toPandas())
-    often = np.zeros(ORDER_SIZE, np.int32)
-    often[seen["c"].to_numpy(np.int64)] = seen["count"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(often)
 
-    def run(batches):
+def open_pairs(members: DataFrame, cells: DataFrame, similar: float) -> DataFrame:
+    """(a, b): pairs in one bucket, of different components, that may be similar.
+
+    ``members`` (k, bucket, n, component) are those of buckets with several components.
+    Large buckets are cut into hashed blocks, and each pair of blocks is one step of a task.
+    """
+    def bitmaps(batches):
         for b in slices(batches):
-            at, out = [], []
-            for i, cells in enumerate(b.column(1)):
-                c = np.asarray(cells.values, np.int64)
-                n = len(c) - int(np.ceil(similar * len(c) - 1e-9)) + 1
-                out.append(c[np.lexsort((c, shared.value[c % ORDER_SIZE]))][:n])
-                at.append(np.full(len(out[-1]), i))
-            take = pa.array(np.concatenate(at) if at else np.zeros(0, np.int64))
+            lists = [np.asarray(x.values, np.int64) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(2).take(take), b.column(3).take(take),
-                 pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64())],
-                [key, "component", "w", "cell"])
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "cells", "component", F.size("cells").cast("long").alias("w")).mapInArrow(
-        run, f"{key} {kind}, component {kind}, w long, cell long")
+                [b.column(0), pa.array([len(x) for x in lists], pa.int64()),
+                 pa.array([parity(x).tobytes() for x in lists], pa.binary())], ["k", "w", "bits"])
+
+    def compare(batches):
+        from itertools import groupby
+
+        def rows():
+            for b in batches:
+                yield from zip(*(c.to_pylist() for c in b.columns))
+        left, right = [], []
+        for (_, a, b), group in groupby(rows(), key=lambda r: r[:3]):
+            group = list(group)  # at most two blocks
+            _, _, _, own, k, component, w, bits = zip(*group)
+            number = {c: i for i, c in enumerate(dict.fromkeys(component))}
+            if len(number) > 1:
+                for i, j in near_by_parity([np.frombuffer(x, np.uint64) for x in bits], np.array(w),
+                                           np.array([number[c] for c in component]), None if a == b else np.array(own), similar):
+                    left.append(min(k[i], k[j]))
+                    right.append(max(k[i], k[j]))
+            if len(left) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+                left, right = [], []
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+    bits = cells.join(members.select("k").distinct(), "k", "left_semi").mapInArrow(
+        bitmaps, "k binary, w long, bits binary")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    rows = members.withColumn("own", F.pmod(F.xxhash64("k"), blocks)).withColumn(
+        "with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).join(bits, "k")
+    rows = rows.select("bucket", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"),
+                       "own", "k", "component", "w", "bits")
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.repartition(parts, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+            .mapInArrow(compare, "a binary, b binary").distinct())
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """(id, class_id) for every row of ``docs``: the smallest id linked to it by copies and links."""
+    """(id, t, class_id, class_key, first) for every row of ``docs`` with an id.
+
+    ``class_id`` and ``class_key`` are the smallest (id, text hash) that copies and links reach from the row;
+    ``first`` tells whether they are the row's own.
+    """
     ship_package(docs.sparkSession)
-    rows = write_table(sign(docs, key, text), "signed")
-    copies = write_table(rows.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("first")), "copies")
-    firsts = write_table(rows.join(copies.select("k1", "k2", F.col("first").alias("id")), ["id", "k1", "k2"])
-                         .filter(F.size("bands") > 0).select("id", "w", "bands"), "firsts")
-    members = _led(firsts.select("id", "w", F.explode("bands").alias("bucket")))
+    rows = write_table(sign(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "signed")
+    known = rows.filter("k is not null")
+    nodes = write_table(known.groupBy("k").agg(F.min("row").alias("row"), F.min(F.struct("id", "t")).alias("head")), "nodes")
+    firsts = write_table(known.select("row", "id", "k", "w", "bands").join(nodes.select("row"), "row", "left_semi")
+                         .filter(F.size("bands") > 0).drop("row"), "firsts")
+    members = _led(firsts.select("k", "id", "w", F.explode("bands").alias("bucket")))
+    drop_table(firsts)
     cells = write_table(candidate_cells(docs, members.select("id").distinct(), key, text), "cells")
-
-    def alike(x, y):
-        """Weights that allow the similarity."""
-        return F.least(x, y) >= F.greatest(x, y) * similar
-
-    def star(m):
-        return m.filter((F.col("id") != F.col("leader")) & alike(F.col("w"), F.col("lw"))).select(
-            F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    tested = write_table(star(members), "pairs")
-    links = write_table(verify(tested, cells, similar), "links")
+    star = members.filter((F.col("k") != F.col("leader"))
+                          & (F.least("w", "lw") >= F.greatest("w", "lw") * similar)).select(
+        F.least("k", "leader").alias("a"), F.greatest("k", "leader").alias("b")).distinct()
+    links = write_table(verify(star, cells, similar), "links")
     part = connected_components(links)
-    m = members.join(part, members.id == part.node, "left").select(
-        "id", "bucket", F.coalesce("component", "id").alias("component"))
-    m = write_table(m, "labelled")
-    mixed = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
-    open_ids = m.join(write_table(mixed.select("bucket"), "mixed"), "bucket").select("id", "component").distinct()
-    rows_left = write_table(cells.join(open_ids, "id"), "open")
-    rare = write_table(rare_cells(rows_left, similar), "rare")
-    sizes = rare.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("n"))
-    shared = write_table(sizes.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("top"))
-        .filter("parts > 1").select("cell", F.col("top.component").alias("main")), "shared")
-    few = write_table(rare.join(shared, "cell"), "few")
-    outside = few.filter("component != main").select(F.col("cell").alias("cell2"), F.col("id").alias("id2"),
-                                                     F.col("w").alias("w2"), F.col("component").alias("component2"))
-    fresh = (few.join(outside, (F.col("cell") == F.col("cell2")) & (F.col("component") != F.col("component2"))
-                      & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("id2")))
-                      & alike(F.col("w"), F.col("w2")))
-             .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
-    fresh = write_table(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-    if not fresh.isEmpty():
-        part = connected_components(links.union(verify(fresh, cells, similar)))
-    classes = part.select(F.col("node").alias("first"), F.col("component").alias("class_id"))
-    copies = write_table(copies.join(classes, "first", "left").select(
-        "k1", "k2", F.coalesce("class_id", "first").alias("class_id")), "classes")
-    known = rows.filter("k1 is not null").select("id", "k1", "k2").join(copies, ["k1", "k2"]).select("id", "class_id")
-    return known.union(rows.filter("k1 is null").select("id", F.col("id").alias("class_id")))
+    labelled = write_table(members.join(part, members.k == part.node, "left").select(
+        "k", "bucket", "n", F.coalesce("component", "k").alias("component")), "labelled")
+    drop_table(members)
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter(
+        "lo != hi").select("bucket")
+    still = write_table(labelled.join(mixed, "bucket", "left_semi"), "open")
+    drop_table(labelled)
+    more = write_table(verify(open_pairs(still, cells, similar), cells, similar), "links")
+    drop_table(still)
+    drop_table(cells)
+    if not more.isEmpty():
+        part = connected_components(links.union(more))
+    found = nodes.join(part, nodes.k == part.node, "left").select("k", "head", F.coalesce("component", "k").alias("component"))
+    heads = found.groupBy("component").agg(F.min("head").alias("first"))
+    found = found.join(heads, "component").select("k", "first")
+    classes = known.select("id", "t", "k").join(found, "k").select(
+        "id", "t", F.col("first.id").alias("class_id"), F.col("first.t").alias("class_key"))
+    alone = rows.filter("k is null").select("id", "t", F.col("id").alias("class_id"), F.col("t").alias("class_key"))
+    return classes.union(alone).withColumn("first", F.col("class_id").eqNullSafe(F.col("id"))
+                                           & F.col("class_key").eqNullSafe(F.col("t")))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs``, all columns, without later members of a class.
 
-    Rows that share their id with another row are reduced to one; rows with a null id stay.
+    A row goes only if its own text's class has another first member; of rows with the first
+    member's id and text one stays. Rows with a null id or a null text stay.
     """
     classes = near_classes(docs, key, text, similar)
-    per_id = classes.groupBy("id").agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
-    dropped = write_table(per_id.filter("id != class_id or n > 1").select(
-        F.col("id").alias(key), (F.col("id") == F.col("class_id")).alias("_again")), "dropped")
-    rest = docs.join(dropped.select(key), key, "left_anti")
-    again = dropped.filter("_again").select(key)
+    per_text = classes.filter("t is not null").groupBy("id", "t").agg(
+        F.max("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    dropped = write_table(per_text.filter("not first or n > 1").select(
+        F.col("id").alias("_near_id"), F.col("t").alias("_near_t"), F.col("first").alias("_near_first")), "dropped")
+    rows = docs.withColumn("_near_hash", F.unhex(F.md5(F.col(text).cast("binary"))))
+    same = (F.col(key) == F.col("_near_id")) & (F.col("_near_hash") == F.col("_near_t"))
+    rest = rows.join(dropped, same, "left_anti")
+    again = dropped.filter("_near_first")
     if not again.isEmpty():
-        rest = rest.unionByName(docs.join(again, key, "left_semi").dropDuplicates([key]))
+        rest = rest.unionByName(rows.join(again, same, "left_semi").dropDuplicates([key, "_near_hash"]))
     return rest.select(*docs.columns)
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     docs = load(spark, sf_dir, "documents")
-    out = near_classes(docs).select(F.col("id").alias("doc_id"), "class_id")
-    lost = docs.filter("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    return out.union(lost).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    out = near_classes(docs).select(F.col("id").alias("doc_id"), "class_id", F.lower(F.hex("class_key")).alias("class_key"),
+                                    F.col("first").alias("kept"))
+    lost = docs.filter("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"),
+                                                F.lit(None).cast("string").alias("class_key"), F.lit(True).alias("kept"))
+    return out.union(lost)
 
 
 QUERIES = {"op9_minhash": op9_minhash}

@@ -257,6 +257,51 @@ def test_classes_against_brute_force(spark):
     assert got == brute_classes(texts)
 
 
+def test_rows_that_share_an_id_keep_their_own_class(spark):
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(5, a), (5, b), (6, changed(a, 1, 1)), (7, changed(b, 2, 1)), (5, a), (8, c), (8, None), (None, a), (9, None)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    kept = sorted(((r["doc_id"], r["text"]) for r in op9_minhash.keep_first(docs).collect()), key=str)
+    assert kept == sorted([(5, a), (5, b), (8, c), (8, None), (None, a), (9, None)], key=str)
+    got = op9_minhash.near_classes(docs).collect()
+    by_key = {}
+    for r in got:
+        by_key.setdefault(bytes(r["class_key"] or b""), set()).add((r["id"], r["class_id"]))
+    assert len(got) == 8 and {(5, 5), (6, 5)} in by_key.values() and {(5, 5), (7, 5)} in by_key.values()
+
+
+def test_many_edited_copies_of_one_text(spark, monkeypatch):
+    monkeypatch.setattr(op9_minhash, "BLOCK", 16)  # several blocks a bucket
+    base = prose(11, 120)
+    texts = {i: changed(base, i, 3 + i % 5) for i in range(150)} | {200 + i: changed(base, i % 7, 6) for i in range(20)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["id"]: r["class_id"] for r in op9_minhash.near_classes(docs).collect()}
+    want = brute_classes(texts)
+    assert got == want and len(set(want.values())) > 20
+
+
+def test_parity_bound_loses_no_pair():
+    r = np.random.default_rng(8)
+    sets, memo = [], Recent(op9_minhash.word_hash)
+    for i in range(120):
+        words = prose(i % 4, int(r.integers(40, 700))).split()
+        for _ in range(int(r.integers(0, 12))):
+            words[int(r.integers(len(words)))] = f"new{r.integers(10**6)}"
+        sets.append(op9_minhash.cells_of(words, memo.turn()))
+    bits, w = [op9_minhash.parity(x) for x in sets], np.array([len(x) for x in sets])
+    found = {tuple(sorted(p)) for p in op9_minhash.near_by_parity(bits, w, np.arange(120), None, 0.8)}
+    alike = set()
+    for i in range(120):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                alike.add((j, i))
+    assert alike and alike <= found and len(found) < 3 * len(alike)
+    side = np.arange(120) % 2
+    across = {tuple(sorted(p)) for p in op9_minhash.near_by_parity(bits, w, np.arange(120), side, 0.8)}
+    assert across == {p for p in found if side[p[0]] != side[p[1]]}
+
+
 def test_signatures_agree_with_weighted_similarity():
     r = np.random.default_rng(1)
     agree, k = [], 140
