@@ -15,7 +15,8 @@ length: ranks come from one range-partitioned pass, so no length, however
 common, meets in one task.
 
 Nulls: a null text counts as empty; an empty text is its end id alone. Repeated
-rows are documents of their own. Empty tables give no rows.
+rows are documents of their own. Very long texts are cut into full pieces like others. Ties
+between pieces of one length go by row number. Extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from sqlweave.operators.numbering import row_numbers
 from sqlweave.session import write_table
 
 CAPACITY = 1024
+LONG_TEXT = 400_000  # characters from which texts go through this package's encoder
 END_ID = 0
 
 
@@ -119,7 +121,9 @@ def quick_encoder(spec):
             ranks = {t.blob[t.offsets[i]:t.offsets[i + 1]].tobytes(): i for i in range(len(t.length)) if t.length[i]}
             lib = tiktoken.Encoding("vocabulary", pat_str=PATTERN.replace("++", "+"), mergeable_ranks=ranks,
                                     special_tokens=t.added)
-            _QUICK[spec.id] = lambda x: lib.encode_to_numpy(x, allowed_special="all", disallowed_special=())
+            # the library's pattern gives up on runs of about a million characters
+            _QUICK[spec.id] = lambda x: (np.array(t.encode(x), np.uint32) if len(x) >= LONG_TEXT else
+                                         lib.encode_to_numpy(x, allowed_special="all", disallowed_special=()))
         else:
             _QUICK[spec.id] = lambda x: np.array(t.encode(x), np.uint32)
     return _QUICK[spec.id]

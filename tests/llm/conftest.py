@@ -36,7 +36,8 @@ def tables(spark, tmp_path_factory):
         root = str(tmp_path_factory.mktemp(kind))
         docs = spark.createDataFrame(rows, DOC_SCHEMA)
         # names that the operators use themselves
-        for c in ("ids", "key", "k1", "shard", "bytes", "score", "kept", "bucket", "n", "id", "rest", "_row", "votes"):
+        for c in ("ids", "key", "k1", "shard", "bytes", "score", "kept", "bucket", "n", "id", "rest", "_row", "votes",
+                  "_again", "class_id", "w", "cells", "rn", "full", "k", "t", "row", "first", "probe", "runs", "stops"):
             docs = docs.withColumn(c, F.lit("clash"))
         docs.withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{root}/documents.parquet")
         vec = [(1, [1.0, 0.0], 1, "z"), (2, [1.0, 0.01], 1, "z"), (3, [1.0, 0.0], 2, "z"), (4, None, 1, "z"),

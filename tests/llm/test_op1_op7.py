@@ -145,3 +145,23 @@ def test_quick_encoder_equals_library(own, library):
     texts += ["".join(f"a{chr(c)}1 {chr(c)}." for c in range(i, i + 512)) for i in range(0, 0xD800, 512)]
     for t in texts:
         assert quick(t).tolist() == ids_of(library, t) == own.encode(t)
+
+
+@pytest.mark.parametrize("c", [" ", "\n", "\t", "\u3000", "x", "#"])
+def test_runs_of_two_million_characters(own, c):
+    from sqlweave.llm import op7_packing
+
+    class Spec:
+        id = -1
+        with open(vocab_path(), "rb") as f:
+            value = f.read()
+    text = "a" + c * 2_000_000 + "b"
+    ids = op7_packing.quick_encoder(Spec)(text)
+    assert ids.tolist() == own.encode(text)
+    assert own.decode_batch(np.asarray(ids, np.int64), np.array([len(ids)])) == [text]
+
+
+@pytest.mark.parametrize("c", [" ", "\n", "\t", "\u3000", "x", "#"])
+def test_long_runs_equal_library(own, library, c):
+    text = "a" + c * 300_000 + "b"
+    assert own.encode(text) == ids_of(library, text)
