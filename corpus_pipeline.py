@@ -3,8 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes every
 stage's result as Parquet in the shared folder and reads it again as the next
 one's documents. All but the last stage return the columns of ``documents``.
-Null, empty and repeated rows are treated as the operators' docstrings say; of
-rows that repeat wholly, near-dedup keeps one.
+Null, empty, repeated and very long rows and ties are treated as the operators' docstrings
+say: rows without text or letters go with the first two stages; of rows with the same id and
+text near-dedup keeps one; rows that share only their id stay apart, each with its own class.
+Extra columns are carried to the last stage.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("language", language), ("near_dedup", near_dedup), ("packing", packing)]
 
-#: The stages learn models and hash; SQL can't express them. tests/llm has a brute-force version.
+#: The stages learn models and hash; SQL can't express them. tests/llm rebuilds the rows stage by stage.
 ORACLE_SQL = None
 
 
