@@ -7,8 +7,6 @@ entity, {p} ' within each <part>', {f} filters.
 
 from __future__ import annotations
 
-import re
-
 FRAMES = {
     "list": ("{d}: their {c}{f}", "I need the {c} of our {d}{f}", "pull {c} for these {d}{f}",
              "could you print {c} of the {d}{f}?"),
@@ -35,20 +33,15 @@ MEASURE_VARIANTS = {
 }
 YEAR_VARIANTS = (" in {v}", " dated {v}", " of the year {v}")
 MEASURE_WORDS = {"SUM": "total", "AVG": "average", "MAX": "largest", "MIN": "smallest"}
-# closed-class words of English questions
-FUNCTION_WORDS = "a an the of by per for each with and or is are to on in at that which from all any s".split()
-# words the plain question templates add around labels
-TEMPLATE_WORDS = "show list number count rank top highest than above only where across within".split()
+# -- fixed values: words that say nothing about which table a question needs -------------
+# grammar
+FUNCTION_WORDS = ("a an the of by per for each with and or is are to on in at that which what who whose how do does "
+                  "from all any our we me i you s").split()
+# asking and counting
+QUESTION_WORDS = ("show list give get find pull print count number total sum average mean top highest largest smallest "
+                  "most least rank than more above below over under have has only where across within").split()
 # parts of column labels that most tables share
 SHARED_LABEL_WORDS = "id key name code status date year".split()
+# -----------------------------------------------------------------------------------------
 
-
-def _words(texts) -> list[str]:
-    return re.findall(r"[a-z]+", " ".join(re.sub(r"\{\w+\}", " ", t) for t in texts).lower())
-
-
-#: Words that say nothing about which table a question needs: everything our own wording
-#: adds, function words, and label words that most tables share.
-STOP_WORDS = tuple(dict.fromkeys([
-    *FUNCTION_WORDS, *TEMPLATE_WORDS, *SHARED_LABEL_WORDS, *MEASURE_WORDS.values(),
-    *_words(x for group in (*FRAMES.values(), *MEASURE_VARIANTS.values(), YEAR_VARIANTS) for x in group)]))
+STOP_WORDS = (*FUNCTION_WORDS, *QUESTION_WORDS, *SHARED_LABEL_WORDS)

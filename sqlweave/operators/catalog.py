@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,7 +100,7 @@ def catalog_tables(tables: DataFrame, scope: DataFrame, skip_suffixes=SKIP_SUFFI
 
 
 def catalog_synonyms(tables: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """Canonical name: synonym if any, else ``owner.table``; lower case.
+    """Canonical name: synonym if any (of several the table's own name, else the first), else ``owner.table``; lower case.
 
     Returns (owner, table_name, canonical, table_pos) with positions in
     sorted canonical order, as the live reader sorts names.
@@ -108,6 +108,9 @@ def catalog_synonyms(tables: DataFrame, synonyms: DataFrame) -> DataFrame:
     syn = synonyms.select(F.upper("table_owner").alias("owner"),
                           F.upper("table_name").alias("base"),
                           F.lower("synonym_name").alias("syn"))
+    # one name per table: a synonym that spells the table's name comes first
+    syn = syn.groupBy("owner", "base").agg(F.min(F.struct(F.col("syn") != F.lower("base"), "syn")).alias("s")).select(
+        "owner", "base", F.col("s.syn").alias("syn"))
     t = tables.select(F.upper("owner").alias("owner"), F.upper("table_name").alias("base"))
     canon = (t.join(syn, ["owner", "base"], "left")
              .select("owner", "base",
@@ -289,14 +292,20 @@ def infer_fks(cat_columns: DataFrame, declared_fks: DataFrame, rules: RoleRules
         F.when(F.col("hint_table").isNotNull(), F.col("hint_col"))
         .when(full_ok, F.col("full_col")).when(strip_ok, F.col("strip_col")).alias("to_column"),
         F.lit(False).alias("declared"),
-        (F.lit(1_000_000_000_000) + F.col("table_pos").cast("long") * 1_000_000
+        (F.lit(1_000_000_000_000_000) + F.col("table_pos").cast("long") * 1_000_000
          + F.col("col_pos")).alias("fk_pos"),
     ).filter(F.col("to_table").isNotNull())
 
     declared = declared_fks.select(
         "from_table", F.lower("from_column").alias("from_column"), "to_table",
-        F.lower("to_column").alias("to_column"), F.lit(True).alias("declared"),
-        F.monotonically_increasing_id().alias("fk_pos"))
+        F.lower("to_column").alias("to_column"), F.lit(True).alias("declared")).distinct()
+    # in order of their columns, then their targets: the same whatever order the reader gave
+    places = cat_columns.select(F.col("table_name").alias("from_table"), F.col("column_name").alias("from_column"),
+                                "table_pos", "col_pos")
+    declared = declared.join(places, ["from_table", "from_column"], "left").withColumn(
+        "fk_pos", F.row_number().over(Window.partitionBy("from_table", "from_column").orderBy("to_table", "to_column"))
+        + (F.coalesce("table_pos", F.lit(0)).cast("long") * 1_000_000 + F.coalesce("col_pos", F.lit(0))) * 1_000).drop(
+        "table_pos", "col_pos")
     both = declared.unionByName(inferred)
     # both ends must be catalog tables; no self links; first occurrence wins
     both = (both.join(tables.select(F.col("table_name").alias("to_table")), "to_table", "left_semi")

@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sqlweave.functions.text import pretokens
 from sqlweave.operators.specs import validate_specs
 from sqlweave.plans.render import with_paraphrases, with_question, with_sql
+from sqlweave.session import write_table
 
 
-def serialize_catalog(cat_columns: DataFrame, cat_fks: DataFrame,
-                      tables: DataFrame | None = None, key: str = "schema_id") -> DataFrame:
-    """``table : col(pk,fk->t.c,=label), ... | ...`` per ``key``, in catalog order.
-
-    ``tables`` (optional): (key, table_name) rows limiting the text to a subset,
-    e.g. the tables linked to one question; ``key`` then names its id column.
-    """
+def serialize_parts(cat_columns: DataFrame, cat_fks: DataFrame) -> DataFrame:
+    """(schema_id, table_name, table_pos, part): ``table : col(pk,fk->t.c,=label), ...`` per table."""
     fk = cat_fks.groupBy("schema_id", F.col("from_table").alias("table_name"),
                          F.col("from_column").alias("column_name")).agg(
         F.min_by(F.concat(F.lit("fk->"), F.col("to_table"), F.lit("."), F.col("to_column")),
@@ -27,21 +24,56 @@ def serialize_catalog(cat_columns: DataFrame, cat_fks: DataFrame,
                     lambda x: x.isNotNull())
     col_text = F.concat(F.col("column_name"), F.when(F.size(tags) > 0, F.concat(
         F.lit("("), F.array_join(tags, ","), F.lit(")"))).otherwise(F.lit("")))
-    c = c.withColumn("col_text", col_text)
-    if tables is not None:
-        c = c.join(tables.select(key, "schema_id", "table_name").distinct(),
-                   ["schema_id", "table_name"])
-    else:
-        c = c.withColumn(key, F.col("schema_id")) if key != "schema_id" else c
-    per_table = c.groupBy(key, "table_name", "table_pos").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col_pos", "col_text"))),
+    per_table = c.groupBy("schema_id", "table_name", "table_pos").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col_pos", col_text.alias("col_text")))),
                                  lambda x: x["col_text"]), ", ").alias("cols"))
-    per_table = per_table.withColumn("t", F.concat(F.col("table_name"), F.lit(" : "), F.col("cols")))
-    return per_table.groupBy(key).agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("table_pos", "t"))), lambda x: x["t"]), " | ")
+    return per_table.select("schema_id", "table_name", "table_pos",
+                            F.concat("table_name", F.lit(" : "), "cols").alias("part"))
+
+
+def serialize_catalog(cat_columns: DataFrame, cat_fks: DataFrame,
+                      tables: DataFrame | None = None, key: str = "schema_id") -> DataFrame:
+    """``table : col(pk,fk->t.c,=label), ... | ...`` per ``key``, in catalog order.
+
+    ``tables`` (optional): (key, schema_id, table_name) rows limiting the text to a subset,
+    e.g. the tables linked to one question; ``key`` then names its id column. Every
+    table's part is written once, however many subsets hold it.
+    """
+    parts = serialize_parts(cat_columns, cat_fks)
+    if tables is not None:
+        parts = parts.join(tables.select(*dict.fromkeys([key, "schema_id", "table_name"])).distinct(),
+                           ["schema_id", "table_name"])
+    elif key != "schema_id":
+        parts = parts.withColumn(key, F.col("schema_id"))
+    return parts.groupBy(key).agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("table_pos", "part"))), lambda x: x["part"]), " | ")
         .alias("schema_text"))
 
 
+def column_costs(cat_columns: DataFrame, cat_fks: DataFrame) -> DataFrame:
+    """(schema_id, table_name, tokens): pre-tokens of each table's part of the catalog text, blanks left out.
+
+    The parts are ``table : col(tags), ...`` and one separator; a subset of tables costs the sum of its parts.
+    """
+    words = serialize_parts(cat_columns, cat_fks)
+    n = F.size(F.filter(pretokens("part"), lambda x: F.trim(x) != ""))
+    return words.select("schema_id", "table_name", (n + 1).cast("long").alias("tokens"))
+
+
+def link_costs(linked: DataFrame, cat_columns: DataFrame, cat_fks: DataFrame) -> DataFrame:
+    """(qid, tokens_before, tokens_after) of linked questions on one catalog.
+
+    Every table's cost is counted once for the catalog; a question sums those of its tables, so no
+    question encodes a catalog text. An unlinked question carries all tables.
+    """
+    costs = write_table(column_costs(cat_columns, cat_fks), "costs")
+    whole = costs.agg(F.sum("tokens").alias("tokens_before"))  # one row
+    chosen = (linked.filter("not link_all").select("qid", F.explode("tables").alias("table_name"))
+              .join(costs, "table_name").groupBy("qid").agg(F.sum("tokens").alias("tokens_after")))
+    return (linked.select("qid").join(chosen, "qid", "left").crossJoin(F.broadcast(whole))
+            .withColumn("tokens_after", F.coalesce("tokens_after", "tokens_before")))
+
+
 def build_examples(specs: DataFrame, cat_tables: DataFrame, cat_columns: DataFrame,
                    cat_fks: DataFrame, k_paraphrases: int = 3) -> DataFrame:
     """Specs with sql, question, paraphrases and a ``valid`` flag."""
@@ -99,13 +131,18 @@ def corpus_texts(pairs: DataFrame) -> DataFrame:
 
 
 def frame_pairs(pairs: DataFrame, merges: DataFrame) -> DataFrame:
-    """src = <question> q <schema> s; tgt_in = <bos> sql; labels = sql <eos>."""
+    """src = <question> q <schema> s; tgt_in = <bos> sql; labels = sql <eos>.
+
+    Every distinct text is encoded once, so a catalog's text costs one encoding for all its pairs.
+    """
     from sqlweave.operators.bpe import DEFAULT_SPECIALS, bpe_encode
     n_merges = merges.count()
     sp = {s: 256 + n_merges + i for i, s in enumerate(DEFAULT_SPECIALS)}
-    e = bpe_encode(pairs, merges, "question", "_q")
-    e = bpe_encode(e, merges, "schema_text", "_s")
-    e = bpe_encode(e, merges, "sql", "_t")
+    texts = corpus_texts(pairs).distinct()
+    ids = write_table(bpe_encode(texts, merges, "text", "ids"), "encoded")
+    e = pairs
+    for col, out in (("question", "_q"), ("schema_text", "_s"), ("sql", "_t")):
+        e = e.join(ids.select(F.col("text").alias(col), F.col("ids").alias(out)), col)
 
     def one(name):
         return F.array(F.lit(sp[name]))

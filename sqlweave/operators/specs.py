@@ -2,19 +2,21 @@
 
 A spec is one row: the parts of one SELECT as columns (arrays of structs for
 the select list, joins and predicates; structs for the aggregate, group
-column, subquery and window). Choices are hash draws on (schema_id, level,
-spec_no, salt), so they are reproducible, independent per row and computed
-inside the tasks; every (schema, level) yields ``n_per_level`` specs by
-exploding a sequence, and per-table facts (role columns, group candidates
-within two FK hops with their join paths) are joined in by key.
+column, subquery and window). Specs are numbered by one ``spark.range``, so a single catalog's specs
+spread over all tasks. Each choice is an integer draw on (spec_id, salt) that any SQL
+engine can compute, and gives a position: tables, group candidates (with their join paths, within
+two FK hops), name links and lookup values are rows with gapless positions, joined on
+(schema_id, ..., position), so no row carries a catalog's lists.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlweave.functions.text import label
+from sqlweave.operators.synth import lcg, lcg_sql
+from sqlweave.session import write_table
 
 
 def _at(arr, idx):
@@ -36,18 +38,36 @@ _COL = "struct<tbl:string,col:string,label:string>"
 _PRED = "struct<tbl:string,col:string,label:string,op:string,val:string,is_str:boolean>"
 
 
-def _h(salt: str) -> Column:
-    return F.xxhash64("schema_id", "level", "spec_no", F.lit(salt))
+#: The draws by number; a draw's salt is a multiple of its number.
+DRAWS = {name: i for i, name in enumerate((
+    "table", "fact", "agg", "amount", "no_group", "group", "fallback", "having", "having_val", "top_n_val", "semi",
+    "name_fk", "dim_name", "p_date", "date_col", "year", "p_org", "org_val", "p_lookup", "lookup_col", "lookup_val",
+    "inner_date"), start=1)}
+SALT, HALF = 104_729, 65_536
 
 
-def _pick(arr, salt: str) -> Column:
+def draw(name: str, n) -> Column:
+    """A whole number below ``n``: 30 bits from the upper halves of two chained integer hashes of spec_id."""
+    salt = DRAWS[name] * SALT
+    one = lcg(F.col("spec_id"), salt)
+    two = lcg(one, salt + 1)
+    return F.pmod(F.floor(one / HALF) * 32_768 + F.floor(two / HALF), n if isinstance(n, Column) else F.lit(n))
+
+
+def draw_sql(name: str, n, spec_id: str = "spec_id") -> str:
+    salt = DRAWS[name] * SALT
+    one = lcg_sql(spec_id, salt)
+    two = lcg_sql(f"({one})", salt + 1)
+    return f"((({one}) // {HALF}) * 32768 + ({two}) // {HALF}) % ({n})"
+
+
+def _pick(arr, name: str) -> Column:
     arr = F.col(arr) if isinstance(arr, str) else arr
-    return F.when(F.size(arr) > 0,
-                  _at(arr, (F.pmod(_h(salt), F.size(arr)) + 1).cast("int")))
+    return F.when(F.size(arr) > 0, _at(arr, (draw(name, F.size(arr)) + 1).cast("int")))
 
 
-def _chance(salt: str, p: float) -> Column:
-    return F.pmod(_h(salt), F.lit(1000)) < int(p * 1000)
+def _chance(name: str, p: float) -> Column:
+    return draw(name, 1000) < int(p * 1000)
 
 
 def _colref(tbl, col, lbl) -> Column:
@@ -81,105 +101,121 @@ def table_info(cat_columns: DataFrame) -> DataFrame:
         _at(names(of("org_id")), 1).alias("org"),
         F.transform(F.filter(of("lookup"), lambda x: F.size(x["allowed_values"]) > 0),
                     lambda x: F.struct(x["column_name"].alias("col"), x["label"].alias("label"),
-                                       x["allowed_values"].alias("vals"))).alias("lookups"),
+                                       F.size(x["allowed_values"]).alias("n"))).alias("lookups"),
         names(of("name")).alias("names"),
         F.when(F.size(list_cols) > 0, F.slice(list_cols, 1, 4)).otherwise(first).alias("list_cols"),
-        F.coalesce(_at(names(of("lookup")), 1), _at(names(of("code")), 1),
-                   _at(names(pk), 1)).alias("fallback_group"),
+        F.when(F.size(of("lookup")) > 0, names(of("lookup"))).when(F.size(of("code")) > 0, names(of("code")))
+        .otherwise(F.slice(names(pk), 1, 1)).alias("fallbacks"),
         _at(names(F.filter("cols", lambda x: (x["role"] == "id") & ~x["is_pk"])), 1)
         .alias("first_nonpk_id"),
     )
 
 
-def _qualified_fks(cat_fks: DataFrame) -> DataFrame:
-    q = F.lit("\u001f")
-    return cat_fks.select(
-        "fk_pos", F.concat("schema_id", q, "from_table").alias("from_table"),
-        F.concat("schema_id", q, "to_table").alias("to_table"),
-        "schema_id", F.col("from_table").alias("ft"), "from_column",
-        F.col("to_table").alias("tt"), "to_column")
-
-
 def group_candidates(info: DataFrame, cat_fks: DataFrame, facts: DataFrame, flex: DataFrame,
                      max_hops: int = 2) -> DataFrame:
-    """Per (schema_id, fact): NAME / flexfield columns on the fact and on tables
-    within ``max_hops`` FK hops, each with the FK path from the fact."""
+    """(schema_id, fact, pos, tbl, col, ..., path): NAME / flexfield columns on the fact and on tables
+    within ``max_hops`` FK hops, each with the FK path from the fact and its position."""
     from sqlweave.operators.paths import bfs
-    qf = _qualified_fks(cat_fks)
-    sep = "\u001f"
-    src = facts.select(F.concat("schema_id", F.lit(sep), "table_name").alias("src"))
-    reach = bfs(qf.select("fk_pos", "from_table", "to_table"), src, max_hops=max_hops)
-    steps = reach.select("src", "node", "hops", F.split("src", sep).getItem(0).alias("schema_id"),
-                         F.posexplode_outer("path").alias("step", "fk_pos"))
-    fk = qf.select("schema_id", "fk_pos", F.struct(
-        F.col("ft").alias("from_table"), "from_column", F.col("tt").alias("to_table"),
-        "to_column").alias("fk"))
-    # fk_pos is unique within one catalog only
-    walked = (steps.join(fk, ["schema_id", "fk_pos"], "left").groupBy("src", "node", "hops")
-              .agg(F.sort_array(F.collect_list(F.when(F.col("step").isNotNull(),
-                                                      F.struct("step", "fk")))).alias("s"))
-              .select(F.split("src", sep).getItem(0).alias("schema_id"),
-                      F.split("src", sep).getItem(1).alias("fact"),
-                      F.split("node", sep).getItem(1).alias("table_name"), "hops",
+    key = ["schema_id", "src", "node", "hops"]
+    reach = bfs(cat_fks, facts.select("schema_id", F.col("table_name").alias("src")), max_hops=max_hops)
+    fk = cat_fks.select("schema_id", "fk_pos", F.struct("from_table", "from_column", "to_table", "to_column").alias("fk"))
+    walked = (reach.select(*key, F.posexplode_outer("path").alias("step", "fk_pos"))
+              .join(fk, ["schema_id", "fk_pos"], "left").groupBy(*key)
+              .agg(F.sort_array(F.collect_list(F.when(F.col("step").isNotNull(), F.struct("step", "fk")))).alias("s"))
+              .select("schema_id", F.col("src").alias("fact"), F.col("node").alias("table_name"), "hops",
                       F.transform("s", lambda x: x["fk"]).alias("path")))
     cand_cols = info.select("schema_id", "table_name", "table_pos", F.explode(
         F.transform("names", lambda x: F.struct(F.lit(0).alias("r"), x["col"].alias("col"),
                                                 x["label"].alias("label")))).alias("c"))
     cc = cand_cols.unionByName(flex.select("schema_id", "table_name", "table_pos", "c"))
     j = walked.join(cc, ["schema_id", "table_name"])
-    item = F.struct("hops", "table_pos", F.col("c.r").alias("r"), F.col("table_name").alias("tbl"),
-                    F.col("c.col").alias("col"), F.col("c.label").alias("label"),
-                    (F.col("c.r") == 1).alias("is_flex"), "path")
-    return (j.groupBy("schema_id", "fact")
-            .agg(F.sort_array(F.collect_list(item)).alias("group_cands")))
+    j = j.select("schema_id", "fact", "hops", "table_pos", F.col("c.r").alias("r"), F.col("table_name").alias("tbl"),
+                 F.col("c.col").alias("col"), F.col("c.label").alias("label"), (F.col("c.r") == 1).alias("is_flex"), "path")
+    return j.withColumn("pos", _position(["schema_id", "fact"], ["hops", "table_pos", "r", "tbl", "col"]))
+
+
+def _position(keys: list[str], order: list[str]) -> Column:
+    """Gapless positions from 0 within a catalog's (or table's) rows."""
+    return (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long")
 
 
 def name_fks(cat_fks: DataFrame, info: DataFrame) -> DataFrame:
-    """Per (schema_id, fact): outgoing FKs whose target has a NAME column."""
+    """(schema_id, fact, pos, from_column, to_table, to_column, to_names): outgoing FKs whose target has a NAME column."""
     tgt = info.filter(F.size("names") > 0).select("schema_id", F.col("table_name").alias("to_table"),
-                                                  F.col("names").alias("to_names"),
-                                                  F.col("pk").alias("to_pk"))
-    j = cat_fks.join(tgt, ["schema_id", "to_table"])
-    item = F.struct("fk_pos", "from_table", "from_column", "to_table", "to_column", "to_names")
-    return j.groupBy("schema_id", F.col("from_table").alias("fact")).agg(
-        F.sort_array(F.collect_list(item)).alias("name_fks"))
+                                                  F.col("names").alias("to_names"))
+    j = cat_fks.join(tgt, ["schema_id", "to_table"]).withColumn("fact", F.col("from_table"))
+    return j.withColumn("pos", _position(["schema_id", "fact"], ["fk_pos"])).select(
+        "schema_id", "fact", "pos", "from_column", "to_table", "to_column", "to_names")
+
+
+def _by_position(s: DataFrame, rows: DataFrame, keys: list[str], name: str, at: Column, out: str) -> DataFrame:
+    """``s`` with ``out``: the row of ``rows`` (keys, pos, item) at the drawn position; null where there is none.
+
+    ``name``_count of ``s`` says how many positions there are.
+    """
+    s = s.withColumn("_pos", F.when(F.col(f"{name}_count") > 0, at))
+    picked = rows.withColumnRenamed("pos", "_pos").withColumnRenamed("item", out)
+    return s.join(picked, [*keys, "_pos"], "left").drop("_pos")
 
 
 def enumerate_specs(cat_tables: DataFrame, cat_columns: DataFrame, cat_fks: DataFrame,
                     n_per_level: int = 20, levels=(1, 2, 3, 4, 5)) -> DataFrame:
-    """``n_per_level`` specs per (schema_id, level)."""
-    info = table_info(cat_columns)
+    """``n_per_level`` specs per (schema_id, level), numbered through all catalogs in order of schema_id.
+
+    A catalog without facts gives specs of level 1 in place of the higher levels.
+    """
+    spark = cat_columns.sparkSession
+    info = write_table(table_info(cat_columns), "table_info")
     flex = cat_columns.filter(F.col("role") == "flexfield_segment").select(
         "schema_id", "table_name", "table_pos", F.struct(
             F.lit(1).alias("r"), F.col("column_name").alias("col"),
             label("column_name", "business_label").alias("label")).alias("c"))
-    facts = info.filter(F.size("amounts") > 0).select("schema_id", "table_name")
-    cands = group_candidates(info, cat_fks, facts, flex)
-    nfk = name_fks(cat_fks, info)
-    per_schema = info.groupBy("schema_id").agg(
-        F.sort_array(F.collect_list(F.struct("table_pos", "table_name"))).alias("_t"),
-        F.sort_array(F.collect_list(F.when(F.size("amounts") > 0,
-                                           F.struct("table_pos", "table_name")))).alias("_f"))
-    base = per_schema.select(
-        "schema_id", F.transform("_t", lambda x: x["table_name"]).alias("all_tables"),
-        F.transform("_f", lambda x: x["table_name"]).alias("facts"),
-        F.explode(F.array(*[F.lit(lv) for lv in levels])).alias("level"))
-    base = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_per_level - 1))).alias("spec_no"))
-    use_fact = (F.col("level") >= 2) & (F.size("facts") > 0)
-    base = base.withColumn("from_table", F.when(use_fact, _pick("facts", "fact"))
-                           .otherwise(_pick("all_tables", "table")))
-    base = base.withColumn("level", F.when(use_fact | (F.col("level") == 1), F.col("level"))
-                           .otherwise(F.lit(1)))
-    s = (base.join(info, (base.schema_id == info.schema_id) & (base.from_table == info.table_name))
-         .drop(info.schema_id).drop("table_name"))
-    s = (s.join(cands.withColumnRenamed("fact", "from_table"), ["schema_id", "from_table"], "left")
-         .join(nfk.withColumnRenamed("fact", "from_table"), ["schema_id", "from_table"], "left"))
-    return _build(s)
+    facts = info.filter(F.size("amounts") > 0).select("schema_id", "table_name", "table_pos")
+    cands = write_table(group_candidates(info, cat_fks, facts, flex), "candidates")
+    nfk = write_table(name_fks(cat_fks, info), "name_fks")
+
+    catalogs = info.groupBy("schema_id").agg(
+        F.count(F.lit(1)).alias("table_count"), F.count(F.when(F.size("amounts") > 0, 1)).alias("fact_count"))
+    # catalogs by number, without a single-task window
+    from sqlweave.operators.ranking import rank_over
+    catalogs = rank_over(catalogs, "schema_id", [], func="row_number", out="catalog_no", ascending=True)
+    per_catalog = len(levels) * n_per_level
+    slot = F.floor(F.col("spec_id") / n_per_level)
+    base = spark.range(catalogs.count() * per_catalog).withColumnRenamed("id", "spec_id").select(
+        "spec_id", (F.floor(F.col("spec_id") / per_catalog) + 1).alias("catalog_no"),
+        F.element_at(F.array(*map(F.lit, levels)), (F.pmod(slot, F.lit(len(levels))) + 1).cast("int")).alias("level"),
+        F.pmod("spec_id", F.lit(n_per_level)).cast("int").alias("spec_no"))
+    base = base.join(catalogs, "catalog_no").withColumn("is_fact", (F.col("level") >= 2) & (F.col("fact_count") > 0))
+    base = base.withColumn("level", F.when(F.col("is_fact"), F.col("level")).otherwise(1))
+    base = base.withColumn("_pos", F.when(F.col("is_fact"), draw("fact", F.col("fact_count")))
+                           .otherwise(draw("table", F.col("table_count"))))
+    placed = lambda df, is_fact: df.select("schema_id", "table_name", F.lit(is_fact).alias("is_fact"),
+                                           _position(["schema_id"], ["table_pos"]).alias("_pos"))
+    s = base.join(placed(info, False).unionByName(placed(facts, True)), ["schema_id", "is_fact", "_pos"]).drop("_pos")
+    counts = lambda df, name: df.groupBy("schema_id", F.col("fact").alias("table_name")).agg(
+        F.count(F.lit(1)).alias(f"{name}_count"))
+    key = ["schema_id", "table_name"]
+    info = info.drop("table_pos").join(counts(cands, "group"), key, "left").join(counts(nfk, "name_fk"), key, "left")
+    s = s.join(info, key).fillna(0, ["group_count", "name_fk_count"])
+    item = lambda df, *cols: df.select("schema_id", F.col("fact").alias("table_name"), "pos",
+                                       F.struct(*cols).alias("item"))
+    s = _by_position(s, item(cands, "tbl", "col", "label", "is_flex", "path"), key, "group",
+                     draw("group", F.col("group_count")), "_cand")
+    s = _by_position(s, item(nfk, "from_column", "to_table", "to_column", "to_names"), key, "name_fk",
+                     draw("name_fk", F.col("name_fk_count")), "_link")
+    # lookup values by (column, position)
+    values = cat_columns.filter("role = 'lookup'").select(
+        *key, F.col("column_name").alias("_lookup_col"), F.posexplode("allowed_values").alias("pos", "item"))
+    values = values.withColumn("pos", F.col("pos").cast("long"))
+    s = s.withColumn("_lookup", _pick("lookups", "lookup_col")).withColumns({
+        "_lookup_col": F.col("_lookup.col"), "lookup_count": F.coalesce("_lookup.n", F.lit(0))})
+    s = _by_position(s, values, [*key, "_lookup_col"], "lookup", draw("lookup_val", F.col("lookup_count")), "_lookup_val")
+    return _build(s.withColumnRenamed("table_name", "from_table"))
 
 
 def _filters(tbl: Column) -> Column:
     date = _pick("dates", "date_col")
-    lk = _pick("lookups", "lookup_col")
+    lk = F.col("_lookup")
     p_date = F.when((F.size("dates") > 0) & _chance("p_date", P_DATE), F.struct(
         tbl.alias("tbl"), date["col"].alias("col"), date["label"].alias("label"),
         F.lit("YEAR_EQ").alias("op"),
@@ -192,14 +228,14 @@ def _filters(tbl: Column) -> Column:
         F.lit(False).alias("is_str")))
     p_lk = F.when((F.size("lookups") > 0) & _chance("p_lookup", P_LOOKUP), F.struct(
         tbl.alias("tbl"), lk["col"].alias("col"), lk["label"].alias("label"),
-        F.lit("=").alias("op"), _pick(lk["vals"], "lookup_val").alias("val"),
+        F.lit("=").alias("op"), F.col("_lookup_val").alias("val"),
         F.lit(True).alias("is_str")))
     return F.filter(F.array(p_date, p_org, p_lk), lambda x: x.isNotNull())
 
 
 def _agg_pick() -> Column:
     total = sum(w for _, w in AGG_WEIGHTS)
-    r = F.pmod(_h("agg"), F.lit(total))
+    r = draw("agg", total)
     expr, acc = None, 0
     for func, w in AGG_WEIGHTS:
         acc += w
@@ -220,21 +256,12 @@ def _build(s: DataFrame) -> DataFrame:
                                       agg_target["label"].alias("label")))
     s = s.withColumn("_amount", amount)
     no_group = (lv == 2) & _chance("no_group", P_NO_GROUP)
-    gc = _pick(F.coalesce("group_cands", F.array()), "group")
-    fb = F.col("fallback_group")
-    s = s.withColumn("_group", F.when(F.col("group_cands").isNotNull() &
-                                      (F.size("group_cands") > 0),
-                                      F.struct(gc["tbl"].alias("tbl"), gc["col"].alias("col"),
-                                               gc["label"].alias("label"),
-                                               gc["is_flex"].alias("is_flex"),
-                                               gc["path"].alias("path")))
-                     .otherwise(F.struct(ft.alias("tbl"), fb["col"].alias("col"),
-                                         fb["label"].alias("label"),
-                                         F.lit(False).alias("is_flex"),
-                                         F.array().cast("array<struct<from_table:string,"
-                                                        "from_column:string,to_table:string,"
-                                                        "to_column:string>>").alias("path"))))
-    semi_ok = F.col("name_fks").isNotNull() & (F.size("name_fks") > 0) & _chance("semi", P_SEMI)
+    gc, fb = F.col("_cand"), _pick("fallbacks", "fallback")
+    s = s.withColumn("_group", F.when(gc.isNotNull(), gc).otherwise(F.struct(
+        ft.alias("tbl"), fb["col"].alias("col"), fb["label"].alias("label"), F.lit(False).alias("is_flex"),
+        F.array().cast("array<struct<from_table:string,from_column:string,to_table:string,to_column:string>>")
+        .alias("path"))))
+    semi_ok = F.col("_link").isNotNull() & _chance("semi", P_SEMI)
     shape = (F.when(lv == 1, "list")
              .when((lv == 2) & no_group, "agg_global")
              .when(lv == 2, "agg")
@@ -266,8 +293,7 @@ def _build(s: DataFrame) -> DataFrame:
         "array<struct<l_tbl:string,l_col:string,r_tbl:string,r_col:string,new_tbl:string>>")
     s = s.withColumn("joins", F.when(grouped, joins).otherwise(empty_joins))
 
-    nfk = _pick(F.coalesce("name_fks", F.array()), "name_fk")
-    s = s.withColumn("_nfk", F.when(sh == "semijoin", nfk))
+    s = s.withColumn("_nfk", F.when(sh == "semijoin", F.col("_link")))
     dim_name = _pick(F.coalesce(F.col("_nfk.to_names"), F.array()), "dim_name")
 
     pk_ref = _colref(ft, count_col["col"], count_col["label"])
@@ -331,7 +357,6 @@ def _build(s: DataFrame) -> DataFrame:
         F.when(sh == "window", F.lit("window")),
         F.concat(F.lit("L"), lv.cast("string")))
     s = s.withColumn("features", F.filter(feats, lambda x: x.isNotNull()))
-    s = s.withColumn("spec_id", F.xxhash64("schema_id", "level", "spec_no"))
     return s.select("schema_id", "spec_id", "level", "spec_no", "shape", "query_table",
                     "from_table", "select_cols", "agg", "group_col", "joins", "preds",
                     "having_val", "top_n", "inner", "window", "features")

@@ -189,10 +189,7 @@ def q_pick_group(t):
             F.lit(1).alias("r"), F.col("column_name").alias("col"),
             label("column_name", "business_label").alias("label")).alias("c"))
     facts = info.filter(F.size("amounts") > 0).select("schema_id", "table_name")
-    c = group_candidates(info, fks, facts, flex)
-    return c.select(F.col("fact"), F.explode("group_cands").alias("g")).select(
-        "fact", F.col("g.tbl").alias("tbl"), F.col("g.col").alias("col"),
-        F.col("g.hops").alias("hops"))
+    return group_candidates(info, fks, facts, flex).select("fact", "tbl", "col", "hops")
 
 
 def q_vocab_overlap(t):
@@ -231,3 +228,78 @@ WHERE c.role IN ('name', 'flexfield_segment')"""
 
 
 SQL.update({"pick_group": _pick_group_sql()})
+
+
+def _specs_sql() -> str:
+    """The same draws in SQL: which table, shape and parts each spec gets."""
+    from sqlweave.operators import specs as S
+    from sqlweave.plans.path_jobs import _FACTS, _walk_cte
+    chance = lambda name, p: f"{S.draw_sql(name, 1000)} < {int(p * 1000)}"
+    total, cases = 0, ""
+    for func, weight in S.AGG_WEIGHTS:
+        total += weight
+        cases += f" WHEN r < {total} THEN '{func.lower()}'"
+    per = 5 * N_PER_LEVEL
+    return _walk_cte(_FACTS, 2) + f""",
+tabs AS (
+  SELECT table_name, table_pos, COUNT(*) FILTER (WHERE role = 'amount') AS n_amounts,
+         COUNT(*) FILTER (WHERE role = 'date') AS n_dates, COUNT(*) FILTER (WHERE role = 'org_id') AS n_orgs,
+         COUNT(*) FILTER (WHERE role = 'lookup' AND n_values > 0) AS n_lookups,
+         COUNT(*) FILTER (WHERE role = 'name') AS n_names
+  FROM cols GROUP BY table_name, table_pos),
+places AS (
+  SELECT table_name, FALSE AS is_fact, row_number() OVER (ORDER BY table_pos) - 1 AS pos FROM tabs
+  UNION ALL
+  SELECT table_name, TRUE, row_number() OVER (ORDER BY table_pos) - 1 FROM tabs WHERE n_amounts > 0),
+cands AS (
+  SELECT b.src AS fact, c.role = 'flexfield_segment' AS is_flex, b.hops,
+         row_number() OVER (PARTITION BY b.src ORDER BY b.hops, c.table_pos, c.role = 'flexfield_segment', c.table_name,
+                            c.column_name) - 1 AS pos,
+         COUNT(*) OVER (PARTITION BY b.src) AS n
+  FROM best b JOIN cols c ON c.table_name = b.node WHERE c.role IN ('name', 'flexfield_segment')),
+links AS (
+  SELECT f.from_table AS fact, f.to_table, row_number() OVER (PARTITION BY f.from_table ORDER BY f.ord) - 1 AS pos,
+         COUNT(*) OVER (PARTITION BY f.from_table) AS n
+  FROM fk f JOIN tabs t ON t.table_name = f.to_table WHERE t.n_names > 0),
+numbered AS (
+  SELECT spec_id, 'star' || CAST(spec_id // {per} AS VARCHAR) AS schema_id, (spec_id // {N_PER_LEVEL}) % 5 + 1 AS level
+  FROM (SELECT unnest(generate_series(0, {N_COPIES * per - 1})) AS spec_id)),
+placed AS (
+  SELECT n.*, p.table_name AS from_table
+  FROM (SELECT *, CASE WHEN level >= 2 THEN {S.draw_sql('fact', "(SELECT COUNT(*) FROM places WHERE is_fact)")}
+                       ELSE {S.draw_sql('table', "(SELECT COUNT(*) FROM tabs)")} END AS at FROM numbered) n
+  JOIN places p ON p.is_fact = (n.level >= 2) AND p.pos = n.at),
+drawn AS (
+  SELECT s.*, t.n_dates, t.n_orgs, t.n_lookups, c.is_flex, c.hops, l.to_table,
+         CASE WHEN level = 1 THEN 'list'
+              WHEN level = 2 AND {chance('no_group', S.P_NO_GROUP)} THEN 'agg_global' WHEN level = 2 THEN 'agg'
+              WHEN level = 3 AND {chance('having', S.P_HAVING)} THEN 'having' WHEN level = 3 THEN 'top_n'
+              WHEN level = 4 AND l.to_table IS NOT NULL AND {chance('semi', S.P_SEMI)} THEN 'semijoin'
+              WHEN level = 4 THEN 'above_avg' ELSE 'window' END AS shape,
+         {S.draw_sql('agg', total)} AS r
+  FROM placed s JOIN tabs t ON t.table_name = s.from_table
+  LEFT JOIN cands c ON c.fact = s.from_table AND c.pos = {S.draw_sql('group', 'c.n')}
+  LEFT JOIN links l ON l.fact = s.from_table AND l.pos = {S.draw_sql('name_fk', 'l.n')}),
+shaped AS (
+  SELECT *, shape IN ('agg', 'having', 'top_n') AS grouped,
+         shape IN ('list', 'agg', 'agg_global', 'having', 'top_n') AS filtered FROM drawn)
+SELECT schema_id, spec_id, CAST(level AS INTEGER) AS level, shape,
+       CASE WHEN shape = 'semijoin' THEN to_table ELSE from_table END AS query_table,
+       array_to_string(list_filter([
+         CASE WHEN grouped OR shape = 'agg_global' THEN CASE{cases} END END,
+         CASE WHEN shape = 'agg_global' THEN 'no_group' END,
+         CASE WHEN grouped AND hops > 0 THEN 'join' END,
+         CASE WHEN grouped AND is_flex THEN 'flexfield' END,
+         CASE WHEN n_dates > 0 AND (filtered AND {chance('p_date', S.P_DATE)}
+                                    OR shape = 'semijoin' AND {chance('inner_date', S.P_INNER_DATE)}) THEN 'date_filter' END,
+         CASE WHEN filtered AND n_orgs > 0 AND {chance('p_org', S.P_ORG)} THEN 'multi_org' END,
+         CASE WHEN filtered AND n_lookups > 0 AND {chance('p_lookup', S.P_LOOKUP)} THEN 'lookup_filter' END,
+         CASE WHEN shape IN ('having', 'top_n') THEN shape END,
+         CASE WHEN shape = 'above_avg' THEN 'above_average' WHEN shape = 'semijoin' THEN 'semijoin' END,
+         CASE WHEN shape IN ('above_avg', 'semijoin') THEN 'subquery' END,
+         CASE WHEN shape = 'window' THEN 'window' END,
+         'L' || CAST(level AS VARCHAR)], lambda x: x IS NOT NULL), ',') AS features
+FROM shaped"""
+
+
+SQL.update({"enumerate_specs": _specs_sql()})

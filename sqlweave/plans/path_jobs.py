@@ -20,36 +20,31 @@ def _facts(cols):
 
 def q_join_path(t):
     tabs, cols, fks = star_catalog(t)
-    facts = _facts(cols).select(F.col("table_name").alias("src"))
-    r = paths.bfs(fks, facts)
-    steps = r.select("src", "node", "hops", F.posexplode_outer("path").alias("step", "fk_pos"))
-    fk = fks.select("fk_pos", F.struct("from_table", "from_column", "to_table", "to_column")
-                    .alias("fk"))
-    walked = (steps.join(fk, "fk_pos", "left").groupBy("src", "node", "hops")
-              .agg(F.sort_array(F.collect_list(F.when(F.col("step").isNotNull(),
-                                                      F.struct("step", "fk")))).alias("s")))
-    return walked.select("src", F.col("node").alias("dst"), "hops",
-                         paths.render_path(F.transform("s", lambda x: x["fk"])).alias("path"))
+    facts = _facts(cols).select("schema_id", F.col("table_name").alias("src"))
+    wanted = facts.join(tabs.select("schema_id", F.col("table_name").alias("dst")), "schema_id")
+    found = paths.join_paths(fks, wanted).filter(F.col("path").isNotNull())
+    return found.select("src", "dst", "hops", paths.render_path(F.col("path")).alias("path"))
 
 
 def q_reachable(t):
     tabs, _, fks = star_catalog(t)
-    return paths.reachable(fks, tabs.select(F.col("table_name").alias("src")), max_hops=2)
+    src = tabs.select("schema_id", F.col("table_name").alias("src"))
+    return paths.reachable(fks, src, max_hops=2).drop("schema_id")
 
 
 def q_components(t):
     tabs, _, fks = star_catalog(t)
-    return paths.components(tabs, fks)
+    return paths.components(tabs, fks).drop("schema_id")
 
 
 def q_neighbors(t):
     _, _, fks = star_catalog(t)
-    return paths.neighbors(fks)
+    return paths.neighbors(fks).drop("schema_id")
 
 
 def q_fk_between(t):
     _, _, fks = star_catalog(t)
-    return paths.fk_between(fks)
+    return paths.fk_between(fks).drop("schema_id")
 
 
 def q_join_tree(t):
@@ -57,7 +52,7 @@ def q_join_tree(t):
     per = tabs.groupBy("schema_id").agg(
         F.sort_array(F.collect_list(F.struct("table_pos", "table_name"))).alias("ts"))
     req = _facts(cols).join(per, "schema_id").select(
-        F.col("table_name").alias("tree_id"), F.col("table_name").alias("anchor"),
+        "schema_id", F.col("table_name").alias("tree_id"), F.col("table_name").alias("anchor"),
         F.filter(F.transform("ts", lambda x: x["table_name"]),
                  lambda n: n != F.col("table_name")).alias("targets"))
     tree = paths.join_tree(fks, req)

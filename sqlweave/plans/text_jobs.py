@@ -11,7 +11,7 @@ import re
 from pyspark.sql import functions as F
 
 from sqlweave.functions.columns import sql_literal
-from sqlweave.functions.text import PRETOKEN_PATTERN, STOP_WORDS, WORD_PATTERN, content_tokens, pretokens
+from sqlweave.functions.text import PRETOKEN_PATTERN, WORD_PATTERN, content_tokens, pretokens
 from sqlweave.operators.link import link_score, link_tables
 from sqlweave.plans.catalog_jobs import EXPECTED_FKS
 from sqlweave.sources import star
@@ -58,8 +58,17 @@ QUERIES = {
 
 
 # -- DuckDB twins -------------------------------------------------------------------------
+# The twins' own statement of the words that name no table, in alphabetical order.
+_TWIN_STOP = """
+a above all an and any are at average below by code count date do does each find for from get give has have
+highest how i id in is key largest least list me mean more most name number of on only or our over per print pull rank s
+show smallest status sum than that the to top total under we what where which who whose with within across you year
+""".split()
+TWIN_STOP_WORDS = ", ".join(sql_literal(w) for w in _TWIN_STOP)
+
+
 def _py_tokens(s: str) -> set[str]:
-    return {w for w in re.findall(WORD_PATTERN, s.lower()) if w not in STOP_WORDS}
+    return {w for w in re.findall(WORD_PATTERN, s.lower()) if w not in _TWIN_STOP}
 
 
 def _star_terms():
@@ -94,10 +103,6 @@ scores AS (SELECT qid, table_name, CAST(SUM(score) AS BIGINT) AS score
 """
 
 
-def _stop_sql() -> str:
-    return ", ".join(sql_literal(w) for w in STOP_WORDS)
-
-
 def _components_sql() -> str:
     # FK-connected sets of the catalog tables by a bounded recursive walk
     fk = " UNION ALL ".join(f"SELECT '{a}' AS a, '{c}' AS b UNION ALL SELECT '{c}', '{a}'"
@@ -126,7 +131,7 @@ GROUP BY pretoken""",
 SELECT term, COUNT(*) AS n_docs FROM (
   SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{WORD_PATTERN}')) AS term
   FROM documents)
-WHERE term NOT IN ({_stop_sql()})
+WHERE term NOT IN ({TWIN_STOP_WORDS})
 GROUP BY term""",
     "link_score": _link_ctes() + "SELECT qid, table_name, score FROM scores",
     "link_tables": _link_ctes() + _components_sql() + """,
@@ -171,16 +176,42 @@ def q_bpe_encode(t):
 def q_compression_stats(t):
     from sqlweave.operators.bpe import bpe_encode, compression_stats
     m = _merges(t)
-    return compression_stats(bpe_encode(t.documents.select("text"), m))
+    return compression_stats(bpe_encode(t.documents.select("text"), m), m)
+
+
+def q_piece_ids(t):
+    """Every text by the numbers of its pre-tokens (most frequent first), joined back from the dictionary."""
+    from sqlweave.operators.bpe import dictionary_join
+    from sqlweave.operators.ranking import rank_over
+    from sqlweave.session import write_table
+    pieces = write_table(t.documents.select(F.col("doc_id").alias("row"),
+                                            F.posexplode(pretokens("text")).alias("pos", "piece")), "pieces")
+    counts = write_table(pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n")), "piece_counts")
+    ranked = rank_over(counts, "n", [], func="row_number", tiebreak=["piece"], out="id")
+    joined = dictionary_join(pieces, counts, ranked.select("piece", F.array("id").alias("ids")))
+    return joined.groupBy(F.col("row").alias("doc_id")).agg(
+        F.count(F.lit(1)).alias("n_pieces"), F.max(F.col("ids")[0]).alias("rarest"),
+        F.sum(F.pmod((F.col("pos") + 1).cast("long") * F.col("ids")[0], F.lit(1_000_003))).alias("checksum"))
 
 
 QUERIES.update({
+    "piece_ids": q_piece_ids,
     "bpe_train": q_bpe_train,
     "bpe_encode": q_bpe_encode,
     "compression_stats": q_compression_stats,
 })
 
 
+SQL["piece_ids"] = f"""
+WITH pieces AS (
+  SELECT doc_id, unnest(list) AS piece, unnest(range(len(list))) AS pos FROM (
+    SELECT doc_id, regexp_extract_all(text, '{PRETOKEN_PATTERN.replace(chr(92) + 'x0B', chr(92) + 'v')}') AS list
+    FROM documents)),
+ranked AS (SELECT piece, row_number() OVER (ORDER BY COUNT(*) DESC, piece) AS id FROM pieces GROUP BY piece)
+SELECT doc_id, COUNT(*) AS n_pieces, MAX(id) AS rarest, SUM((pos + 1) * id % 1000003) AS checksum
+FROM pieces JOIN ranked USING (piece) GROUP BY doc_id"""
+
+
 # -- text rules over the catalog and whole conversation texts ----------------------------
 def q_entity_label(t):
     from sqlweave.functions.text import alias_base, entity_label, pluralize

@@ -36,7 +36,7 @@ def _job_modules():
     import importlib
     mods = []
     for name in ("catalog_jobs", "path_jobs", "text_jobs", "corpus_jobs", "check_jobs",
-                 "synth_jobs"):
+                 "module_jobs", "discover_jobs", "synth_jobs"):
         try:
             mods.append(importlib.import_module(f"sqlweave.plans.{name}"))
         except ModuleNotFoundError as e:

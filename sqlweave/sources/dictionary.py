@@ -8,6 +8,7 @@ cannot be exercised in this repository (no database may be started here).
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from sqlweave.operators.catalog import (RoleRules, catalog_columns, catalog_declared_fks,
@@ -30,19 +31,35 @@ DICTIONARY_SQL = {
 
 
 def read_dictionary(spark: SparkSession, url: str, properties: dict) -> dict[str, DataFrame]:
-    """One DataFrame per dictionary query, read in bulk (not one call per table)."""
-    return {k: spark.read.jdbc(url, f"({q}) d", properties=properties)
-            for k, q in DICTIONARY_SQL.items()}
+    """One DataFrame per dictionary query, read in bulk (not one call per table).
+
+    The constraint views are left out where the database refuses them.
+    """
+    out = {}
+    for k, q in DICTIONARY_SQL.items():
+        try:
+            out[k] = spark.read.jdbc(url, f"({q}) d", properties=properties)
+        except PySparkException:
+            if k not in ("constraints", "cons_columns"):
+                raise
+    return out
 
 
 def dictionary_catalog(frames: dict[str, DataFrame], extra_owners=(), flex: DataFrame | None = None,
                        lookups: DataFrame | None = None, rules: RoleRules | None = None,
                        schema_id: str = "catalog"):
-    """Scope -> tables -> canonical names -> columns, keys, declared FKs -> catalog."""
+    """Scope -> tables -> canonical names -> columns, keys, declared FKs -> catalog.
+
+    Where the constraint views aren't among the frames (they may not be readable), there are no
+    declared keys and foreign keys, and foreign keys are inferred from names alone.
+    """
     scope = catalog_scope(frames["installs"], frames["users"], extra_owners)
     kept = catalog_tables(frames["tables"], scope)
     canon = catalog_synonyms(kept, frames["synonyms"])
     cols = catalog_columns(frames["columns"], canon)
-    pks = catalog_pks(frames["constraints"], frames["cons_columns"], canon)
-    declared = catalog_declared_fks(frames["constraints"], frames["cons_columns"], canon)
+    declared = None
+    pks = cols.select("table_name", "column_name").limit(0)
+    if "constraints" in frames and "cons_columns" in frames:
+        pks = catalog_pks(frames["constraints"], frames["cons_columns"], canon)
+        declared = catalog_declared_fks(frames["constraints"], frames["cons_columns"], canon)
     return extract_catalog(cols, pks, flex, lookups, declared, rules, schema_id)

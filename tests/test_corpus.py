@@ -79,3 +79,53 @@ def test_paraphrase_hook(spark):
     assert rows == {"total sales": ["sales overall", "sum of sales"], "boom": []}
     off = paraphrase_hook(df).collect()
     assert all(r.hook_paraphrases == [] for r in off)
+
+
+def test_ids_are_unique_without_facts(spark):
+    from sqlweave.operators.specs import enumerate_specs
+    schema = ("schema_id string, table_name string, table_pos int, col_pos int, column_name string, type string, "
+              "nullable boolean, is_pk boolean, role string, business_label string, lookup_type string, allowed_values array<string>")
+    cols = spark.createDataFrame([("s", "t", 1, 1, "t_id", "NUMBER", False, True, "id", None, None, []),
+                                  ("s", "t", 1, 2, "t_name", "VARCHAR2", True, False, "name", None, None, [])], schema)
+    tabs = spark.createDataFrame([("s", "t", 1, False)], "schema_id string, table_name string, table_pos int, is_multi_org boolean")
+    fks = spark.createDataFrame([], "schema_id string, fk_pos long, from_table string, from_column string, "
+                                    "to_table string, to_column string, declared boolean")
+    rows = enumerate_specs(tabs, cols, fks, n_per_level=4).collect()
+    assert len(rows) == 20 == len({r.spec_id for r in rows}) and {r.level for r in rows} == {1}
+
+
+def test_fallback_group_is_drawn_from_lookups_then_codes(spark):
+    from sqlweave.operators.specs import enumerate_specs
+    schema = ("schema_id string, table_name string, table_pos int, col_pos int, column_name string, type string, "
+              "nullable boolean, is_pk boolean, role string, business_label string, lookup_type string, allowed_values array<string>")
+    base = lambda s: [(s, "t", 1, 1, "t_id", "NUMBER", False, True, "id", None, None, []),
+                      (s, "t", 1, 2, "t_amount", "NUMBER", True, False, "amount", None, None, [])]
+    code = lambda s, i: (s, "t", 1, 3 + i, f"c{i}_code", "VARCHAR2", True, False, "code", None, None, [])
+    look = lambda s, i: (s, "t", 1, 6 + i, f"l{i}", "VARCHAR2", True, False, "lookup", None, "L", ["A", "B"])
+    cols = spark.createDataFrame([*base("a"), *base("b"), *base("c"), *[code(s, i) for s in "bc" for i in range(3)],
+                                  *[look("c", i) for i in range(2)]], schema)
+    tabs = spark.createDataFrame([(s, "t", 1, False) for s in "abc"],
+                                 "schema_id string, table_name string, table_pos int, is_multi_org boolean")
+    fks = spark.createDataFrame([], "schema_id string, fk_pos long, from_table string, from_column string, "
+                                    "to_table string, to_column string, declared boolean")
+    rows = enumerate_specs(tabs, cols, fks, n_per_level=40, levels=(3,)).collect()
+    got = {s: {r.group_col.col for r in rows if r.schema_id == s} for s in "abc"}
+    assert got == {"a": {"t_id"}, "b": {"c0_code", "c1_code", "c2_code"}, "c": {"l0", "l1"}}
+
+
+def test_draws_spread(spark):
+    from sqlweave.operators.specs import DRAWS, draw
+    d = spark.range(6000).withColumnRenamed("id", "spec_id")
+    for name in list(DRAWS)[::4]:
+        n = [r["count"] for r in d.groupBy(draw(name, 6)).count().collect()]
+        assert len(n) == 6 and min(n) > 800
+
+
+def test_one_catalog_uses_many_tasks(spark, built):
+    from sqlweave.operators.specs import enumerate_specs
+    tabs, cols, fks, _, _ = built
+    one = [df.filter("schema_id = 'star0'") for df in (tabs, cols, fks)]
+    specs = enumerate_specs(*one, n_per_level=20_000)
+    rows = specs.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.countDistinct("spec_id").alias("d")).collect()
+    assert sum(r.n for r in rows) == sum(r.d for r in rows) == 100_000
+    assert len(rows) > 1 and max(r.n for r in rows) < 60_000

@@ -13,9 +13,8 @@ def test_gate_report_covers_all_catalogs(small):
 
 
 def test_link_report_covers_all_catalogs(small):
-    from sqlweave.plans.check_jobs import q_link_report
-    from sqlweave.plans.corpus_jobs import corpus
+    from sqlweave.plans.module_jobs import module_corpus, q_link_report
     r = q_link_report(small).first()
-    tabs, _, _, specs, _ = corpus(small)
-    assert r.n_questions == specs.count() > specs.filter("schema_id = 'star0'").count()
-    assert r.mean_tables_before == tabs.filter("schema_id = 'star0'").count() and 0 < r.recall <= 1
+    tabs, _, _, specs, _ = module_corpus(small)
+    assert r.n_questions == specs.count() > specs.filter("schema_id = 'm00'").count()
+    assert r.mean_tables_before == tabs.count() and 0 < r.recall <= 1
