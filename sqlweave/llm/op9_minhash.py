@@ -158,14 +158,62 @@ def _name(words: list[str]) -> bytes:
     return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _led(members: DataFrame) -> DataFrame:
-    """Members (k, id, bucket, w) of buckets of several, with the bucket's size, leader and its weight ``lw``.
+def _filter(rows: DataFrame, places: list, bits: int) -> np.ndarray:
+    """Bit table of a filter of the rows' ``places``; false positives only cost time."""
+    words = rows.select(F.explode(F.array(*places)).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("m")).toPandas()
+    table = np.zeros(bits // 64, np.int64)
+    table[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
+    return table.view(np.uint64)
 
-    The leader meets most others over all its buckets; ties go to the smallest name.
+
+def _bits(n: int) -> int:
+    return max(1 << 10, 1 << (16 * n).bit_length())
+
+
+def _in(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Rows all of whose places are set."""
+    return ((table[places >> 6] >> (places & 63).astype(np.uint64)) & _U(1)).all(1)
+
+
+def shared_members(firsts: DataFrame) -> DataFrame:
+    """(bucket, k, w, n) of the buckets of several texts.
+
+    Buckets are counted first; up to BLOOM_IDS shared ones a broadcast filter drops most members
+    of other buckets before they are shuffled, and the join drops the rest.
     """
-    sizes = write_table(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
-    shared = write_table(members.join(sizes, "bucket"), "members")
+    sizes = write_table(firsts.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    n = sizes.count()
+    if n > BLOOM_IDS:
+        members = firsts.select(F.explode("bands").alias("bucket"), "k", "w")
+    else:
+        bits = _bits(n)
+        # bucket hashes are uniform, so parts of them serve as places
+        parts = [F.shiftrightunsigned("bucket", s).bitwiseAND(F.lit(bits - 1)) for s in (0, 18, 36)]
+        shared = firsts.sparkSession.sparkContext.broadcast(_filter(sizes, parts, bits))
+
+        def run(batches):
+            table = shared.value
+            for b in batches:
+                lists = b.column(2)
+                found = np.asarray(lists.flatten(), np.int64).view(np.uint64)
+                places = np.stack([(found >> _U(s)) & _U(bits - 1) for s in (0, 18, 36)], 1).astype(np.int64)
+                ok = _in(table, places)
+                owner = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(found[ok].view(np.int64)), b.column(0).take(pa.array(owner)),
+                                                  b.column(1).take(pa.array(owner))], ["bucket", "k", "w"])
+        members = firsts.select("k", "w", "bands").mapInArrow(run, "bucket long, k binary, w long")
+    out = write_table(members.join(sizes, "bucket"), "members")
     drop_table(sizes)
+    return out
+
+
+def _led(shared: DataFrame) -> DataFrame:
+    """Members of shared buckets with the bucket's leader and its weight ``lw``.
+
+    The leader meets most others over all its buckets; ties go to the smallest name.
+    """
     met = shared.groupBy("k").agg(F.sum("n").alias("met"))
     lead = shared.join(met, "k").groupBy("bucket").agg(F.min(F.struct(-F.col("met"), "k", "w")).alias("x"))
     led = write_table(shared.join(lead.select("bucket", F.col("x.k").alias("leader"), F.col("x.w").alias("lw")),
@@ -174,17 +222,6 @@ def _led(members: DataFrame) -> DataFrame:
     return led
 
 
-def _bloom(ids: DataFrame, n: int):
-    """(bits, words) of a filter of the ids; false positives only cost time."""
-    bits = max(1 << 10, 1 << (16 * n).bit_length())
-    at = F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(s)), F.lit(bits)) for s in range(3)]))
-    words = ids.select(at.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("m")).toPandas()
-    table = np.zeros(bits // 64, np.int64)
-    table[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
-    return bits, table.view(np.uint64)
-
-
 def candidate_cells(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
     """(k, cells) of the texts whose id is in ``ids``, from one more pass over the texts.
 
@@ -192,26 +229,24 @@ def candidate_cells(docs: DataFrame, ids: DataFrame, key: str, text: str) -> Dat
     joined by a shuffle. Rows that share an id give their cells too; joins by ``k`` pass over them.
     """
     n = ids.count()
-    rows = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull())
+    rows, bits, shared = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()), _bits(min(n, BLOOM_IDS)), None
+    places = lambda c: [F.pmod(F.xxhash64(F.col(c), F.lit(s)), F.lit(bits)) for s in range(3)]
     if n > BLOOM_IDS:
         rows = rows.join(ids.select(F.col("id").alias(key)), key, "left_semi")
-        shared = None
     else:
-        shared = docs.sparkSession.sparkContext.broadcast(_bloom(ids, n))
-    probe = F.array(*[F.xxhash64(F.col(key), F.lit(s)) for s in range(3)])
+        shared = docs.sparkSession.sparkContext.broadcast(_filter(ids, places("id"), bits))
 
     def run(batches):
-        bits, table = shared.value if shared else (0, None)
         memo = Recent(word_hash)
         for b in slices(batches):
             if shared:
-                p = np.asarray(b.column(1).flatten(), np.int64).reshape(-1, 3) % bits
-                b = b.filter(pa.array(((table[p >> 6] >> (p & 63).astype(np.uint64)) & _U(1)).all(1)))
+                b = b.filter(pa.array(_in(shared.value, np.asarray(b.column(1).flatten(), np.int64).reshape(-1, 3))))
             words = [_words(x) for x in b.column(0).to_pylist()]
             cells = [cells_of(x, memo.turn()).view(np.int64) for x in words]
             yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in words], pa.binary()),
                                               pa.array(cells, pa.list_(pa.int64()))], ["k", "cells"])
-    return rows.select(F.col(text).alias("text"), probe.alias("probe")).mapInArrow(run, "k binary, cells array<long>")
+    return rows.select(F.col(text).alias("text"), F.array(*places(key)).alias("probe")).mapInArrow(
+        run, "k binary, cells array<long>")
 
 
 def verify(pairs: DataFrame, cells: DataFrame, similar: float) -> DataFrame:
@@ -232,6 +267,31 @@ def parity(cells: np.ndarray) -> np.ndarray:
                        bitorder="little").view(np.uint64)
 
 
+def parities(cells: DataFrame) -> DataFrame:
+    """(k, w, bits): weight and bitmap of every text."""
+    def run(batches):
+        for b in slices(batches):
+            lists = [np.asarray(x.values, np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(x) for x in lists], pa.int64()),
+                 pa.array([parity(x).tobytes() for x in lists], pa.binary())], ["k", "w", "bits"])
+    return cells.select("k", "cells").mapInArrow(run, "k binary, w long, bits binary")
+
+
+def likely(pairs: DataFrame, bits: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) whose weights and bitmaps allow the similarity."""
+    def run(batches):
+        for b in batches:
+            ok = [bool(near_by_parity([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)], np.array([w, v]),
+                                      np.arange(2), None, similar))
+                  for w, x, v, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)))]
+            b = b.filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"])
+    side = lambda k, w, x: bits.select(F.col("k").alias(k), F.col("w").alias(w), F.col("bits").alias(x))
+    both = pairs.join(side("a", "w1", "x1"), "a").join(side("b", "w2", "x2"), "b")
+    return both.select("a", "b", "w1", "x1", "w2", "x2").mapInArrow(run, "a binary, b binary")
+
+
 def near_by_parity(bits: list[np.ndarray], weights: np.ndarray, group: np.ndarray, side: np.ndarray | None,
                    similar: float) -> list[tuple[int, int]]:
     """Pairs of different groups (and sides) whose weights and bitmaps allow the similarity."""
@@ -258,19 +318,12 @@ def near_by_parity(bits: list[np.ndarray], weights: np.ndarray, group: np.ndarra
     return out
 
 
-def open_pairs(members: DataFrame, cells: DataFrame, similar: float) -> DataFrame:
+def open_pairs(members: DataFrame, bits: DataFrame, similar: float) -> DataFrame:
     """(a, b): pairs in one bucket, of different components, that may be similar.
 
     ``members`` (k, bucket, n, component) are those of buckets with several components.
     Large buckets are cut into hashed blocks, and each pair of blocks is one step of a task.
     """
-    def bitmaps(batches):
-        for b in slices(batches):
-            lists = [np.asarray(x.values, np.int64) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) for x in lists], pa.int64()),
-                 pa.array([parity(x).tobytes() for x in lists], pa.binary())], ["k", "w", "bits"])
-
     def compare(batches):
         from itertools import groupby
 
@@ -293,14 +346,12 @@ def open_pairs(members: DataFrame, cells: DataFrame, similar: float) -> DataFram
         if left:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
-    bits = cells.join(members.select("k").distinct(), "k", "left_semi").mapInArrow(
-        bitmaps, "k binary, w long, bits binary")
     blocks = F.ceil(F.col("n") / BLOCK)
     rows = members.withColumn("own", F.pmod(F.xxhash64("k"), blocks)).withColumn(
         "with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).join(bits, "k")
     rows = rows.select("bucket", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"),
                        "own", "k", "component", "w", "bits")
-    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(bits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (rows.repartition(parts, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
             .mapInArrow(compare, "a binary, b binary").distinct())
 
@@ -315,14 +366,17 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     rows = write_table(sign(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "signed")
     known = rows.filter("k is not null")
     nodes = write_table(known.groupBy("k").agg(F.min("row").alias("row"), F.min(F.struct("id", "t")).alias("head")), "nodes")
-    firsts = write_table(known.select("row", "id", "k", "w", "bands").join(nodes.select("row"), "row", "left_semi")
+    firsts = write_table(known.select("row", "k", "w", "bands").join(nodes.select("row"), "row", "left_semi")
                          .filter(F.size("bands") > 0).drop("row"), "firsts")
-    members = _led(firsts.select("k", "id", "w", F.explode("bands").alias("bucket")))
+    members = _led(shared_members(firsts))
     drop_table(firsts)
-    cells = write_table(candidate_cells(docs, members.select("id").distinct(), key, text), "cells")
+    ids = nodes.join(members.select("k").distinct(), "k", "left_semi").select(F.col("head.id").alias("id")).distinct()
+    cells = write_table(candidate_cells(docs, ids, key, text), "cells")
+    bits = write_table(parities(cells).dropDuplicates(["k"]), "bits")
     star = members.filter((F.col("k") != F.col("leader"))
                           & (F.least("w", "lw") >= F.greatest("w", "lw") * similar)).select(
         F.least("k", "leader").alias("a"), F.greatest("k", "leader").alias("b")).distinct()
+    star = likely(star, bits, similar)
     links = write_table(verify(star, cells, similar), "links")
     part = connected_components(links)
     labelled = write_table(members.join(part, members.k == part.node, "left").select(
@@ -332,9 +386,9 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
         "lo != hi").select("bucket")
     still = write_table(labelled.join(mixed, "bucket", "left_semi"), "open")
     drop_table(labelled)
-    more = write_table(verify(open_pairs(still, cells, similar), cells, similar), "links")
-    drop_table(still)
-    drop_table(cells)
+    more = write_table(verify(open_pairs(still, bits, similar), cells, similar), "links")
+    for used in (still, cells, bits):
+        drop_table(used)
     if not more.isEmpty():
         part = connected_components(links.union(more))
     found = nodes.join(part, nodes.k == part.node, "left").select("k", "head", F.coalesce("component", "k").alias("component"))
