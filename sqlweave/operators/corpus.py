@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlweave.functions.text import pretokens
+from sqlweave.operators.graph import connected_components
+from sqlweave.operators.numbering import row_numbers
 from sqlweave.operators.specs import validate_specs
 from sqlweave.plans.render import with_paraphrases, with_question, with_sql
 from sqlweave.session import write_table
@@ -94,24 +96,89 @@ def training_pairs(examples: DataFrame, schema_text: DataFrame,
             .join(schema_text, "schema_id"))
 
 
-def _bucket(col: str, val_fraction: float):
-    return F.pmod(F.xxhash64(col), F.lit(1000)) < int(val_fraction * 1000)
+def normalised(text) -> Column:
+    """A text's identity for leakage: lower case, blanks squeezed, hashed."""
+    squeezed = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.sha2(squeezed, 256)
 
 
-def split_by_schema(examples: DataFrame, schema_text: DataFrame, val_fraction: float = 0.25):
-    """Train / val on disjoint catalogs; val keeps only the plain question."""
-    is_val = _bucket("schema_id", val_fraction)
-    train = training_pairs(examples.filter(~is_val), schema_text)
-    val = training_pairs(examples.filter(is_val), schema_text, canonical_only=True)
+def leakage_groups(rows: DataFrame) -> DataFrame:
+    """(item, group) for all items of ``rows`` (item STRING, key STRING): the smallest item reachable over shared keys.
+
+    Items that share a key, directly or through others, are one group, so a split of the groups
+    leaves no key on two sides. Keys of one item link nothing and are dropped first.
+    """
+    keyed = write_table(rows.filter("key is not null").distinct(), "keyed")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("first")).filter("n > 1")
+    # every item is tied to its key's smallest item, so a key of many items is a star
+    edges = keyed.join(shared, "key").select(F.col("item").alias("a"), F.col("first").alias("b"))
+    found = connected_components(edges)
+    items = rows.select("item").distinct()
+    return items.join(found, items.item == found.node, "left").select(
+        "item", F.coalesce("component", "item").alias("group"))
+
+
+def schema_groups(names: DataFrame, generic: float = 0.25) -> DataFrame:
+    """(schema_id, component): catalogs that share a name, directly or through others.
+
+    ``names``: (schema_id, name). A name that more than ``generic`` of all catalogs have is
+    structural (an id of the organisation, a segment) and links none.
+    """
+    names = write_table(names.distinct(), "names")
+    n = names.select("schema_id").distinct().count()
+    specific = names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= generic * n).select("name")
+    linked = names.join(specific, "name", "left_semi").select(F.col("schema_id").alias("item"), F.col("name").alias("key"))
+    alone = names.select(F.col("schema_id").alias("item"), F.lit(None).cast("string").alias("key")).distinct()
+    return leakage_groups(linked.unionByName(alone)).select(
+        F.col("item").alias("schema_id"), F.col("group").alias("component"))
+
+
+def balanced_split(groups: DataFrame, val_fraction: float = 0.25) -> DataFrame:
+    """(schema_id, component, split): whole components in order of name go to val as long as they fit its share."""
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    before = row_numbers(sizes, ["component"], sums={"before": "size"})
+    total = groups.count()
+    side = F.when(F.col("before") + F.col("size") <= F.lit(val_fraction * total), "val").otherwise("train")
+    return groups.join(before.select("component", side.alias("split")), "component").select(
+        "schema_id", "component", "split")
+
+
+def _sides(train: DataFrame, val: DataFrame):
     return train.withColumn("split", F.lit("train")), val.withColumn("split", F.lit("val"))
 
 
+def split_by_schema(examples: DataFrame, schema_text: DataFrame, val_fraction: float = 0.25,
+                    split: DataFrame | None = None):
+    """Train / val on disjoint catalogs; val keeps only the plain question.
+
+    ``split`` (schema_id, split), e.g. from ``balanced_split``, says which side a catalog is on;
+    without it catalogs are split by a hash of their id.
+    """
+    if split is None:
+        is_val = F.pmod(F.xxhash64("schema_id"), F.lit(1000)) < int(val_fraction * 1000)
+        train, val = examples.filter(~is_val), examples.filter(is_val)
+    else:
+        on = lambda side: examples.join(split.filter(F.col("split") == side), "schema_id", "left_semi")
+        train, val = on("train"), on("val")
+    return _sides(training_pairs(train, schema_text), training_pairs(val, schema_text, canonical_only=True))
+
+
+def query_groups(examples: DataFrame) -> DataFrame:
+    """(schema_id, spec_id, group): examples that share a SQL text or a question text are one group."""
+    item = F.concat_ws(":", "schema_id", "spec_id")
+    texts = F.concat(F.array(F.concat(F.lit("q:"), normalised(F.col("sql")))), F.transform(
+        F.concat(F.array("question"), "paraphrases"), lambda x: F.concat(F.lit("t:"), normalised(x))))
+    groups = leakage_groups(examples.select(item.alias("item"), F.explode(texts).alias("key")))
+    keys = examples.select("schema_id", "spec_id", item.alias("item"))
+    return keys.join(groups, "item").select("schema_id", "spec_id", "group")
+
+
 def split_by_query(examples: DataFrame, schema_text: DataFrame, val_fraction: float = 0.25):
-    """Same catalogs, disjoint query streams (by spec id)."""
-    is_val = _bucket("spec_id", val_fraction)
-    train = training_pairs(examples.filter(~is_val), schema_text)
-    val = training_pairs(examples.filter(is_val), schema_text, canonical_only=True)
-    return train.withColumn("split", F.lit("train")), val.withColumn("split", F.lit("val"))
+    """Same catalogs, disjoint queries: no SQL text and no question text stands on both sides."""
+    is_val = F.pmod(F.xxhash64("group"), F.lit(1000)) < int(val_fraction * 1000)
+    grouped = examples.join(query_groups(examples), ["schema_id", "spec_id"])
+    return _sides(training_pairs(grouped.filter(~is_val), schema_text),
+                  training_pairs(grouped.filter(is_val), schema_text, canonical_only=True))
 
 
 def feature_coverage(examples: DataFrame) -> DataFrame:

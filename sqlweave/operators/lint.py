@@ -1,18 +1,19 @@
-"""Bulk lint and repair of SQL text against a catalog, with Spark regex functions.
+"""Bulk lint and repair of SQL text against a catalog, with column expressions.
 
 Lint recipe per statement (all JVM-side):
-1. blank quoted literals, so nothing inside a string is read as SQL;
-2. drop the ``FIELD FROM`` inside ``EXTRACT(FIELD FROM x)``: that FROM starts
-   an expression, not a table;
-3. extract (table, alias) after FROM / JOIN and in comma lists, ``alias.column``
-   refs, and the ``a.x = b.y`` pairs of two aliases.
-
-Issues: text that is no query (no SELECT or WITH, an empty select list, or
-unbalanced parentheses); unknown table; unknown ``alias.column`` on a known table; a join
+1. one ``regexp_extract_all`` cuts the text into tokens; comments go, quoted literals stay whole,
+   so nothing inside either is read as SQL;
+2. one fold over the tokens keeps a stack of brackets, each with its scope and the clause that
+   it is in, and notes what each token is: a table after FROM, JOIN or a comma of a FROM list, its alias,
+   a common table expression, an ``alias.column`` reference or a pair ``a.x = b.y``;
+3. a reference takes the alias of the innermost scope that has it: a subquery sees those
+   outside it, the outer query sees none of a subquery's, and both sides of a UNION are apart.
+
+Issues: text that is no query (no SELECT or WITH, an empty select list, brackets or quotes
+that don't close); unknown table; unknown ``alias.column`` on a known table; a join
 between two tables with no FK edge; a join on columns that are not the key of
 an FK between the two tables (any FK of the pair counts). An unknown alias is
-let pass and unqualified columns are not checked. The alias map spans all
-scopes of a statement; a reused alias resolves to its last table.
+let pass and unqualified columns are not checked.
 
 Catalog-sized inputs are joined by key; the statements themselves are only
 exploded into their references, so millions of statements lint in one pass.
@@ -23,73 +24,134 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sqlweave.session import write_table
+
 # -- fixed values -------------------------------------------------------------------
 IDENT = r"[A-Za-z_][A-Za-z0-9_]*"
 # words that can follow a table name and are never its alias
 NOT_ALIAS = ("ON", "WHERE", "JOIN", "GROUP", "ORDER", "HAVING", "LIMIT", "INNER", "LEFT",
              "RIGHT", "FULL", "OUTER", "CROSS", "UNION", "FETCH", "USING", "NATURAL",
-             "WINDOW", "QUALIFY", "INTERSECT", "EXCEPT", "MINUS", "SELECT")
-EXTRACT_FIELDS = ("YEAR", "MONTH", "DAY", "HOUR", "MINUTE", "SECOND")
+             "WINDOW", "QUALIFY", "INTERSECT", "EXCEPT", "MINUS", "SELECT", "AS", "FROM", "LATERAL", "TABLESAMPLE")
+AFTER_FROM = ("WHERE", "GROUP", "ORDER", "HAVING", "LIMIT", "FETCH", "WINDOW", "QUALIFY")
+SET_WORDS = ("UNION", "INTERSECT", "EXCEPT", "MINUS")
 # ------------------------------------------------------------------------------------
 
-_TABLE_RE = (r"(?i)\b(?:FROM|JOIN)\s+(" + IDENT + r")(?![.\w])(?:\s+(?:AS\s+)?(?!(?:"
-             + "|".join(NOT_ALIAS) + r")\b)(" + IDENT + r"))?")
-_REF_RE = r"\b(" + IDENT + r")\.(" + IDENT + r")\b"
-# a FROM list up to the next clause; its items after a comma are tables as well
-_FROM_RE = (r"(?is)\bFROM\s+([^()]*?)(?=\(|\)|\bWHERE\b|\bGROUP\b|\bORDER\b|\bHAVING\b|\bLIMIT\b"
-            r"|\bUNION\b|\bFETCH\b|\bWINDOW\b|$)")
-_ITEM_RE = r"(?i)^\s*(" + IDENT + r")(?:\s+(?:AS\s+)?(?!(?:" + "|".join(NOT_ALIAS) + r")\b)(" + IDENT + r"))?"
-_QUERY_RE = r"(?is)^[\s(]*(SELECT\s+(?!FROM\b)\S|WITH\s+\S)"
-_PAIR_RE = r"\b(" + IDENT + r")\.(" + IDENT + r")\s*=\s*(" + IDENT + r")\.(" + IDENT + r")\b"
+TOKEN_RE = (r"'(?:[^']|'')*'|--[^\n]*|/\*(?s:.*?)\*/|" + IDENT + r"(?:\." + IDENT + r")*|[0-9]+(?:\.[0-9]+)?|\S")
+_NAME_RE, _REF_RE = "^" + IDENT + "$", "^" + IDENT + r"\." + IDENT + "$"
+#: The clause that a bracket is in: nothing yet, a select list, a table is due, an alias may follow,
+#: elsewhere in a FROM list, after it.
+NONE, LIST, TABLE, ALIAS, JOINED, REST = "", "S", "T", "A", "J", "W"
+_STACK = "array<struct<id:int,clause:string,tab:string>>"
+_EVENT = "struct<pos:int,kind:string,name:string,tab:string,path:array<int>>"
+
+
+def tokens(sql) -> F.Column:
+    """Tokens of a statement without comments."""
+    return F.filter(F.regexp_extract_all(sql, F.lit(TOKEN_RE), 0), lambda t: ~t.startswith("--") & ~t.startswith("/*"))
+
 
+def _events(toks) -> F.Column:
+    """struct(stack, events, bad): what the fold over a token column finds."""
+    toks = F.col(toks)
+    at = lambda i: F.coalesce(F.get(toks, i), F.lit(""))
+    entry = lambda i, clause, tab: F.struct(i.cast("int").alias("id"), clause.alias("clause"),
+                                            tab.cast("string").alias("tab"))
+    nothing = F.lit(None).cast("string")
 
-def prepare(sql) -> F.Column:
-    """Statement text with literals blanked and EXTRACT's inner FROM removed."""
-    s = F.regexp_replace(sql, r"'(?:[^']|'')*'", "''")
-    return F.regexp_replace(s, r"(?i)\b(" + "|".join(EXTRACT_FIELDS) + r")\s+FROM\b", "$1 ")
+    def step(acc, i):
+        tok = at(i)
+        up, nxt = F.upper(tok), F.upper(at(i + 1))
+        stack, depth = acc["stack"], F.size(acc["stack"])
+        top = F.element_at(stack, -1)
+        clause, below = top["clause"], F.slice(stack, 1, depth - 1)
+        name = tok.rlike(_NAME_RE) & ~up.isin(*NOT_ALIAS)
+        is_table, is_alias = name & (clause == TABLE), name & (clause == ALIAS)
+        qualified = tok.rlike(_REF_RE) & (clause == TABLE)
+        turn = (F.when(up == "SELECT", LIST).when((up == "FROM") & (clause != NONE), TABLE).when(up == "JOIN", TABLE)
+                .when(up.isin("ON", "USING"), JOINED).when(up.isin(*AFTER_FROM), REST)
+                .when((tok == ",") & clause.isin(ALIAS, JOINED), TABLE)
+                .when(is_table | qualified, ALIAS).when(is_alias, JOINED).otherwise(clause))
+        tab = F.when(is_table, F.lower(tok)).when(qualified, nothing).otherwise(top["tab"])
+        # a bracket where a table is due is a subquery with an alias to come, or a bracketed join of the same scope
+        subquery = nxt.isin("SELECT", "WITH", "(")
+        opened = F.when((clause == TABLE) & ~subquery, F.concat(stack, F.array(entry(top["id"], F.lit(TABLE), nothing)))
+                        ).otherwise(F.concat(below, F.array(entry(
+                            top["id"], F.when(clause == TABLE, ALIAS).otherwise(clause),
+                            F.when(clause == TABLE, nothing).otherwise(top["tab"])), entry(i + 1, F.lit(NONE), nothing))))
+        after = (F.when(tok == "(", opened).when((tok == ")") & (depth > 1), below)
+                 .when(up.isin(*SET_WORDS), F.concat(below, F.array(entry(i + 1, F.lit(NONE), nothing))))
+                 .otherwise(F.concat(below, F.array(entry(top["id"], turn, tab)))))
+        ref = tok.rlike(_REF_RE) & (clause != TABLE)
+        expression = name & (nxt == "AS") & (at(i + 2) == "(") & F.upper(at(i - 1)).isin("WITH", "RECURSIVE", ",")
+        kind = (F.when(is_table, "table").when(is_alias, "alias").when(expression, "cte")
+                .when(ref & (nxt == "=") & at(i + 2).rlike(_REF_RE), "pair").when(ref, "ref"))
+        event = F.struct(i.cast("int").alias("pos"), kind.alias("kind"), F.lower(tok).alias("name"),
+                         F.when(is_alias, top["tab"]).when(kind == "pair", F.lower(at(i + 2))).alias("tab"),
+                         F.transform(stack, lambda x: x["id"]).alias("path"))
+        events = F.when(kind.isNull(), acc["events"]).otherwise(F.concat(acc["events"], F.array(event)))
+        return F.struct(after.alias("stack"), events.alias("events"),
+                        (acc["bad"] | ((tok == ")") & (depth == 1)) | (tok == "'")).alias("bad"))
+    zero = F.struct(F.array(entry(F.lit(0), F.lit(NONE), nothing)).cast(_STACK).alias("stack"),
+                    F.array().cast(f"array<{_EVENT}>").alias("events"), F.lit(False).alias("bad"))
+    places = F.when(F.size(toks) > 0, F.sequence(F.lit(0), F.size(toks) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, zero, step)
+
+
+def parsed(stmts: DataFrame) -> DataFrame:
+    """(schema_id, sql_id, toks, found) of (schema_id, sql_id, sql) statements, folded once and written."""
+    t = stmts.select("schema_id", "sql_id", F.coalesce(tokens(F.col("sql")), F.array().cast("array<string>")).alias("toks"))
+    return write_table(t.withColumn("found", _events("toks")), "parsed")
 
 
 def references(stmts: DataFrame) -> dict:
-    """Exploded references of (schema_id, sql_id, sql) statements."""
-    s = stmts.select("schema_id", "sql_id", prepare(F.col("sql")).alias("_s"))
-    listed = F.filter(F.flatten(F.transform(
-        F.regexp_extract_all("_s", F.lit(_FROM_RE), 1),
-        lambda c: F.slice(F.split(c, ","), 2, F.size(F.split(c, ","))))), lambda x: x.rlike(_ITEM_RE))
-    named_tables = F.arrays_zip(F.regexp_extract_all("_s", F.lit(_TABLE_RE), 1).alias("t"),
-                                F.regexp_extract_all("_s", F.lit(_TABLE_RE), 2).alias("a"))
-    listed_tables = F.transform(listed, lambda x: F.struct(
-        F.regexp_extract(x, _ITEM_RE, 1).alias("t"), F.regexp_extract(x, _ITEM_RE, 2).alias("a")))
-    tabs = s.select("schema_id", "sql_id", F.posexplode(F.concat(named_tables, listed_tables))
-                    .alias("pos", "x")).select(
-        "schema_id", "sql_id", "pos", F.lower(F.col("x.t")).alias("table_name"),
-        F.lower(F.col("x.a")).alias("alias"))
-    # alias -> table over all scopes: the table's own name, then aliases; last one wins
-    names = tabs.select("schema_id", "sql_id", F.col("pos").cast("long").alias("pos"),
-                        F.col("table_name").alias("alias"), "table_name")
-    named = tabs.filter(F.col("alias") != "").select(
-        "schema_id", "sql_id", (F.col("pos").cast("long") + 1_000_000).alias("pos"), "alias",
-        "table_name")
-    amap = (names.unionByName(named).groupBy("schema_id", "sql_id", "alias")
-            .agg(F.max_by("table_name", "pos").alias("table_name")))
-    refs = s.select("schema_id", "sql_id", F.explode(F.arrays_zip(
-        F.regexp_extract_all("_s", F.lit(_REF_RE), 1).alias("q"),
-        F.regexp_extract_all("_s", F.lit(_REF_RE), 2).alias("c"))).alias("x")).select(
-        "schema_id", "sql_id", F.lower(F.col("x.q")).alias("alias"),
-        F.lower(F.col("x.c")).alias("column_name"))
-    # a.x = b.y joins two tables wherever it stands: in ON, or in WHERE under a comma list
-    pairs = s.select("schema_id", "sql_id", F.explode(F.arrays_zip(
-        F.regexp_extract_all("_s", F.lit(_PAIR_RE), 1).alias("a1"),
-        F.regexp_extract_all("_s", F.lit(_PAIR_RE), 2).alias("c1"),
-        F.regexp_extract_all("_s", F.lit(_PAIR_RE), 3).alias("a2"),
-        F.regexp_extract_all("_s", F.lit(_PAIR_RE), 4).alias("c2"))).alias("x")).select(
-        "schema_id", "sql_id", F.lower("x.a1").alias("a1"), F.lower("x.c1").alias("c1"),
-        F.lower("x.a2").alias("a2"), F.lower("x.c2").alias("c2")).filter("a1 != a2")
-    return {"tables": tabs, "aliases": amap, "refs": refs, "pairs": pairs}
+    """Tables, aliases, references and pairs of (schema_id, sql_id, sql) statements.
+
+    ``aliases`` are those of a whole statement (the last one wins); ``defined`` has each scope's own.
+    """
+    return _references(parsed(stmts))
+
+
+def _references(parsed: DataFrame) -> dict:
+    key = ["schema_id", "sql_id"]
+    e = parsed.select(*key, F.explode("found.events").alias("e")).select(
+        *key, "e.pos", "e.kind", "e.name", F.col("e.tab").alias("tab"), "e.path")
+    scope = F.element_at("path", -1).alias("scope")
+    ctes = e.filter("kind = 'cte'").select(*key, "name").distinct()
+    tables = e.filter("kind = 'table'").join(ctes, [*key, "name"], "left_anti")
+    # a table goes by its own name, too; a name of a common table expression or subquery has no table
+    own = e.filter("kind = 'table'").join(ctes.withColumn("_cte", F.lit(True)), [*key, "name"], "left").select(
+        *key, scope, F.col("name").alias("alias"), F.when(F.col("_cte").isNull(), F.col("name")).alias("table_name"), "pos")
+    given = e.filter("kind = 'alias'").join(ctes.withColumnRenamed("name", "tab").withColumn("_cte", F.lit(True)),
+                                            [*key, "tab"], "left").select(
+        *key, scope, F.col("name").alias("alias"), F.when(F.col("_cte").isNull(), F.col("tab")).alias("table_name"), "pos")
+    # an alias beats a table's own name wherever it stands
+    defined = own.withColumn("given", F.lit(0)).unionByName(given.withColumn("given", F.lit(1)))
+    part = lambda c, i: F.element_at(F.split(c, r"\."), i)
+    refs = e.filter("kind in ('ref', 'pair')")
+    left = refs.select(*key, "pos", "path", F.lit(0).alias("side"), F.col("name").alias("ref"))
+    right = refs.filter("kind = 'pair'").select(*key, "pos", "path", F.lit(1).alias("side"), F.col("tab").alias("ref"))
+    refs = left.unionByName(right).select(*key, "pos", "side", "path", part("ref", 1).alias("alias"),
+                                          part("ref", 2).alias("column_name"))
+    return {"tables": tables.select(*key, "pos", F.col("name").alias("table_name")),
+            "aliases": defined.filter("table_name is not null").groupBy(*key, "alias").agg(
+                F.max_by("table_name", F.struct("given", "pos")).alias("table_name")),
+            "defined": defined, "refs": refs}
+
+
+def resolve(refs: DataFrame, defined: DataFrame) -> DataFrame:
+    """``refs`` with the table of the innermost scope that has their alias; others are left out."""
+    key = ["schema_id", "sql_id"]
+    each = refs.select(*key, "pos", "side", "alias", "column_name", F.posexplode("path").alias("depth", "scope"))
+    met = each.join(defined.withColumnRenamed("pos", "def_pos"), [*key, "scope", "alias"])
+    return met.groupBy(*key, "pos", "side", "alias", "column_name").agg(F.max_by(
+        F.struct("table_name"), F.struct("depth", "given", "def_pos")).alias("t")).select(
+        *key, "pos", "side", "alias", "column_name", "t.table_name").filter("table_name is not null")
 
 
 def lint_sql(stmts: DataFrame, cat_columns: DataFrame, cat_fks: DataFrame) -> DataFrame:
     """(schema_id, sql_id, kind, detail) for every issue; no row = clean."""
-    r = references(stmts)
+    text = parsed(stmts)
+    r = _references(text)
     ctabs = cat_columns.select("schema_id", F.lower("table_name").alias("table_name")).distinct()
     ccols = cat_columns.select("schema_id", F.lower("table_name").alias("table_name"),
                                F.lower("column_name").alias("column_name"))
@@ -97,18 +159,16 @@ def lint_sql(stmts: DataFrame, cat_columns: DataFrame, cat_fks: DataFrame) -> Da
                      .join(ctabs, ["schema_id", "table_name"], "left_anti")
                      .select("schema_id", "sql_id", F.lit("unknown_table").alias("kind"),
                              F.col("table_name").alias("detail")))
-    resolved = r["refs"].join(r["aliases"], ["schema_id", "sql_id", "alias"])
+    resolved = write_table(resolve(r["refs"], r["defined"]), "resolved")
     unknown_col = (resolved.join(ctabs, ["schema_id", "table_name"], "left_semi")
                    .join(ccols, ["schema_id", "table_name", "column_name"], "left_anti")
                    .select("schema_id", "sql_id", F.lit("unknown_column").alias("kind"),
                            F.concat_ws(".", "table_name", "column_name").alias("detail"))
                    .distinct())
-    a = r["aliases"]
-    p = (r["pairs"]
-         .join(a.select("schema_id", "sql_id", F.col("alias").alias("a1"),
-                        F.col("table_name").alias("t1")), ["schema_id", "sql_id", "a1"])
-         .join(a.select("schema_id", "sql_id", F.col("alias").alias("a2"),
-                        F.col("table_name").alias("t2")), ["schema_id", "sql_id", "a2"]))
+    side = lambda n: resolved.filter(F.col("side") == n - 1).select(
+        "schema_id", "sql_id", "pos", F.col("alias").alias(f"a{n}"), F.col("table_name").alias(f"t{n}"),
+        F.col("column_name").alias(f"c{n}"))
+    p = side(1).join(side(2), ["schema_id", "sql_id", "pos"]).filter("a1 != a2")
     f = cat_fks.select("schema_id", F.lower("from_table").alias("t1"),
                        F.lower("from_column").alias("c1"), F.lower("to_table").alias("t2"),
                        F.lower("to_column").alias("c2"))
@@ -123,12 +183,13 @@ def lint_sql(stmts: DataFrame, cat_columns: DataFrame, cat_fks: DataFrame) -> Da
                  .select("schema_id", "sql_id", F.lit("join_wrong_key").alias("kind"),
                          F.concat(F.col("t1"), F.lit("."), F.col("c1"), F.lit("="), F.col("t2"),
                                   F.lit("."), F.col("c2")).alias("detail")))
-    bare = F.col("_s")
-    count = lambda c: F.length(bare) - F.length(F.replace(bare, F.lit(c), F.lit("")))
-    no_query = (stmts.select("schema_id", "sql_id", prepare(F.col("sql")).alias("_s"))
-                .filter(~F.coalesce(bare.rlike(_QUERY_RE) & (count("(") == count(")")), F.lit(False)))
+    words = F.filter("toks", lambda t: t != "(")
+    first, second = F.upper(F.get(words, 0)), F.upper(F.get(words, 1))
+    query = first.isin("SELECT", "WITH") & second.isNotNull() & ~((first == "SELECT") & (second == "FROM"))
+    closed = (F.size("found.stack") == 1) & ~F.col("found.bad")
+    no_query = (text.filter(~F.coalesce(query & closed, F.lit(False)))
                 .select("schema_id", "sql_id", F.lit("not_a_query").alias("kind"),
-                        F.substring(F.coalesce("_s", F.lit("")), 1, 60).alias("detail")))
+                        F.substring(F.array_join("toks", " "), 1, 60).alias("detail")))
     return no_query.unionByName(unknown_table).unionByName(unknown_col).unionByName(not_edge).unionByName(wrong_key)
 
 
@@ -162,13 +223,30 @@ def repair_flexfield(preds: DataFrame, cat_columns: DataFrame) -> DataFrame:
 _EQ_RE = r"(?i)\b(" + IDENT + r")\.(" + IDENT + r")(\s*=\s*')([^']*)(')"
 
 
-def repair_lookup(preds: DataFrame, cat_columns: DataFrame, sql_col: str = "sql") -> DataFrame:
+def lookup_domains(cat_columns: DataFrame) -> DataFrame:
+    """(schema_id, table_name, column_name, value): the allowed values as rows."""
+    return cat_columns.filter(F.col("role") == "lookup").select(
+        "schema_id", F.lower("table_name").alias("table_name"), F.lower("column_name").alias("column_name"),
+        F.explode("allowed_values").alias("value"))
+
+
+def _words(text) -> F.Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\w+"), 0)
+
+
+def repair_lookup(preds: DataFrame, cat_columns: DataFrame, sql_col: str = "sql",
+                  domains: DataFrame | None = None) -> DataFrame:
     """A literal outside a lookup column's domain becomes the allowed value that the
     question names as a whole word, if it names exactly one; codes of one or two
     characters must match in case. The alias is resolved to its table first, so
     only that table's domain applies, and only predicates on that very alias and
     column change. Adds ``sql_repaired``.
+
+    The domain is a table (``domains``, by default the catalog's lists as rows), looked up by the
+    longest word of each value: a value named in a question has all its words there, so
+    the question's words join the values that may be named, and those are checked whole.
     """
+    key = ["schema_id", "table_name", "column_name"]
     stmts = preds.select("schema_id", "sql_id", F.col(sql_col).alias("sql"))
     amap = references(stmts)["aliases"]
     eqs = preds.select("schema_id", "sql_id", "question", F.explode(F.arrays_zip(
@@ -178,20 +256,22 @@ def repair_lookup(preds: DataFrame, cat_columns: DataFrame, sql_col: str = "sql"
         F.regexp_extract_all(sql_col, F.lit(_EQ_RE), 4).alias("val"))).alias("e"))
     eqs = eqs.select("schema_id", "sql_id", "question", "e.text", F.lower("e.alias").alias("alias"),
                      F.lower("e.col").alias("column_name"), F.col("e.val").alias("val"))
-    dom = cat_columns.filter((F.col("role") == "lookup") & (F.size("allowed_values") > 0)).select(
-        "schema_id", F.lower("table_name").alias("table_name"),
-        F.lower("column_name").alias("column_name"), "allowed_values")
-    whole = lambda v: F.concat(F.when(F.length(v) > 2, F.lit("(?i)")).otherwise(F.lit("")),
-                               F.lit(r"(?<!\w)\Q"), v, F.lit(r"\E(?!\w)"))
-    cand = F.filter("allowed_values", lambda v: F.regexp_like(F.col("question"), whole(v)))
-    fixes = (eqs.join(amap, ["schema_id", "sql_id", "alias"])
-             .join(dom, ["schema_id", "table_name", "column_name"])
-             .filter(~F.array_contains("allowed_values", F.col("val")) & (F.size(cand) == 1))
-             .select("schema_id", "sql_id", "text",
-                     F.concat(F.regexp_extract("text", r"^(.*')[^']*'$", 1),
-                              F.try_element_at(cand, F.lit(1)), F.lit("'")).alias("new_text"))
-             .groupBy("schema_id", "sql_id")
-             .agg(F.collect_list(F.struct("text", "new_text")).alias("fixes")))
+    values = (lookup_domains(cat_columns) if domains is None else domains).select(*key, "value").distinct()
+    longest = F.element_at(F.sort_array(F.transform(_words(F.col("value")), lambda w: F.struct(
+        (-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    index = values.withColumn("word", F.when(F.size(_words(F.col("value"))) > 0, longest).otherwise(""))
+    # the table of each literal; those that are allowed values stay
+    outside = eqs.join(amap, ["schema_id", "sql_id", "alias"]).join(
+        values.withColumnRenamed("value", "val"), [*key, "val"], "left_anti")
+    whole = F.concat(F.when(F.length("value") > 2, F.lit("(?i)")).otherwise(F.lit("")),
+                     F.lit(r"(?<!\w)\Q"), "value", F.lit(r"\E(?!\w)"))
+    asked = outside.select(*key, "sql_id", "text", "question", F.explode(F.array_distinct(F.concat(
+        F.array(F.lit("")), _words(F.col("question"))))).alias("word"))
+    named = asked.join(index, [*key, "word"]).filter(F.regexp_like("question", whole)).groupBy(
+        *key, "sql_id", "text").agg(F.min("value").alias("value"), F.count_distinct("value").alias("n")).filter("n = 1")
+    fixes = (named.select("schema_id", "sql_id", "text", F.concat(
+        F.regexp_extract("text", r"^(.*')[^']*'$", 1), "value", F.lit("'")).alias("new_text"))
+        .groupBy("schema_id", "sql_id").agg(F.sort_array(F.collect_list(F.struct("text", "new_text"))).alias("fixes")))
     out = preds.join(fixes, ["schema_id", "sql_id"], "left")
     applied = F.aggregate(F.coalesce("fixes", F.array().cast(
         "array<struct<text:string,new_text:string>>")), F.col(sql_col),

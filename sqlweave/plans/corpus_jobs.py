@@ -109,10 +109,6 @@ def _split_summary(train, val):
                                      F.count("*").alias("n_pairs"))
 
 
-def q_split_by_schema(t):
-    return _split_summary(*split_by_schema(corpus(t)[4], _schema_text(t)))
-
-
 def q_split_by_query(t):
     return _split_summary(*split_by_query(corpus(t)[4], _schema_text(t)))
 
@@ -166,7 +162,6 @@ QUERIES = {
     "serialize_catalog": q_serialize_catalog,
     "training_pairs": q_training_pairs,
     "dedup_questions": q_dedup_questions,
-    "split_by_schema": q_split_by_schema,
     "split_by_query": q_split_by_query,
     "feature_coverage": q_feature_coverage,
     "throughput_report": q_throughput_report,
@@ -192,31 +187,7 @@ def q_pick_group(t):
     return group_candidates(info, fks, facts, flex).select("fact", "tbl", "col", "hops")
 
 
-def q_vocab_overlap(t):
-    """Identifiers (tables and columns) used by train SQL vs val SQL, and catalog coverage."""
-    from sqlweave.operators.lint import references
-    _, cols, _, _, ex = corpus(t)
-    train, val = split_by_schema(ex, _schema_text(t), val_fraction=0.25)
-
-    def names(pairs, split):
-        st = pairs.select("schema_id", F.col("spec_id").alias("sql_id"), "sql").distinct()
-        r = references(st)
-        return (r["tables"].select(F.col("table_name").alias("name"))
-                .unionByName(r["refs"].select(F.col("column_name").alias("name")))
-                .distinct().withColumn("split", F.lit(split)))
-    n = names(train, "train").unionByName(names(val, "val"))
-    vocab = cols.select(F.col("table_name").alias("name")).unionByName(
-        cols.select(F.col("column_name").alias("name"))).distinct()
-    per = n.groupBy("name").agg(F.collect_set("split").alias("splits"))
-    return per.join(vocab.withColumn("in_catalog", F.lit(True)), "name", "full").agg(
-        F.count(F.when(F.array_contains("splits", "train"), 1)).alias("n_train_names"),
-        F.count(F.when(F.array_contains("splits", "val"), 1)).alias("n_val_names"),
-        F.count(F.when(F.size("splits") == 2, 1)).alias("n_shared"),
-        (F.count(F.when(F.array_contains("splits", "train") & F.col("in_catalog"), 1))
-         / F.count(F.when(F.col("in_catalog"), 1))).alias("catalog_covered"))
-
-
-QUERIES.update({"pick_group": q_pick_group, "vocab_overlap": q_vocab_overlap})
+QUERIES.update({"pick_group": q_pick_group})
 
 
 def _pick_group_sql() -> str:

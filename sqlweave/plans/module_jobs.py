@@ -10,12 +10,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sqlweave.operators import compare
-from sqlweave.operators.corpus import build_examples, link_costs, serialize_catalog
+from sqlweave.operators.corpus import (balanced_split, build_examples, leakage_groups, link_costs, schema_groups,
+                                       serialize_catalog, split_by_schema)
 from sqlweave.operators.link import link_tables
+from sqlweave.operators.lint import references
+from sqlweave.operators.paths import neighbors
 from sqlweave.operators.specs import enumerate_specs, spec_tables
+from sqlweave.operators.synth import lcg, lcg_sql
+from sqlweave.plans.catalog_jobs import EXPECTED_FKS
 from sqlweave.plans.text_jobs import TWIN_STOP_WORDS, user_questions
 from sqlweave.session import write_table
-from sqlweave.sources import modules
+from sqlweave.sources import modules, star
+from sqlweave.sources.star import star_catalog
 
 N_PER_LEVEL = 10
 TOKEN_LIMIT = 512
@@ -81,7 +87,80 @@ def q_link_serialized(t):
     return serialize_catalog(cols, fks, chosen, "qid")
 
 
-QUERIES = {"link_modules": q_link_modules, "link_report": q_link_report, "link_serialized": q_link_serialized}
+def catalog_names(t):
+    """(schema_id, name): tables and columns of every module, and of every given table with its FK neighbours."""
+    _, cols, _ = module_catalogs(t)
+    tabs, star_cols, fks = star_catalog(t)
+    near = neighbors(fks).select("table_name", F.col("neighbor").alias("member"))
+    around = near.unionByName(tabs.select("table_name", F.col("table_name").alias("member"))).distinct()
+    own = star_cols.select(F.col("table_name").alias("member"), "column_name").join(around, "member").select(
+        F.concat(F.lit("t_"), "table_name").alias("schema_id"), F.col("member").alias("table_name"), "column_name")
+    both = cols.select("schema_id", "table_name", "column_name").unionByName(own)
+    return both.select("schema_id", F.explode(F.array("table_name", "column_name")).alias("name")).distinct()
+
+
+def schema_split(t):
+    from sqlweave.memo import memo
+    return memo(t.spark, t.root, "schema_split",
+                lambda: write_table(balanced_split(schema_groups(catalog_names(t))), "schema_split"))
+
+
+def q_schema_split(t):
+    return schema_split(t)
+
+
+def _split_pairs(t):
+    _, cols, fks, _, ex = module_corpus(t)
+    return split_by_schema(ex, serialize_catalog(cols, fks), split=schema_split(t))
+
+
+def q_split_by_schema(t):
+    """The module corpus on two sides of different catalogs."""
+    train, val = _split_pairs(t)
+    return train.unionByName(val).groupBy("split").agg(
+        F.countDistinct("schema_id").alias("n_schemas"), F.countDistinct("schema_id", "spec_id").alias("n_examples"),
+        F.count("*").alias("n_pairs"))
+
+
+def q_vocab_overlap(t):
+    """Identifiers (tables and columns) used by train SQL vs val SQL, and catalog coverage."""
+    _, cols, _, _, _ = module_corpus(t)
+    train, val = _split_pairs(t)
+
+    def names(pairs, split):
+        st = pairs.select("schema_id", F.col("spec_id").alias("sql_id"), "sql").distinct()
+        r = references(st)
+        return (r["tables"].select(F.col("table_name").alias("name"))
+                .unionByName(r["refs"].select(F.col("column_name").alias("name")))
+                .distinct().withColumn("split", F.lit(split)))
+    n = names(train, "train").unionByName(names(val, "val"))
+    vocab = cols.select(F.explode(F.array("table_name", "column_name")).alias("name")).distinct()
+    per = n.groupBy("name").agg(F.collect_set("split").alias("splits"))
+    return per.join(vocab.withColumn("in_catalog", F.lit(True)), "name", "full").agg(
+        F.count(F.when(F.array_contains("splits", "train"), 1)).alias("n_train_names"),
+        F.count(F.when(F.array_contains("splits", "val"), 1)).alias("n_val_names"),
+        F.count(F.when(F.size("splits") == 2, 1)).alias("n_shared"),
+        (F.count(F.when(F.array_contains("splits", "train") & F.col("in_catalog"), 1))
+         / F.count(F.when(F.col("in_catalog"), 1))).alias("catalog_covered"))
+
+
+VAL_SHARE, SPLIT_SALT = 250, 9_973
+
+
+def q_split_groups(t):
+    """Conversations that share a turn's text are one group and on one side."""
+    item = F.col("conv_id").cast("string").alias("item")
+    text = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    rows = t.conversations.select(item, F.sha2(F.concat_ws(":", "role", text), 256).alias("key"))
+    g = leakage_groups(rows)
+    side = F.when(F.pmod(lcg(F.col("group").cast("long"), SPLIT_SALT), F.lit(1000)) < VAL_SHARE, "val").otherwise("train")
+    return g.select(F.col("item").cast("long").alias("conv_id"), F.col("group").cast("long").alias("group_id"),
+                    side.alias("split"))
+
+
+QUERIES = {"link_modules": q_link_modules, "link_report": q_link_report, "link_serialized": q_link_serialized,
+           "schema_split": q_schema_split, "split_by_schema": q_split_by_schema, "vocab_overlap": q_vocab_overlap,
+           "split_groups": q_split_groups}
 
 
 # -- DuckDB twin -----------------------------------------------------------------------------
@@ -175,3 +254,46 @@ SELECT qid, COUNT(*) AS n_tables, string_agg(table_name, ',' ORDER BY table_name
 FROM chosen GROUP BY qid
 UNION ALL
 SELECT qid, 0, '', TRUE FROM q WHERE qid NOT IN (SELECT qid FROM anchor)"""}
+
+
+def _star_names() -> str:
+    near = {tb: {tb} for tb in star.CATALOG_TABLES}
+    for a, _, b, _ in EXPECTED_FKS:
+        near[a].add(b)
+        near[b].add(a)
+    rows = sorted({(f"t_{tb}", x) for tb, group in near.items() for m in group
+                   for x in (m, *(c for c, _ in star.STAR_COLUMNS[m]))})
+    return ", ".join(f"('{a}', '{b}')" for a, b in rows)
+
+
+SQL["schema_split"] = modules_cte() + f""",
+names AS (
+  SELECT 'm' || lpad(CAST(module AS VARCHAR), 2, '0') AS schema_id, unnest([substr(table_name, 5), column_name]) AS name
+  FROM cols UNION SELECT * FROM (VALUES {_star_names()}) AS v(schema_id, name)),
+specific AS (SELECT name FROM names GROUP BY name
+             HAVING COUNT(*) <= 0.25 * (SELECT COUNT(DISTINCT schema_id) FROM names)),
+near AS (SELECT DISTINCT a.schema_id AS a, b.schema_id AS b FROM names a JOIN names b USING (name)
+         WHERE name IN (SELECT name FROM specific)),
+reach AS (SELECT * FROM (
+  WITH RECURSIVE r(src, node) AS (
+    SELECT DISTINCT schema_id, schema_id FROM names
+    UNION SELECT r.src, near.b FROM r JOIN near ON near.a = r.node)
+  SELECT * FROM r)),
+comp AS (SELECT src AS schema_id, MIN(node) AS component FROM reach GROUP BY src),
+sized AS (SELECT component, COUNT(*) AS size FROM comp GROUP BY component),
+summed AS (SELECT component, SUM(size) OVER (ORDER BY component) AS upto FROM sized)
+SELECT c.schema_id, c.component,
+       CASE WHEN p.upto <= 0.25 * (SELECT COUNT(*) FROM comp) THEN 'val' ELSE 'train' END AS split
+FROM comp c JOIN summed p USING (component)"""
+
+SQL["split_groups"] = f"""
+WITH k AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS item,
+                  role || ':' || trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS key FROM conversations),
+near AS (SELECT DISTINCT a.item AS a, b.item AS b FROM k a JOIN k b USING (key) WHERE a.item <> b.item),
+reach AS (SELECT * FROM (
+  WITH RECURSIVE r(src, node) AS (
+    SELECT DISTINCT item, item FROM k UNION SELECT r.src, near.b FROM r JOIN near ON near.a = r.node)
+  SELECT * FROM r)),
+g AS (SELECT src, CAST(MIN(node) AS BIGINT) AS group_id FROM reach GROUP BY src)
+SELECT CAST(src AS BIGINT) AS conv_id, group_id,
+       CASE WHEN ({lcg_sql('group_id', SPLIT_SALT)}) % 1000 < {VAL_SHARE} THEN 'val' ELSE 'train' END AS split FROM g"""

@@ -89,3 +89,46 @@ def test_lookup_repair_touches_only_its_alias(spark, demo_catalog):
     one = "SELECT o.order_id FROM po_orders_all o WHERE o.approval_flag = 'ZZ'"
     assert _repair(spark, demo_catalog, repair_lookup, "any pending orders", one) == one
     assert _repair(spark, demo_catalog, repair_lookup, "orders with flag P", one) == one.replace("ZZ", "P")
+
+
+def test_scopes_comments_and_reused_aliases(spark, demo_catalog):
+    lint = lambda sql: _lint(spark, demo_catalog, sql)
+    # the same alias names another table in each scope
+    sql = ("SELECT x.vendor_name FROM po_vendors x WHERE x.vendor_id IN "
+           "(SELECT x.vendor_id FROM po_orders_all x WHERE x.order_amount > 5) AND x.vendor_number = '7'")
+    assert lint(sql) == []
+    assert lint(sql.replace("x.vendor_number", "x.order_amount")) == [("unknown_column", "po_vendors.order_amount")]
+    # an inner scope sees the outer aliases, not the other way round
+    inner = ("SELECT v.vendor_name FROM po_vendors v WHERE EXISTS "
+             "(SELECT 1 FROM po_orders_all o WHERE o.vendor_id = v.vendor_id AND o.order_amount > v.{})")
+    assert lint(inner.format("vendor_id")) == []
+    assert lint(inner.format("zz")) == [("unknown_column", "po_vendors.zz")]
+    assert lint("SELECT v.vendor_name FROM po_vendors v WHERE v.vendor_id IN (SELECT o.vendor_id FROM po_orders_all o) "
+                "AND o.zz = 1") == []  # o is unknown out there, and let pass
+    # both sides of a union are apart
+    assert lint("SELECT a.vendor_id FROM po_vendors a UNION ALL SELECT a.order_amount FROM po_orders_all a") == []
+    assert lint("SELECT a.order_amount FROM po_vendors a UNION SELECT a.order_amount FROM po_orders_all a") == [
+        ("unknown_column", "po_vendors.order_amount")]
+    # comments and literals are no SQL
+    assert lint("SELECT v.vendor_id -- FROM ghost g, v.zz\n FROM po_vendors v /* JOIN ghost ON v.q = g.r ( */ "
+                "WHERE v.vendor_name = 'x -- FROM ghost ('") == []
+    # common table expressions and derived tables have columns of their own
+    assert lint("WITH big AS (SELECT o.vendor_id AS k FROM po_orders_all o), po2 AS (SELECT 1 AS z) "
+                "SELECT b.k, po2.z FROM big b JOIN po2 ON b.k = po2.z") == []
+    assert lint("SELECT d.k FROM (SELECT o.vendor_id AS k, o.zz FROM po_orders_all o) d JOIN po_vendors v "
+                "ON d.k = v.vendor_id") == [("unknown_column", "po_orders_all.zz")]
+    # a bracketed join is of the same scope
+    assert lint("SELECT o.zz FROM (po_orders_all o JOIN po_vendors v ON o.vendor_id = v.vendor_id)") == [
+        ("unknown_column", "po_orders_all.zz")]
+    # functions with their own FROM
+    assert lint("SELECT TRIM(BOTH 'x' FROM v.vendor_name), EXTRACT(DAY FROM v.created_on) FROM po_vendors v") == []
+    assert lint("SELECT v.vendor_id FROM po_vendors AS v CROSS JOIN gl_account_combos, ghost WHERE v.q = 1") == [
+        ("unknown_column", "po_vendors.q"), ("unknown_table", "ghost")]
+
+
+def test_text_that_does_not_close_is_no_query(spark, demo_catalog):
+    for text in ("SELECT v.vendor_id FROM po_vendors v WHERE v.vendor_name = 'open", "SELECT (1", "SELECT 1)(", "", "-- x",
+                 "((SELECT", "SELECT"):
+        assert [k for k, _ in _lint(spark, demo_catalog, text)] == ["not_a_query"], text
+    for text in ("SELECT 1", "((SELECT v.vendor_id FROM po_vendors v))", "/* a */ SELECT 1 -- b"):
+        assert _lint(spark, demo_catalog, text) == []
