@@ -2,7 +2,7 @@
 
 Slots: {m} measure, {g} group, {gp} group plural, {d} entity plural, {c} columns,
 {l} measure label, {n} how many, {v} threshold, {x} dimension plural, {y} fact
-entity, {p} ' within each <part>', {f} filters.
+entity, {p} ', separately for every <part>', {f} filters.
 """
 
 from __future__ import annotations

@@ -144,14 +144,14 @@ def _filters(preds: Column, year_variant: Column | None = None) -> Column:
               else F.replace(year_variant, F.lit("{v}"), p["val"]))
         return (F.when(p["op"] == "YEAR_EQ", yr)
                 .when(p["is_str"], F.concat(F.lit(" with "), p["label"], F.lit(" "), F.lower(p["val"])))
-                .otherwise(F.concat(F.lit(" where "), p["label"], F.lit(" is "), p["val"])))
+                .otherwise(F.concat(F.lit(" limited to "), p["label"], F.lit(" "), p["val"])))
     return F.array_join(F.transform(preds, one), "")
 
 
 def _slots(measure: Column, filters: Column) -> dict:
     grp = group_label(F.col("group_col.label"))
     part = F.when(F.col("window.part_label").isNotNull(),
-                  F.concat(F.lit(" within each "), F.col("window.part_label"))).otherwise(F.lit(""))
+                  F.concat(F.lit(", separately for every "), F.col("window.part_label"))).otherwise(F.lit(""))
     inner_f = F.coalesce(F.col("inner.preds"), F.array().cast(
         "array<struct<tbl:string,col:string,label:string,op:string,val:string,is_str:boolean>>"))
     return {
@@ -178,7 +178,7 @@ CANONICAL = {
     "having": "{m} per {g} where the {m} is above {v}{f}",
     "top_n": "which {n} {gp} have the highest {m}{f}",
     "above_avg": "{d} with {l} above the average",
-    "semijoin": "{x} that have at least one {y}{f}", "window": "rank {d} by {l}{p}",
+    "semijoin": "{x} that have at least one {y}{f}", "window": "sort {d} by falling {l}{p}",
 }
 
 
