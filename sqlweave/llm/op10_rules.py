@@ -146,11 +146,12 @@ def _sql() -> str:
     choose = ", ".join(f"CASE WHEN f.rows >= {LEAST_ROWS} THEN f.{m}_{c} ELSE g.{m}_{c} END AS {m}_{c}"
                        for m in WIDTHS for c in ("lo", "hi"))
     inside = " AND ".join(f"{m} BETWEEN {m}_lo AND {m}_hi" for m in WIDTHS)
+    wide = lambda v: f"(1::BIGINT << greatest(length(bin({v})) - {TOP.bit_length()}, 0))"  # noqa: E731  a bucket's width
     quart = lambda keys: f"""SELECT {keys}, max(rows) AS rows, {picks} FROM (
-      SELECT *, q1 - w AS lo, q3 + w AS hi FROM (
+      SELECT *, q1 - w AS lo, q3 + {wide("q3")} - 1 + w AS hi FROM (
         SELECT *, greatest((q3 - q1) * {FENCE}, CASE measure {case} END) AS w FROM (
           SELECT {keys}, measure, count(*) AS rows,
-                 quantile_disc(least(v, {TOP}), 0.25) AS q1, quantile_disc(least(v, {TOP}), 0.75) AS q3
+                 quantile_disc(v - v % {wide("v")}, 0.25) AS q1, quantile_disc(v - v % {wide("v")}, 0.75) AS q3
           FROM long_rows GROUP BY {keys}, measure))) GROUP BY {keys}"""
     return f"""
 WITH w AS MATERIALIZED (
