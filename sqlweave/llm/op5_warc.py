@@ -154,7 +154,7 @@ def write_warc(pages: DataFrame, folder: str, page: str = "page_id", url: str =
     rows = pages.select(key.alias("key"), "page", "url", "html", F.lit(None).cast("long").alias("holder"),
                         F.sha1(F.col("html").cast("binary")).alias("digest"))
     both = rows.unionByName(marks).withColumn("shard", shard_of("key"))
-    both = (both.repartition(max(1, len(cuts.value) + 1), "shard")
+    both = (both.repartitionById(max(1, len(cuts.value) + 1), "shard")  # one shard a task
             .sortWithinPartitions("shard", "key", F.col("html").isNotNull(), "digest"))
 
     def write(batches):
