@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from sqlweave.operators.catalog import prefix_catalog
 from sqlweave.operators.corpus import (build_examples, corpus_texts, feature_coverage,
                                        serialize_catalog, split_by_query, split_by_schema,
-                                       training_pairs)
+                                       throughput_report, training_pairs)
 from sqlweave.operators.specs import enumerate_specs, spec_tables, validate_specs
 from sqlweave.sources.star import star_catalog
 from sqlweave.session import ensure_checkpoint_dir
-from sqlweave.session import materialize
+from sqlweave.session import materialize, write_table
 
 N_COPIES = 4
 N_PER_LEVEL = 10
@@ -118,9 +118,13 @@ def q_feature_coverage(t):
 
 
 def q_throughput_report(t):
-    ex = corpus(t)[4]
-    return ex.groupBy("level").agg(F.count("*").alias("n_examples"),
-                                   F.avg(F.col("valid").cast("double")).alias("valid_share"))
+    """Examples, their valid share and how many were made a second; the corpus is built anew for it."""
+    import time
+    tabs, cols, fks, _, _ = corpus(t)
+    begin = time.perf_counter()
+    specs = write_table(enumerate_specs(tabs, cols, fks, n_per_level=N_PER_LEVEL), "timed_specs")
+    made = write_table(build_examples(specs, tabs, cols, fks, K_PARAPHRASES), "timed_examples")
+    return throughput_report(made, time.perf_counter() - begin)
 
 
 def q_corpus_texts(t):
@@ -201,8 +205,8 @@ WHERE c.role IN ('name', 'flexfield_segment')"""
 SQL.update({"pick_group": _pick_group_sql()})
 
 
-def _specs_sql() -> str:
-    """The same draws in SQL: which table, shape and parts each spec gets."""
+def _specs_cte() -> str:
+    """The same draws in SQL: which table, shape and parts each spec gets (CTE ``specs``)."""
     from sqlweave.operators import specs as S
     from sqlweave.plans.path_jobs import _FACTS, _walk_cte
     chance = lambda name, p: f"{S.draw_sql(name, 1000)} < {int(p * 1000)}"
@@ -223,7 +227,7 @@ places AS (
   UNION ALL
   SELECT table_name, TRUE, row_number() OVER (ORDER BY table_pos) - 1 FROM tabs WHERE n_amounts > 0),
 cands AS (
-  SELECT b.src AS fact, c.role = 'flexfield_segment' AS is_flex, b.hops,
+  SELECT b.src AS fact, c.role = 'flexfield_segment' AS is_flex, b.hops, b.path,
          row_number() OVER (PARTITION BY b.src ORDER BY b.hops, c.table_pos, c.role = 'flexfield_segment', c.table_name,
                             c.column_name) - 1 AS pos,
          COUNT(*) OVER (PARTITION BY b.src) AS n
@@ -241,7 +245,7 @@ placed AS (
                        ELSE {S.draw_sql('table', "(SELECT COUNT(*) FROM tabs)")} END AS at FROM numbered) n
   JOIN places p ON p.is_fact = (n.level >= 2) AND p.pos = n.at),
 drawn AS (
-  SELECT s.*, t.n_dates, t.n_orgs, t.n_lookups, c.is_flex, c.hops, l.to_table,
+  SELECT s.*, t.n_dates, t.n_orgs, t.n_lookups, c.is_flex, c.hops, c.path, l.to_table,
          CASE WHEN level = 1 THEN 'list'
               WHEN level = 2 AND {chance('no_group', S.P_NO_GROUP)} THEN 'agg_global' WHEN level = 2 THEN 'agg'
               WHEN level = 3 AND {chance('having', S.P_HAVING)} THEN 'having' WHEN level = 3 THEN 'top_n'
@@ -253,8 +257,9 @@ drawn AS (
   LEFT JOIN links l ON l.fact = s.from_table AND l.pos = {S.draw_sql('name_fk', 'l.n')}),
 shaped AS (
   SELECT *, shape IN ('agg', 'having', 'top_n') AS grouped,
-         shape IN ('list', 'agg', 'agg_global', 'having', 'top_n') AS filtered FROM drawn)
-SELECT schema_id, spec_id, CAST(level AS INTEGER) AS level, shape,
+         shape IN ('list', 'agg', 'agg_global', 'having', 'top_n') AS filtered FROM drawn),
+specs AS (
+SELECT schema_id, spec_id, CAST(level AS INTEGER) AS level, shape, from_table, grouped, path,
        CASE WHEN shape = 'semijoin' THEN to_table ELSE from_table END AS query_table,
        array_to_string(list_filter([
          CASE WHEN grouped OR shape = 'agg_global' THEN CASE{cases} END END,
@@ -270,7 +275,52 @@ SELECT schema_id, spec_id, CAST(level AS INTEGER) AS level, shape,
          CASE WHEN shape IN ('above_avg', 'semijoin') THEN 'subquery' END,
          CASE WHEN shape = 'window' THEN 'window' END,
          'L' || CAST(level AS VARCHAR)], lambda x: x IS NOT NULL), ',') AS features
-FROM shaped"""
-
-
-SQL.update({"enumerate_specs": _specs_sql()})
+FROM shaped)"""
+
+
+def _serialized_sql() -> str:
+    from sqlweave.plans.path_jobs import _ALL, _walk_cte
+    return _walk_cte(_ALL, 1) + f""",
+first AS (SELECT from_table, from_column, 'fk->' || arg_min(to_table || '.' || to_column, ord) AS tag
+          FROM fk GROUP BY from_table, from_column),
+parts AS (
+  SELECT c.table_name, c.table_pos, c.table_name || ' : ' || string_agg(
+           c.column_name || CASE WHEN len(tags) > 0 THEN '(' || array_to_string(tags, ',') || ')' ELSE '' END,
+           ', ' ORDER BY c.col_pos) AS part
+  FROM (SELECT cols.*, list_filter([CASE WHEN is_pk THEN 'pk' END, f.tag,
+                                    CASE WHEN business_label IS NOT NULL THEN '=' || business_label END],
+                                   lambda x: x IS NOT NULL) AS tags
+        FROM cols LEFT JOIN first f ON f.from_table = cols.table_name AND f.from_column = cols.column_name) c
+  GROUP BY c.table_name, c.table_pos)
+SELECT s.schema_id, string_agg(p.part, ' | ' ORDER BY p.table_pos) AS schema_text
+FROM parts p CROSS JOIN (SELECT 'star' || unnest(range({N_COPIES})) AS schema_id) s GROUP BY s.schema_id"""
+
+
+def _merged_sql() -> str:
+    from sqlweave.plans.catalog_jobs import _catalog_cte
+    return _catalog_cte() + """
+SELECT 'm' || m.i || '_' || c.table_name AS table_name,
+       m.i * (SELECT MAX(table_pos) + 1 FROM cols) + c.table_pos AS table_pos, COUNT(*) AS n_columns,
+       (SELECT COUNT(*) FROM fks f WHERE f.from_table = c.table_name) AS n_fk_out
+FROM cols c CROSS JOIN (SELECT unnest(range(8)) AS i) m GROUP BY m.i, c.table_name, c.table_pos"""
+
+
+SQL.update({
+    "enumerate_specs": _specs_cte() + """
+SELECT schema_id, spec_id, level, shape, query_table, features FROM specs""",
+    "feature_coverage": _specs_cte() + """
+SELECT feature, COUNT(*) AS n_examples FROM (SELECT unnest(string_split(features, ',')) AS feature FROM specs)
+GROUP BY feature""",
+    # every spec is valid by construction; the counts come from the draws
+    "validate_specs": _specs_cte() + """
+SELECT schema_id, COUNT(*) AS n_specs, 0 AS n_invalid FROM specs GROUP BY schema_id""",
+    "spec_tables": _specs_cte() + """,
+steps AS (SELECT schema_id, spec_id, unnest(path) AS ord FROM specs WHERE grouped),
+used AS (
+  SELECT schema_id, spec_id, query_table AS tb FROM specs UNION SELECT schema_id, spec_id, from_table FROM specs
+  UNION SELECT s.schema_id, s.spec_id, f.from_table FROM steps s JOIN fk f USING (ord)
+  UNION SELECT s.schema_id, s.spec_id, f.to_table FROM steps s JOIN fk f USING (ord))
+SELECT schema_id, spec_id, string_agg(tb, ',' ORDER BY tb) AS tables FROM used GROUP BY schema_id, spec_id""",
+    "serialize_catalog": _serialized_sql(),
+    "merge_catalogs": _merged_sql(),
+})
