@@ -37,6 +37,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -397,8 +398,10 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     classes = known.select("id", "t", "k").join(found, "k").select(
         "id", "t", F.col("first.id").alias("class_id"), F.col("first.t").alias("class_key"))
     alone = rows.filter("k is null").select("id", "t", F.col("id").alias("class_id"), F.col("t").alias("class_key"))
-    return classes.union(alone).withColumn("first", F.col("class_id").eqNullSafe(F.col("id"))
-                                           & F.col("class_key").eqNullSafe(F.col("t")))
+    out = classes.union(alone).withColumn("first", F.col("class_id").eqNullSafe(F.col("id"))
+                                          & F.col("class_key").eqNullSafe(F.col("t")))
+    out._used = [rows, nodes, links, more]  # for callers that write what they need and read no more
+    return out
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -412,15 +415,39 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
         F.max("first").alias("first"), F.count(F.lit(1)).alias("n"))
     dropped = write_table(per_text.filter("not first or n > 1").select(
         F.col("id").alias("_near_id"), F.col("t").alias("_near_t"), F.col("first").alias("_near_first")), "dropped")
+    for used in classes._used:  # all that they gave is in ``dropped``
+        drop_table(used)
     rows = docs.withColumn("_near_hash", F.unhex(F.md5(F.col(text).cast("binary"))))
+    clear, rows = _apart(rows, dropped, [key, "_near_hash"], ["_near_id", "_near_t"])
     same = (F.col(key) == F.col("_near_id")) & (F.col("_near_hash") == F.col("_near_t"))
     rest = rows.join(dropped, same, "left_anti")
+    if clear is not None:
+        rest = rest.unionByName(clear)
     again = dropped.filter("_near_first")
     if not again.isEmpty():
         rest = rest.unionByName(rows.join(again, same, "left_semi").dropDuplicates([key, "_near_hash"]))
     return rest.select(*docs.columns)
 
 
+def _apart(rows: DataFrame, marked: DataFrame, on: list[str], names: list[str]):
+    """(rows that certainly aren't marked, the others): most rows with their texts then need no shuffle.
+
+    Beyond BLOOM_IDS marked rows all are among the others.
+    """
+    n = marked.count()
+    if n > BLOOM_IDS:
+        return None, rows
+    bits = _bits(n)
+    places = lambda cols: [F.pmod(F.xxhash64(*cols, F.lit(s)), F.lit(bits)) for s in range(3)]
+    shared = rows.sparkSession.sparkContext.broadcast(_filter(marked, places(names), bits))
+
+    @F.pandas_udf("boolean")
+    def perhaps(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series(_in(shared.value, np.stack([a.to_numpy(np.int64), b.to_numpy(np.int64), c.to_numpy(np.int64)], 1)))
+    told = rows.withColumn("_near_perhaps", perhaps(*places(on)))
+    return (told.filter("not _near_perhaps").drop("_near_perhaps"), told.filter("_near_perhaps").drop("_near_perhaps"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     docs = load(spark, sf_dir, "documents")
