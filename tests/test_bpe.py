@@ -101,3 +101,29 @@ def test_registered_jobs_train_2048_entries(small, monkeypatch):
         except ZeroDivisionError:
             pass
     assert len(sizes) == 4 and min(sizes) >= 2048
+
+
+def test_blocks_encode_like_the_vocabulary(spark, monkeypatch):
+    """Null, empty, repeated and long texts over several blocks; other columns stay."""
+    from sqlweave.operators import bpe
+    from sqlweave.plans import text_jobs
+    monkeypatch.setattr(bpe, "BLOCK_PIECES", 40)
+    monkeypatch.setattr(bpe, "BLOCK_ROWS", 3)
+    texts = [None, "", "the the the cat", "the cat <sql> the", " ", "a" * 90, "x y " * 60, "héllo the", None, "the", ""] * 3
+    df = spark.createDataFrame([(None if i == 3 else i % 30, x) for i, x in enumerate(texts)], "k int, text string")
+    merges = [(116, 104, 256), (256, 101, 257), (97, 97, 258), (32, 257, 259)]
+    table = spark.createDataFrame([(i, *m) for i, m in enumerate(merges)], "rank int, left_id int, right_id int, new_id int")
+    codec = bpe.Vocabulary(merges)
+    for special in (False, True):
+        got = bpe.bpe_encode(df, table, allow_special=special).collect()
+        want = [(None if i == 3 else i % 30, x, None if x is None else codec.encode(x, special)) for i, x in enumerate(texts)]
+        assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
+    empty = spark.createDataFrame([(1, None), (2, "")], "k int, text string")
+    assert sorted(map(tuple, bpe.bpe_encode(empty, table).select("k", "ids").collect())) == [(1, None), (2, [])]
+    blocks = bpe.coded_blocks(df, text_jobs.pretokens("text"), ["k"])
+    counts = {r.piece: r.n for r in bpe.block_counts(blocks).collect()}
+    assert counts == {r.piece: r.cnt for r in bpe.pretoken_histogram(df).collect()}
+    assert blocks.filter("_new is not null").count() > 5
+    numbered = bpe.dictionary_join(blocks, bpe.block_counts(blocks).selectExpr("piece", "array(n) ids"))
+    assert [r.ids for r in numbered.filter("k = 2 and size(ids) > 0").collect()] == [
+        [counts[x] for x in codec.plain.findall("the the the cat")]]
