@@ -50,56 +50,80 @@ def tokens(sql) -> F.Column:
     return F.filter(F.regexp_extract_all(sql, F.lit(TOKEN_RE), 0), lambda t: ~t.startswith("--") & ~t.startswith("/*"))
 
 
+#: What a token can do in the fold; others (operators, literals, other keywords) change nothing and are left out.
+SELECT, FROM, JOIN, ON, AFTER, SET, COMMA, OPEN, CLOSE, QUOTE, REF, NAME = range(1, 13)
+
+
+def _marked(toks) -> F.Column:
+    """The tokens of a token column that the fold looks at, each with its place and what it and its neighbours are."""
+    at = lambda i: F.coalesce(F.get(toks, i), F.lit(""))
+    seen = F.transform(toks, lambda tok, i: F.struct(
+        i.cast("int").alias("pos"), tok.alias("tok"), F.upper(tok).alias("up"), F.upper(at(i + 1)).alias("nxt"),
+        at(i + 2).alias("third"), F.upper(at(i - 1)).alias("before")))
+
+    def mark(x):
+        up = x["up"]
+        code = (F.when(up == "SELECT", SELECT).when(up == "FROM", FROM).when(up == "JOIN", JOIN).when(up.isin("ON", "USING"), ON)
+                .when(up.isin(*AFTER_FROM), AFTER).when(up.isin(*SET_WORDS), SET).when(up == ",", COMMA).when(up == "(", OPEN)
+                .when(up == ")", CLOSE).when(up == "'", QUOTE).when(x["tok"].rlike(_REF_RE), REF)
+                .when(x["tok"].rlike(_NAME_RE) & ~up.isin(*NOT_ALIAS), NAME).otherwise(0))
+        cte = (x["nxt"] == "AS") & (x["third"] == "(") & x["before"].isin("WITH", "RECURSIVE", ",")
+        return F.struct(x["pos"].alias("pos"), code.alias("code"), F.lower(x["tok"]).alias("name"), cte.alias("cte"),
+                        x["nxt"].isin("SELECT", "WITH", "(").alias("subquery"),
+                        F.when((x["nxt"] == "=") & x["third"].rlike(_REF_RE), F.lower(x["third"])).alias("other"))
+    return F.filter(F.transform(seen, mark), lambda x: x["code"] != 0)
+
+
 def _events(toks) -> F.Column:
     """struct(stack, events, bad): what the fold over a token column finds."""
-    toks = F.col(toks)
-    at = lambda i: F.coalesce(F.get(toks, i), F.lit(""))
     entry = lambda i, clause, tab: F.struct(i.cast("int").alias("id"), clause.alias("clause"),
                                             tab.cast("string").alias("tab"))
     nothing = F.lit(None).cast("string")
 
-    def step(acc, i):
-        tok = at(i)
-        up, nxt = F.upper(tok), F.upper(at(i + 1))
+    def step(acc, x):
+        code, pos = x["code"], x["pos"]
         stack, depth = acc["stack"], F.size(acc["stack"])
         top = F.element_at(stack, -1)
         clause, below = top["clause"], F.slice(stack, 1, depth - 1)
-        name = tok.rlike(_NAME_RE) & ~up.isin(*NOT_ALIAS)
-        is_table, is_alias = name & (clause == TABLE), name & (clause == ALIAS)
-        qualified = tok.rlike(_REF_RE) & (clause == TABLE)
-        turn = (F.when(up == "SELECT", LIST).when((up == "FROM") & (clause != NONE), TABLE).when(up == "JOIN", TABLE)
-                .when(up.isin("ON", "USING"), JOINED).when(up.isin(*AFTER_FROM), REST)
-                .when((tok == ",") & clause.isin(ALIAS, JOINED), TABLE)
+        is_table, is_alias = (code == NAME) & (clause == TABLE), (code == NAME) & (clause == ALIAS)
+        qualified, ref = (code == REF) & (clause == TABLE), (code == REF) & (clause != TABLE)
+        turn = (F.when(code == SELECT, LIST).when((code == FROM) & (clause != NONE), TABLE).when(code == JOIN, TABLE)
+                .when(code == ON, JOINED).when(code == AFTER, REST)
+                .when((code == COMMA) & clause.isin(ALIAS, JOINED), TABLE)
                 .when(is_table | qualified, ALIAS).when(is_alias, JOINED).otherwise(clause))
-        tab = F.when(is_table, F.lower(tok)).when(qualified, nothing).otherwise(top["tab"])
+        tab = F.when(is_table, x["name"]).when(qualified, nothing).otherwise(top["tab"])
         # a bracket where a table is due is a subquery with an alias to come, or a bracketed join of the same scope
-        subquery = nxt.isin("SELECT", "WITH", "(")
-        opened = F.when((clause == TABLE) & ~subquery, F.concat(stack, F.array(entry(top["id"], F.lit(TABLE), nothing)))
+        opened = F.when((clause == TABLE) & ~x["subquery"], F.concat(stack, F.array(entry(top["id"], F.lit(TABLE), nothing)))
                         ).otherwise(F.concat(below, F.array(entry(
                             top["id"], F.when(clause == TABLE, ALIAS).otherwise(clause),
-                            F.when(clause == TABLE, nothing).otherwise(top["tab"])), entry(i + 1, F.lit(NONE), nothing))))
-        after = (F.when(tok == "(", opened).when((tok == ")") & (depth > 1), below)
-                 .when(up.isin(*SET_WORDS), F.concat(below, F.array(entry(i + 1, F.lit(NONE), nothing))))
+                            F.when(clause == TABLE, nothing).otherwise(top["tab"])), entry(pos + 1, F.lit(NONE), nothing))))
+        after = (F.when(code == OPEN, opened).when((code == CLOSE) & (depth > 1), below)
+                 .when(code == SET, F.concat(below, F.array(entry(pos + 1, F.lit(NONE), nothing))))
+                 .when(ref | code.isin(CLOSE, QUOTE), stack)
                  .otherwise(F.concat(below, F.array(entry(top["id"], turn, tab)))))
-        ref = tok.rlike(_REF_RE) & (clause != TABLE)
-        expression = name & (nxt == "AS") & (at(i + 2) == "(") & F.upper(at(i - 1)).isin("WITH", "RECURSIVE", ",")
-        kind = (F.when(is_table, "table").when(is_alias, "alias").when(expression, "cte")
-                .when(ref & (nxt == "=") & at(i + 2).rlike(_REF_RE), "pair").when(ref, "ref"))
-        event = F.struct(i.cast("int").alias("pos"), kind.alias("kind"), F.lower(tok).alias("name"),
-                         F.when(is_alias, top["tab"]).when(kind == "pair", F.lower(at(i + 2))).alias("tab"),
+        kind = (F.when(is_table, "table").when(is_alias, "alias").when((code == NAME) & x["cte"], "cte")
+                .when(ref & x["other"].isNotNull(), "pair").when(ref, "ref"))
+        event = F.struct(pos.alias("pos"), kind.alias("kind"), x["name"].alias("name"),
+                         F.when(is_alias, top["tab"]).when(ref, x["other"]).alias("tab"),
                          F.transform(stack, lambda x: x["id"]).alias("path"))
-        events = F.when(kind.isNull(), acc["events"]).otherwise(F.concat(acc["events"], F.array(event)))
+        events = F.when(is_table | is_alias | ref | ((code == NAME) & x["cte"]),
+                        F.concat(acc["events"], F.array(event))).otherwise(acc["events"])
         return F.struct(after.alias("stack"), events.alias("events"),
-                        (acc["bad"] | ((tok == ")") & (depth == 1)) | (tok == "'")).alias("bad"))
+                        (acc["bad"] | ((code == CLOSE) & (depth == 1)) | (code == QUOTE)).alias("bad"))
     zero = F.struct(F.array(entry(F.lit(0), F.lit(NONE), nothing)).cast(_STACK).alias("stack"),
                     F.array().cast(f"array<{_EVENT}>").alias("events"), F.lit(False).alias("bad"))
-    places = F.when(F.size(toks) > 0, F.sequence(F.lit(0), F.size(toks) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, zero, step)
+    return F.aggregate(_marked(F.col(toks)), zero, step)
 
 
 def parsed(stmts: DataFrame) -> DataFrame:
-    """(schema_id, sql_id, toks, found) of (schema_id, sql_id, sql) statements, folded once and written."""
-    t = stmts.select("schema_id", "sql_id", F.coalesce(tokens(F.col("sql")), F.array().cast("array<string>")).alias("toks"))
+    """(schema_id, sql_id, toks, found) of (schema_id, sql_id, sql) statements, folded once and written.
+
+    The statements are dealt out to all tasks first: those of one file's row group would all be folded by one.
+    """
+    spark = stmts.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    t = stmts.select("schema_id", "sql_id", "sql").repartition(parts).select(
+        "schema_id", "sql_id", F.coalesce(tokens(F.col("sql")), F.array().cast("array<string>")).alias("toks"))
     return write_table(t.withColumn("found", _events("toks")), "parsed")
 
 

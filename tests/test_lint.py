@@ -132,3 +132,20 @@ def test_text_that_does_not_close_is_no_query(spark, demo_catalog):
         assert [k for k, _ in _lint(spark, demo_catalog, text)] == ["not_a_query"], text
     for text in ("SELECT 1", "((SELECT v.vendor_id FROM po_vendors v))", "/* a */ SELECT 1 -- b"):
         assert _lint(spark, demo_catalog, text) == []
+
+
+def test_statements_of_one_task_are_folded_by_all(spark):
+    from sqlweave.operators.lint import parsed
+    sql = "SELECT a.x FROM t a JOIN u b ON a.k = b.k WHERE a.y = 'FROM (' AND a.z IN (SELECT a.z FROM v a)"
+    rows = spark.createDataFrame([("s", i, sql) for i in range(400)] + [("s", 400, None), (None, None, "('")],
+                                 "schema_id string, sql_id long, sql string").coalesce(1)
+    out = parsed(rows)
+    assert len(out.inputFiles()) > 1 and out.count() == 402
+    found = {r.sql_id: r.found for r in out.filter("sql_id in (0, 400)").collect()}
+    assert [(e.pos, e.kind, e.name, e.tab, e.path) for e in found[0].events] == [
+        (1, "ref", "a.x", None, [0]), (3, "table", "t", None, [0]), (4, "alias", "a", "t", [0]), (6, "table", "u", None, [0]),
+        (7, "alias", "b", "u", [0]), (9, "pair", "a.k", "b.k", [0]), (11, "ref", "b.k", None, [0]), (13, "ref", "a.y", None, [0]),
+        (17, "ref", "a.z", None, [0]), (21, "ref", "a.z", None, [0, 20]), (23, "table", "v", None, [0, 20]),
+        (24, "alias", "a", "v", [0, 20])]
+    assert found[400].events == [] and not found[400].bad
+    assert out.filter("sql_id is null").first().found.bad
