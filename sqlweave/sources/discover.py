@@ -1,8 +1,8 @@
 """Keys and foreign keys found in the tables themselves.
 
-Every scalar column of whole numbers or text is stacked as (column, value) and counted once per
-distinct pair, so a value that fills a third of a table is one row before the shuffle.
-From that one table come both kinds of evidence:
+Every scalar column of whole numbers or text is stacked as (column, value), numbers and texts apart, and
+counted once per distinct pair, so a value that fills a third of a table is one row before the shuffle.
+From these two tables come both kinds of evidence:
 
 * a column is a key if its values are all there and all different;
 * grouping by value gives the set of columns that hold it, kept as bits in longs; the
@@ -44,14 +44,17 @@ def discovered_columns(t, names=TABLE_NAMES) -> DataFrame:
                                          "data_type string, kind string")
 
 
-def value_table(t, columns: DataFrame) -> DataFrame:
-    """(col_no, v, n): how often each column holds each value; a null v counts the nulls."""
+def value_table(t, columns: DataFrame, kind: str) -> DataFrame:
+    """(col_no, v, n): how often each column of a kind holds each value; a null v counts the nulls.
+
+    Whole numbers are compared as longs (n), texts as strings (s).
+    """
     by_table: dict[str, list] = {}
-    for r in columns.filter("kind is not null").orderBy("col_no").collect():  # metadata: one row a column
-        value = f"CAST(`{r.column_name}` AS STRING)"
-        if r.kind == "s":
+    for r in columns.filter(F.col("kind") == kind).orderBy("col_no").collect():  # metadata: one row a column
+        value = f"CAST(`{r.column_name}` AS {'BIGINT' if kind == 'n' else 'STRING'})"
+        if kind == "s":
             value = f"IF(length({value}) < {LONG_TEXT}, {value}, sha2({value}, 256))"
-        by_table.setdefault(r.table_name, []).append(f"{r.col_no}, concat('{r.kind}:', {value})")
+        by_table.setdefault(r.table_name, []).append(f"{r.col_no}, {value}")
     parts = [t.get(name).select(F.expr(f"stack({len(items)}, {', '.join(items)}) AS (col_no, v)"))
              for name, items in by_table.items()]
     stacked = reduce(DataFrame.unionByName, parts)
@@ -69,17 +72,17 @@ def column_facts(values: DataFrame) -> DataFrame:
 
 def inclusions(values: DataFrame, n_columns: int) -> DataFrame:
     """(col_no, in_no): every value of the first column is one of the second."""
-    words = range(-(-n_columns // WORD))
+    words = [f"w{w}" for w in range(-(-n_columns // WORD))]
     bit = F.expr(f"shiftleft(1L, col_no % {WORD})")
     per_value = values.filter("v is not null").groupBy("v").agg(
-        F.collect_set("col_no").alias("cols"),
-        *[F.bit_or(F.when(F.floor(F.col("col_no") / WORD) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}")
-          for w in words])
-    per_column = per_value.select(F.explode("cols").alias("col_no"), *[f"w{w}" for w in words]).groupBy("col_no").agg(
-        *[F.bit_and(f"w{w}").alias(f"w{w}") for w in words])
-    sets = F.array(*[f"w{w}" for w in words])
+        *[F.bit_or(F.when(F.floor(F.col("col_no") / WORD) == i, bit).otherwise(F.lit(0).cast("long"))).alias(w)
+          for i, w in enumerate(words)])
+    # many values have the same set of columns: each set is kept once before it is taken apart
+    sets = F.array(*words)
     held = F.filter(F.sequence(F.lit(0), F.lit(n_columns - 1)), lambda i: F.call_function(
         "getbit", F.element_at(sets, (F.floor(i / WORD) + 1).cast("int")), i % WORD) == 1)
+    per_column = per_value.select(*words).distinct().select(F.explode(held).alias("col_no"), *words).groupBy("col_no").agg(
+        *[F.bit_and(w).alias(w) for w in words])
     return per_column.select("col_no", F.explode(held).alias("in_no")).filter("col_no != in_no")
 
 
@@ -91,13 +94,15 @@ def discover(t, names=TABLE_NAMES):
 
 def _discover(t, names):
     columns = discovered_columns(t, names)
-    values = write_table(value_table(t, columns), "values")
-    facts = columns.join(column_facts(values), "col_no", "left")
+    kinds = [r.kind for r in columns.filter("kind is not null").select("kind").distinct().collect()]
+    values = [write_table(value_table(t, columns, kind), "values") for kind in sorted(kinds)]
+    facts = columns.join(reduce(DataFrame.unionByName, map(column_facts, values)), "col_no", "left")
     # a table's key is its first unique column
     first = facts.filter("is_unique").groupBy("table_name").agg(F.min("col_no").alias("_key"))
     facts = facts.join(first, "table_name", "left").withColumn("is_key", F.coalesce(F.col("_key") == F.col("col_no"), F.lit(False)))
     facts = write_table(facts.drop("_key"), "facts")
-    inside = write_table(inclusions(values, columns.count()), "inclusions")
+    n_columns = columns.count()
+    inside = write_table(reduce(DataFrame.unionByName, [inclusions(v, n_columns) for v in values]), "inclusions")
     bare = F.regexp_replace("column_name", "^[a-z]_", "")
     side = lambda p: facts.select(F.col("col_no").alias(f"{p}_no"), F.col("table_name").alias(f"{p}_table"),
                                   F.col("column_name").alias(f"{p}_column"), bare.alias(f"{p}_bare"), F.col("is_key").alias(f"{p}_key"))

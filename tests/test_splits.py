@@ -64,6 +64,24 @@ def test_many_columns_fill_several_words(spark):
     assert got == {(i, j) for i in range(130) for j in range(i + 1, 130)}
 
 
+def test_numbers_stay_numbers_and_sets_are_hashed(spark, tmp_path):
+    from sqlweave.sources.discover import discover, discovered_columns, inclusions, value_table
+    from sqlweave.sources.tables import Tables
+    spark.createDataFrame([(1, "1"), (2, None), (None, "1")], "part_id long, code string").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1, "1"), (2, "x"), (3, "1")], "part_id int, code string").write.parquet(str(tmp_path / "orders.parquet"))
+    t, names = Tables(spark, str(tmp_path)), ("part", "orders")
+    columns = discovered_columns(t, names)
+    numbers, texts = value_table(t, columns, "n"), value_table(t, columns, "s")
+    assert dict(numbers.dtypes)["v"] == "bigint" and dict(texts.dtypes)["v"] == "string"
+    assert {(r.col_no, r.v, r.n) for r in numbers.collect()} == {(0, 1, 1), (0, 2, 1), (0, None, 1), (2, 1, 1), (2, 2, 1), (2, 3, 1)}
+    assert {(r.col_no, r.v, r.n) for r in texts.collect()} == {(1, "1", 2), (1, None, 1), (3, "1", 2), (3, "x", 1)}
+    # a list of columns per value would be aggregated by sorting all values
+    plan = inclusions(numbers, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    assert {(r.col_no, r.in_no) for r in inclusions(numbers, 4).collect()} == {(0, 2)}
+    assert [tuple(r)[1:] for r in discover(t, names)[1].collect()] == [("part", "part_id", "orders", "part_id")]
+
+
 def test_declared_keys_do_not_depend_on_the_readers_order(spark, demo_catalog):
     from sqlweave.operators.catalog import infer_fks
     _, cols, _ = demo_catalog
