@@ -70,3 +70,13 @@ def test_merged_catalogs_keep_unique_positions(spark, demo_catalog):
             prefix = r.src[:2]
             assert r.hops == 2 and len(r.path) == 2
             assert all(x.from_table.startswith(prefix) and x.to_table.startswith(prefix) for x in r.path)
+
+
+def test_small_checkpoints_have_few_partitions(spark):
+    """A catalog-sized table doesn't keep a partition per shuffle task; no row is lost, and many rows stay spread."""
+    from sqlweave.session import materialize
+    few = materialize(spark.range(50).repartition(40, "id"))
+    assert few.rdd.getNumPartitions() == 1
+    assert sorted(x.id for x in few.collect()) == list(range(50))
+    assert materialize(spark.range(0).repartition(40, "id")).count() == 0
+    assert materialize(spark.range(20_000).repartition(40, "id")).rdd.getNumPartitions() == min(40, spark.sparkContext.defaultParallelism)
