@@ -127,3 +127,53 @@ def test_blocks_encode_like_the_vocabulary(spark, monkeypatch):
     numbered = bpe.dictionary_join(blocks, bpe.block_counts(blocks).selectExpr("piece", "array(n) ids"))
     assert [r.ids for r in numbered.filter("k = 2 and size(ids) > 0").collect()] == [
         [counts[x] for x in codec.plain.findall("the the the cat")]]
+
+
+def test_blocks_follow_the_pieces(spark, monkeypatch):
+    """A small corpus is one block however many shuffle partitions there are; a larger one is cut by pieces and by bytes."""
+    from sqlweave.operators import bpe
+    hist = spark.createDataFrame([(f"w{i:03d}", i) for i in range(300)] + [("a", 9)], "piece string, cnt long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert bpe.piece_blocks(hist).count() == 1
+        monkeypatch.setattr(bpe, "BLOCK", 100)
+        assert 3 <= bpe.piece_blocks(hist).count() <= 6
+        monkeypatch.setattr(bpe, "BLOCK_BYTES", 40)
+        assert bpe.piece_blocks(hist).count() >= 30
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_rounds_of_an_epoch_equal_counting_anew(spark, monkeypatch):
+    """Merges of merges, doubled ids and several epochs, against a training that counts all pairs for each merge."""
+    import random
+    from collections import Counter
+    from sqlweave.operators import bpe
+    r = random.Random(11)
+    words = ["".join(r.choice("aab") for _ in range(r.randint(1, 12))) for _ in range(80)] + ["a" * 17, "abab" * 5]
+    texts = [" ".join(r.choice(words) for _ in range(20)) for _ in range(40)]
+    v = bpe.Vocabulary([], ())
+    pieces = Counter(m for x in texts for m in v.plain.findall(x))
+    held = [(list(p.encode()), n) for p, n in pieces.items()]
+    want = []
+    while len(want) < 60:
+        counts = Counter()
+        for ids, n in held:
+            for pair in zip(ids, ids[1:]):
+                counts[pair] += n
+        (a, b), n = min(counts.items(), key=lambda x: (-x[1], x[0]), default=((0, 0), 0))
+        if n < 2:
+            break
+        want.append((len(want), a, b, 256 + len(want)))
+        for ids, _ in held:
+            i = 0
+            while i < len(ids) - 1:
+                if ids[i:i + 2] == [a, b]:
+                    ids[i:i + 2] = [want[-1][3]]
+                i += 1
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    monkeypatch.setattr(bpe, "BLOCK", 16)
+    assert len(want) > 40
+    for epoch in (2, 7, 100):
+        assert [tuple(x) for x in bpe.bpe_train(df, 256 + 60, checkpoint_every=epoch).collect()] == want
