@@ -80,3 +80,51 @@ def test_small_checkpoints_have_few_partitions(spark):
     assert sorted(x.id for x in few.collect()) == list(range(50))
     assert materialize(spark.range(0).repartition(40, "id")).count() == 0
     assert materialize(spark.range(20_000).repartition(40, "id")).rdd.getNumPartitions() == min(40, spark.sparkContext.defaultParallelism)
+
+
+def _tasks(spark, group, job):
+    """What ``job`` returns, and how many tasks its stages ran."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        out = job()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return out, sum(x.numCompletedTasks for x in map(tracker.getStageInfo, stages) if x)
+
+
+def test_checkpoints_run_no_task_per_shuffle_partition(spark):
+    """Odd rows come back whole, and a small grouped table costs as many tasks with 8 shuffle partitions as with 300."""
+    from pyspark.sql import functions as F
+    from sqlweave.session import materialize
+    rows = [(None, None), (1, ["a", None]), (1, []), (2, None), (None, ["b"]), (None, ["b"])]
+    df = spark.createDataFrame(rows, "k int, v array<string>")
+    assert sorted(map(repr, materialize(df).collect())) == sorted(map(repr, df.collect()))
+    grouped = df.groupBy("k").agg(F.count("v").alias("n"), F.collect_list("v").alias("vs"))
+    before, used = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (8, 300):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            out, n = _tasks(spark, f"materialize-{parts}", lambda: materialize(grouped))
+            assert sorted((r.k or 0, r.n, len(r.vs)) for r in out.collect()) == [(0, 2, 2), (1, 2, 2), (2, 0, 0)]
+            used.append(n)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert used[0] == used[1] < 60
+
+
+def test_rounds_over_one_block_run_one_task(spark):
+    """The pair counts of blocks that one task reads need no shuffle; more blocks give the same counts."""
+    from sqlweave.operators import bpe
+    hist = spark.createDataFrame([("abab", 3), ("ab", 2), ("bca", 1), ("x", 9), ("caab", 4)], "piece string, cnt long")
+    blocks = bpe.piece_blocks(hist)
+    made = [[(97, 98, 256)], [(256, 256, 257)]]
+    many = spark.createDataFrame([(p, n) for p, n in hist.collect()], hist.schema)
+    many = [bpe.piece_blocks(many.filter(f"piece = '{p}'")) for p in ("abab", "ab", "bca", "caab")]
+    spread = many[0].union(many[1]).union(many[2]).union(many[3])
+    assert spread.rdd.getNumPartitions() > 1 and bpe._readable(spread) is spread
+    for rounds in ([], made[:1], made):
+        got, n = _tasks(spark, f"round-{len(rounds)}", lambda: bpe._changes(bpe._readable(blocks), rounds))
+        assert n == 1 and sorted(got) == sorted(bpe._changes(spread, rounds)) and got

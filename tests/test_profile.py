@@ -42,3 +42,16 @@ def test_null_profile(planted):
     got = {(r.column_name, r.n_rows, r.n_nulls)
            for r in null_profile(planted, ["child"]).collect()}
     assert got == {("pid", 908, 3), ("flag", 908, 0)}
+
+
+def test_lookup_domains_add_nothing_to_the_rows(spark, planted):
+    """Several columns of a table, nulls, numbers and an empty domain; no row is copied per lookup column."""
+    from sqlweave.sources.star import lookup_domains
+    from sqlweave.sources.tables import Tables
+    root = tempfile.mkdtemp(prefix="sqlweave-domains-")
+    spark.createDataFrame([("x", 1, None), ("x", 1, None), (None, 2, None), ("y", None, None)],
+                          "a string, b int, c string").write.parquet(os.path.join(root, "t.parquet"))
+    found = lookup_domains(Tables(spark, root), {("t", "a"): "A", ("t", "b"): "B", ("t", "c"): "C"})
+    assert {(r.table_name, r.column_name, r.lookup_type, tuple(r.allowed_values)) for r in found.collect()} == {
+        ("t", "a", "A", ("x", "y")), ("t", "b", "B", ("1", "2")), ("t", "c", "C", ())}
+    assert "Generate" not in found._jdf.queryExecution().toString()
